@@ -8,14 +8,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .packing import pack_documents
+from .quality import judge
+from .sharding import kd_tree_shards
 from .tokenbin import token_archive
 from .tokencount import count_tokens
+from .warc import ORACLE as WARC_SQL
+from .warc import archive_pages
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
 
+def op3_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(table(spark, sf_dir, "pages"), min_bytes=0)
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_tree_shards(table(spark, sf_dir, "documents"), shards=8)
+
+
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_archive(table(spark, sf_dir, "documents"), end_id=0)
 
@@ -25,7 +41,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op6_token_binary, op7_token_counts)
+    f.__name__: f for f in (
+        op2_best_fit_packing,
+        op3_warc_archive,
+        op4_quality_rules,
+        op5_kd_tree_sharding,
+        op6_token_binary,
+        op7_token_counts,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL}
