@@ -10,6 +10,8 @@ from .common import table
 from .packing import pack_documents
 from .quality import judge
 from .sharding import kd_tree_shards
+from .simhash import near_duplicates
+from .substring import remove_repeats
 from .tokenbin import token_archive
 from .tokencount import count_tokens
 from .warc import ORACLE as WARC_SQL
@@ -40,6 +42,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), window=20)
+
+
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op2_best_fit_packing,
@@ -48,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_kd_tree_sharding,
         op6_token_binary,
         op7_token_counts,
+        op9_substring_dedup,
+        op10_simhash_near_dedup,
     )
 }
 

@@ -111,7 +111,7 @@ ORACLE = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
 g AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS response_id FROM p)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     1 + CAST(((('0x' || substr(h, 1 + 10 * CAST(i // 8 AS INTEGER), 10))::UBIGINT >> CAST(5 * (7 - i % 8) AS UBIGINT)) & 31) AS INTEGER), 1)), '') AS payload_digest,
   CASE WHEN page_id = response_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = response_id THEN NULL ELSE response_id END AS refers_to
