@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontam import overlaps
 from .packing import pack_documents
 from .quality import judge
 from .sharding import kd_tree_shards
@@ -14,10 +15,15 @@ from .simhash import near_duplicates
 from .substring import remove_repeats
 from .tokenbin import token_archive
 from .tokencount import count_tokens
+from .toxicity import score_toxicity
 from .warc import ORACLE as WARC_SQL
 from .warc import archive_pages
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), capacity=4096)
 
@@ -42,6 +48,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), limit=2048)
 
 
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), min_match=5, coverage=0.5)
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), window=20)
 
@@ -52,12 +62,14 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
+        op1_toxicity,
         op2_best_fit_packing,
         op3_warc_archive,
         op4_quality_rules,
         op5_kd_tree_sharding,
         op6_token_binary,
         op7_token_counts,
+        op8_benchmark_decontamination,
         op9_substring_dedup,
         op10_simhash_near_dedup,
     )

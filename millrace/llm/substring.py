@@ -216,16 +216,32 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(c[keep]) for c in (doc, sub, start, out)], names=["doc", "sub", "start", "mask"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row; with ``keep_text`` the kept text too.
+def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by a space) of every row.
 
     A word goes if a window over it has an equal that starts earlier: in a smaller doc_id, or
     earlier in the same document. Windows are judged on the input. Null text has no words; a null
     doc_id is after all others; rows that share a doc_id are ordered by their text's hash, and rows
-    that repeat entirely are one document with the same result for each. ``kept_text`` is the
-    input where nothing goes, else the kept words joined by a space. ``window`` must be ``seed``
-    times a power of two, and below ``seed + 63``.
+    that repeat entirely are one document with the same result for each. ``window`` must be
+    ``seed`` times a power of two, and below ``seed + 63``.
     """
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _cut_repeats(rows, "doc_id", "text", window, seed, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, their texts without the words that ``remove_repeats`` takes.
+
+    A text that loses nothing stays as it is; another is its kept words joined by a space, empty
+    where all go. Rows stay, whatever is left of their text.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    out = _cut_repeats(docs, id_col, text_col, window, seed, keep_text=True)
+    return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns])
+
+
+def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, keep_text: bool) -> DataFrame:
+    """n_words, n_removed and kept_sha256 or kept_text, with the id column or, in ``rest``, all columns but the text."""
     levels = [seed]
     while levels[-1] < window:
         levels.append(2 * levels[-1])
@@ -233,8 +249,11 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: st
         raise ValueError("window must be seed times a power of two, over one and within 62 words of the seed")
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc"), text_or_empty(text_col).alias("text")).withColumn("sub", F.xxhash64("text"))
-    # dealt once; every level below reads these same shuffle files
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc")
+    # positional names keep the columns that are carried along apart from ours
+    carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(c for c in docs.columns if c != text_col)] if keep_text else [F.col(id_col).alias("c0")]
+    rows = docs.select(doc, text_or_empty(text_col).alias("text"), F.struct(*carried).alias("rest")).withColumn("sub", F.xxhash64("text"))
+    # dealt once: every level below reads the same shuffle files, as long as it asks for the same columns
     dealt = rows.repartition(parts, "doc", "sub")
     hashed = F.transform(words("text"), lambda w: F.xxhash64(w))
 
@@ -243,44 +262,45 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: st
         if repeated is None:
             source = rows.select("doc", "sub", hashed.alias("w"))
         else:
-            source = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at")
+            source = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
         runs = source.mapInArrow(_emit_runs(level, window, repeated is not None), "key long, doc long, sub long, at int, state byte")
         repeated = runs.repartition(parts, "key").mapInArrow(_repeated, "doc long, sub long, at int")
-    windows = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at")
+    windows = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
     windows = windows.mapInArrow(_emit_windows(levels[-2], window), "key long, doc long, sub long, start int, mask long, known long, hashes array<long>")
     later = windows.repartition(parts, "key").mapInArrow(_later, "doc long, sub long, start int, mask long")
     marked = later.select("doc", "sub", F.struct("start", "mask").alias("place"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, removed, sha, kept_text = [], [], [], []
+            n_words, removed, out = [], [], []
             for text, places in zip(batch[1].cast(pa.binary()).to_pylist(), batch[2].to_pylist()):
                 own = text.split()
-                gone = np.zeros(len(own) + 1, dtype=np.int64)
-                for place in places or ():
-                    at, bits = place["start"], place["mask"]
-                    while bits:
-                        low = bits & -bits
-                        k = at + low.bit_length() - 1
-                        gone[k] += 1
-                        gone[min(k + window, len(own))] -= 1
-                        bits ^= low
                 kept = own
                 if places:
+                    gone = np.zeros(len(own) + 1, dtype=np.int64)
+                    for place in places:
+                        at, bits = place["start"], place["mask"]
+                        while bits:
+                            low = bits & -bits
+                            k = at + low.bit_length() - 1
+                            gone[k] += 1
+                            gone[min(k + window, len(own))] -= 1
+                            bits ^= low
                     keep = np.cumsum(gone)[:-1] == 0
                     kept = [w for w, k in zip(own, keep.tolist()) if k]
-                joined = b" ".join(kept)
                 n_words.append(len(own))
                 removed.append(len(own) - len(kept))
-                sha.append(hashlib.sha256(joined).hexdigest())
-                kept_text.append(None if not keep_text else text.decode() if len(kept) == len(own) else joined.decode())
-            cols = [batch[0], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string()), pa.array(kept_text, pa.string())]
-            yield pa.record_batch(cols[: 5 if keep_text else 4], names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"][: 5 if keep_text else 4])
-
-    schema = "doc long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if keep_text else "")
-    out = _with_lists(dealt, marked, "place", "left").select("doc", "text", "place").mapInArrow(cut, schema)
-    doc_id = F.when(F.col("doc") != _LAST, F.col("doc")).alias("doc_id")
-    return out.select(doc_id, *[c for c in out.columns if c != "doc"])
+                if keep_text:
+                    out.append((text if len(kept) == len(own) else b" ".join(kept)).decode())
+                else:
+                    out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            cols = [batch[0], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+            yield pa.record_batch(cols, names=["rest", "n_words", "n_removed", result])
+
+    result = "kept_text" if keep_text else "kept_sha256"
+    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, {result} string"
+    cut_rows = _with_lists(dealt, marked, "place", "left").select("rest", "text", "place").mapInArrow(cut, schema)
+    return cut_rows.select(F.col("rest.c0").alias("doc_id"), "n_words", "n_removed", result) if not keep_text else cut_rows
 
 
 def _with_lists(dealt: DataFrame, places: DataFrame, column: str, how: str) -> DataFrame:
