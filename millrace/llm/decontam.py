@@ -42,6 +42,26 @@ def _free_runs(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(total[length:] == total[:-length]) if len(marked) >= length else np.zeros(0, dtype=np.int64)
 
 
+def _matches(text: np.ndarray, item: np.ndarray, in_text: np.ndarray, in_item: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """Runs (length, start in item, start in text) of at least ``length`` unmarked tokens that both have."""
+    if min(len(text), len(item)) < length:
+        return []
+    hashes, wanted = _run_hashes(text, length), _run_hashes(item, length)
+    free, item_free = _free_runs(in_text, length), _free_runs(in_item, length)
+    where: dict[int, list[int]] = {}
+    for t in free[np.isin(hashes[free], wanted[item_free])].tolist():
+        where.setdefault(int(hashes[t]), []).append(t)
+    found = []
+    for i in item_free.tolist():
+        for t in where.get(int(wanted[i]), ()):
+            n = 0
+            while t + n < len(text) and i + n < len(item) and text[t + n] == item[i + n] and not in_text[t + n] and not in_item[i + n]:
+                n += 1
+            if n >= length:
+                found.append((n, i, t))
+    return found
+
+
 def greedy_tiles(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
     """Tiles (start in text, start in item, length), none overlapping, longest first.
 
@@ -50,35 +70,16 @@ def greedy_tiles(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tup
     in_text, in_item = np.zeros(len(text), dtype=bool), np.zeros(len(item), dtype=bool)
     out: list[tuple[int, int, int]] = []
     length = max(min_match, len(item))
-    while length >= min_match:
-        if len(item) >= length and len(text) >= length:
-            hashes = _run_hashes(text, length)
-            free = _free_runs(in_text, length)
-            where: dict[int, list[int]] = {}
-            wanted = _run_hashes(item, length)
-            item_free = _free_runs(in_item, length)
-            hit = free[np.isin(hashes[free], wanted[item_free])]
-            for t in hit.tolist():
-                where.setdefault(int(hashes[t]), []).append(t)
-            found = []
-            for i in item_free.tolist():
-                for t in where.get(int(wanted[i]), ()):
-                    n = 0
-                    while t + n < len(text) and i + n < len(item) and text[t + n] == item[i + n] and not in_text[t + n] and not in_item[i + n]:
-                        n += 1
-                    if n >= length:
-                        found.append((-n, i, t))
-            longest = -min(found)[0] if found else 0
-            if longest > 2 * length:  # search again among longer runs first
-                length = longest
-                continue
-            for n, i, t in sorted(found):
-                n = -n
-                # part of it may have been marked meanwhile; what is left free comes up in the next pass
-                if not in_text[t : t + n].any() and not in_item[i : i + n].any():
-                    in_text[t : t + n] = in_item[i : i + n] = True
-                    out.append((t, i, n))
-        length = max(min_match, length // 2) if length > min_match else 0
+    while length:
+        found = _matches(text, item, in_text, in_item, length)
+        longest = max((n for n, _, _ in found), default=0)
+        # only the longest are marked before the next search: marks shorten the matches they touch
+        for n, i, t in sorted(found, key=lambda m: m[1:]):
+            if n == longest and not in_text[t : t + n].any() and not in_item[i : i + n].any():
+                in_text[t : t + n] = in_item[i : i + n] = True
+                out.append((t, i, n))
+        if not found:
+            length = max(min_match, length // 2) if length > min_match else 0
     return out
 
 
