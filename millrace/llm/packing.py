@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -37,11 +37,11 @@ def token_pieces(docs: DataFrame, capacity: int = 4096, tokenizer: str | None =
     schema = PIECE_SCHEMA + (", ids binary" if keep_ids else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encode = encoder(tokenizer).encode
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                ids = encoder.encode(text) + end
+                ids = encode(text) + end
                 for k, at in enumerate(range(0, len(ids), width)):
                     part = ids[at : at + width]
                     rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), part)[: 6 if keep_ids else 5])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import shared_dir, shuffle_partitions, text_or_empty
-from .tokens import Encoder, default_path
+from .tokens import default_path, encoder
 
 BLOCK_SCHEMA = "shard int, block int, bits int, n_ids long, first_id long, doc_ids array<long>, doc_lens array<long>, payload binary"
 
@@ -69,8 +69,8 @@ def write_token_blocks(
     end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard = Encoder(tokenizer), TaskContext.get().partitionId()
-        bits = max(1, (encoder.vocab_size - 1).bit_length())
+        own, shard = encoder(tokenizer), TaskContext.get().partitionId()
+        bits = max(1, (own.vocab_size - 1).bit_length())
         held: list[tuple[int | None, bytes]] = []
         size = number = first = 0
 
@@ -82,7 +82,7 @@ def write_token_blocks(
 
         for batch in batches:
             for doc_id, text in zip(batch[0].to_pylist(), batch[1].to_pylist()):
-                ids = encoder.encode(text) + end
+                ids = own.encode(text) + end
                 if held and size + len(ids) // 4 > block_ids:
                     yield block()
                     held, number, first, size = [], number + 1, first + size, 0

@@ -19,6 +19,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -165,6 +166,12 @@ class CountTransducer:
         return sum(map(self.counts.__getitem__, re.split(f"[{_BLANKS}]+", text)))
 
 
+@lru_cache(maxsize=2)
+def transducer(path: str) -> CountTransducer:
+    """This process's transducer of a file: a worker keeps what it has compiled from task to task."""
+    return CountTransducer(path)
+
+
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, chunk_chars: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text (null: empty), a row for each row.
 
@@ -178,7 +185,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
     long_text = F.char_length("text") > chunk_chars
 
     def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = CountTransducer(tokenizer)
+        machine = transducer(tokenizer)
         for batch in batches:
             n = [machine.count(t) for t in batch[2].to_pylist()]
             yield pa.record_batch([batch[0], batch[1], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
@@ -190,14 +197,14 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 204
                     yield pa.record_batch([pa.array([doc_id], pa.int64()), pa.array([n_bytes], pa.int64()), pa.array([digest]), pa.array([k], pa.int64()), pa.array([text[at : at + chunk_chars]])], names=["doc_id", "n_bytes", "digest", "chunk", "text"])
 
     def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = CountTransducer(tokenizer)
+        machine = transducer(tokenizer)
         for batch in batches:
             found = [machine.chunk_map(t) for t in batch[4].to_pylist()]
             cols = [*batch.columns[:4], *(pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string())))] if found else [*batch.columns[:4], pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.string())]
             yield pa.record_batch(cols, names=["doc_id", "n_bytes", "digest", "chunk", "head", "inner", "tail"])
 
     def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = CountTransducer(tokenizer)
+        machine = transducer(tokenizer)
         for batch in batches:
             n = [machine.finish(machine.scan([(m["head"], m["inner"], m["tail"]) for m in own])) for own in batch[2].to_pylist()]
             yield pa.record_batch([batch[0], batch[1], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])

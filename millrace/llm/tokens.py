@@ -10,11 +10,12 @@ from __future__ import annotations
 import json
 import os
 import re
-
-import numpy as np
+import sys
+from array import array
+from functools import lru_cache
 
 #: Printable characters below U+0250: one code point each, unchanged by NFC, none of them blank.
-_PLAIN = re.compile("[\x21-\x7e¡-ɏ]+")
+_PLAIN_UNIT = re.compile("[ \n]?[\x21-\x7e\u00a1-\u024f]+")
 #: Blanks other than space and line feed, and the separators that only Python takes for blanks.
 _ODD_BLANK = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _PYTHON_BLANK = re.compile("[\x1c-\x1f]")
@@ -33,6 +34,13 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
+def _ids(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class _Units(dict):
     """unit -> ids as bytes; units beyond the bound are worked out each time, not kept."""
 
@@ -54,7 +62,7 @@ class Encoder:
     them. Files of another make than the two known ones are encoded by the library text by text.
     """
 
-    def __init__(self, path: str, units: int = 400_000, pretokens: int = 250_000):
+    def __init__(self, path: str, units: int = 600_000, pretokens: int = 400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -78,23 +86,30 @@ class Encoder:
             self.split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.pretokens = _Units(self._pretoken, pretokens)
         self.units = _Units(self._unit, units)
-        # what follows a space, or a line feed, which is kept at the unit's start
-        self.later = _Units(lambda unit: self._unit(unit if unit[0] == "\n" else " " + unit), units)
+        # what follows a space, or a line feed, which is kept at the unit's start; the first unit of a
+        # text follows neither and is marked by a null character, which no plain unit has
+        mark = {"\n": lambda u: u, "\0": lambda u: u[1:]}
+        self.later = _Units(lambda unit: self._unit(mark.get(unit[0], " ".__add__)(unit)), units)
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pretoken(self, word: str) -> bytes:
         found = self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
-        return np.array([t.id for t in found], dtype="<u4").tobytes()
+        return _ids([t.id for t in found])
 
     def _unit(self, unit: str) -> bytes:
+        if not _PLAIN_UNIT.fullmatch(unit):
+            return self._whole(unit)
         if self.kind == "blank":
-            if _PLAIN.fullmatch(unit):
-                return b"".join(map(self.pretokens.__getitem__, self.split(unit.lower())))
-        elif all(map(_PLAIN.fullmatch, unit.split())):
-            return b"".join(map(self.pretokens.__getitem__, self.split(unit)))
-        return self._whole(unit)
+            unit = unit.lower()
+        # most units are a word, or a word and one mark; the pattern cuts the others
+        start = 1 if unit[0] == " " else 0
+        if unit[start:].isalpha():
+            return self.pretokens[unit]
+        if unit[-1] in ",.!?:;" and unit[start:-1].isalpha():
+            return self.pretokens[unit[:-1]] + self.pretokens[unit[-1]]
+        return b"".join(map(self.pretokens.__getitem__, self.split(unit)))
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit bytes."""
@@ -106,7 +121,14 @@ class Encoder:
             return b"".join(map(self.units.__getitem__, text.split()))
         if _ODD_BLANK.search(text) or "  " in text or " \n" in text or "\n " in text or "\n\n\n" in text or text[-1:] == "\n":
             return self._whole(text)
-        first, *rest = text.replace("\n", " \n").split(" ")
-        if not first or rest and not rest[-1]:
+        units = text.replace("\n", " \n").split(" ")
+        if not units[0] or not units[-1] or "\0" in text:
             return self._whole(text)
-        return self._unit(first) + b"".join(map(self.later.__getitem__, rest))
+        units[0] = "\0" + units[0]
+        return b"".join(map(self.later.__getitem__, units))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """This process's encoder of a file: a worker keeps its cache from task to task."""
+    return Encoder(path)
