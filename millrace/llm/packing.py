@@ -124,7 +124,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, items: int = 40_000, fu
     """Give every piece a sequence and an offset; columns ``sequence_id, offset`` and the partition's certificate follow the piece's.
 
     ``items`` is what one partition packs at once; ``fullness`` the share of a bin above which it
-    is left alone when its partition has a gap; ``rounds`` bounds the exchanges. Only numbers are
+    is left alone; ``rounds`` bounds the exchanges. Only numbers are
     shuffled, never texts or ids. ``bins`` and ``bound`` are the partition's bins and certified
     least number in the round that placed the piece. Pieces longer than ``capacity`` are refused.
     """
@@ -136,7 +136,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, items: int = 40_000, fu
         too_long = F.raise_error(F.lit("a piece is longer than a sequence"))
         dealt = dealt.withColumn("length", F.when(F.col("length") > capacity, too_long.cast("long")).otherwise(F.col("length")))
         packed = materialize(dealt.groupBy("part").applyInPandas(_pack(capacity, round_), PACKED), "packed")
-        open_ = (F.col("bins") > F.col("bound")) & (F.col("fill") < F.lit(int(fullness * capacity)))
+        # a partition above its bound has a gap of its own; one that meets it may still hold a bin that
+        # others can fill, and both give away just their unfilled bins
+        open_ = F.col("fill") < F.lit(int(fullness * capacity))
         room = packed.filter(open_).agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins"), F.sum("length").alias("mass")).first()
         # an exchange can save bins only if the open ones hold at least a bin's worth of room
         if parts == 1 or round_ == rounds - 1 or not room.n or room.bins * capacity - room.mass < capacity:
