@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ..functions.keys import Criterion, key_matches, schema_key, version_text, without_skipped
 from ..functions.values import money, money_ok
 from .atomic import atomic_fields
-from .schemas import Array, Decimal, EntityColumn, Field, Resolved, Struct, spark_type
+from .schemas import Array, Decimal, EntityColumn, Failure, Field, Resolved, Struct, spark_type
 
 ERROR = "struct<source string, message string>"
 _NO_ERRORS = f"array<{ERROR}>"
@@ -133,6 +133,10 @@ def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
     return columns, F.concat(*errors) if errors else errors_none()
 
 
+def _matcher(f: Failure):
+    return lambda e: key_matches(schema_key(e["schema"]), f.family.vendor, f.family.name, f.family.model, sorted(f.versions))
+
+
 def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] | None = None, load_tstamp: Column | None = None) -> DataFrame:
     """Wide rows: the atomic columns, a column for each resolved family and its recoveries, and ``errors``.
 
@@ -154,7 +158,7 @@ def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] |
             all_errors.append(errors)
     failed = []
     for f in resolved.failures:
-        match = lambda e, f=f: key_matches(schema_key(e["schema"]), f.family.vendor, f.family.name, f.family.model, sorted(f.versions))
+        match = _matcher(f)
         held = F.coalesce(match(F.col("unstruct_event")), F.lit(False)) if f.family.kind == "unstruct_event" else F.exists(F.col("_entities"), match)
         failed.append(F.when(held, F.array(_error(f.family.column, F.lit(f.message))).cast(_NO_ERRORS)).otherwise(errors_none()))
     missing = F.concat(*failed) if failed else errors_none()

@@ -1,0 +1,92 @@
+import gzip
+import random
+import struct
+
+import pytest
+import zstandard
+from millrace.operators import codec
+
+LIMITS = codec.Limits(2000, 500)
+
+
+def message(kind, records, head=b"\x01\x07", tail=b""):
+    raw = head + b"".join(struct.pack(">i", len(r)) + r for r in records) + tail
+    return gzip.compress(raw) if kind == "gzip" else zstandard.ZstdCompressor().compress(raw)
+
+
+def read(kind, data, limit=500):
+    return list(codec.records(kind, data, limit))
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zstd"])
+def test_records(kind):
+    assert read(kind, message(kind, [b"", b"content", b""])) == [(b"", 7, None), (b"content", 7, None), (b"", 7, None)]
+    assert read(kind, message(kind, [])) == []
+    corrupt = (None, None, f"corrupt {kind}-compressed payload")
+    assert read(kind, message(kind, [b"a"], tail=struct.pack(">i", 10) + b"abc")) == [(b"a", 7, None), corrupt]
+    assert read(kind, message(kind, [b"a"], tail=struct.pack(">i", -1))) == [(b"a", 7, None), corrupt]
+    assert read(kind, message(kind, [b"a"], tail=b"\x00\x00"))[-1] == corrupt
+    assert read(kind, message(kind, [b"a"]) + b"junk")[-1] == corrupt
+    assert read(kind, message(kind, [b"a" * 400])[:-12])[-1] == corrupt
+    assert read(kind, message(kind, [], head=b"\x63\x01")) == [(None, None, f"unsupported versions in {kind}-compressed record header: 99, 1")]
+    big = read(kind, message(kind, [b"x" * 1500, b"small", b"y" * 501]))
+    text = f"Payload will exceed maximum allowed size of 500 after {kind} decompression"
+    assert big == [(None, 7, text), (b"small", 7, None), (None, 7, text)]
+
+
+@pytest.mark.parametrize("kind, level, target", [("gzip", 6, 35), ("zstd", 3, 21)])
+def test_packer_stops_at_the_target(kind, level, target):
+    fits, not_ = codec.Packer(kind, target, 1, level), codec.Packer(kind, target, 1, level)
+    assert fits.add(b"abc") and not not_.add(b"abcd")
+    assert read(kind, fits.result()) == [(b"abc", 1, None)]
+
+
+@pytest.mark.parametrize("kind", ["gzip", "zstd"])
+def test_packer_round_trip(kind):
+    r = random.Random(3)
+    for _ in range(20):
+        records = [r.randbytes(r.randint(0, 300)) for _ in range(r.randint(1, 40))]
+        packer, taken = codec.Packer(kind, 2500, 9), []
+        for x in records:
+            if packer.add(x):
+                taken.append(x)
+        out = packer.result()
+        assert len(out) <= 2500
+        assert [x[0] for x in read(kind, out, 10**6)] == taken
+
+
+def test_limits_are_positive():
+    for a, b in ((0, 1), (1, 0), (-1, 5)):
+        with pytest.raises(ValueError):
+            codec.Limits(a, b)
+
+
+def test_batches(spark):
+    rows = [(0, message("zstd", [b"z" * 300] * 20)), (1, b"plain"), (2, message("gzip", [b"g" * 10])), (3, b"(\xb5/"), (4, message("zstd", [b"x" * 900])), (5, None), (6, message("gzip", [b"h"])[:-9])]
+    df = spark.createDataFrame([(k, None if m is None else bytearray(m)) for k, m in rows], "ordinal long, payload binary")
+    got = codec.decompressed_batches(df, LIMITS).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.batch_no, []).append(r)
+    assert {r.codec for r in by[0]} == {"plain"} and len(by[0]) == 3 and all(r.payload_version is None for r in by[0])
+    assert [sum(r.payload is not None for r in by[k] if r.codec == "zstd") for k in (1, 2, 3)] == [7, 7, 6]
+    assert {r.codec for r in by[4]} == {"gzip"} and {r.batch_no for r in got if r.is_last} == {4}
+    bad = [r for r in got if r.error]
+    assert {r.ordinal for r in bad} == {4, 6} and all(bytes(r.original) == rows[r.ordinal][1] for r in bad)
+    assert codec.decompressed_batches(df.limit(0), LIMITS).count() == 0
+
+
+def test_compress_groups(spark):
+    r = random.Random(5)
+    rows = [(k % 3, k, bytearray(r.randbytes(r.randint(0, 200)))) for k in range(200)] + [(0, 1000, bytearray(r.randbytes(5000)))]
+    df = spark.createDataFrame(rows, "g int, k int, b binary")
+    for kind in ("gzip", "zstd"):
+        out = codec.compress(df, ["g"], ["k"], "b", kind, 1500).collect()
+        for g in range(3):
+            own = sorted((x for x in out if x.g == g), key=lambda x: x.message_no)
+            assert [x.message_no for x in own] == list(range(len(own)))
+            back = []
+            for x in own:
+                back += [bytes(x.rejected)] if x.rejected is not None else [p for p, _, _ in read(kind, bytes(x.message), 10**6)]
+                assert x.message is None or len(x.message) <= 1500
+            assert back == [bytes(b) for h, _, b in rows if h == g]
