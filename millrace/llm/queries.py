@@ -12,6 +12,7 @@ from .packing import pack_documents
 from .quality import judge
 from .sharding import kd_tree_shards
 from .simhash import near_duplicates
+from .substring import ORACLE as SUBSTRING_SQL
 from .substring import remove_repeats
 from .tokenbin import token_archive
 from .tokencount import count_tokens
@@ -75,4 +76,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL}

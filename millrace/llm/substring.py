@@ -307,3 +307,15 @@ def _with_lists(dealt: DataFrame, places: DataFrame, column: str, how: str) -> D
     """Join each text with the list of its places; a text's list is at most as long as the text."""
     lists = places.groupBy("doc", "sub").agg(F.collect_list(column).alias(column))
     return dealt.join(lists, ["doc", "sub"], how)
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM d),
+s AS (SELECT doc_id, k, array_to_string(words[k : k + 19], ' ') AS passage FROM (SELECT doc_id, words, unnest(range(1, len(words) - 18)) AS k FROM d)),
+later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY passage ORDER BY doc_id, k) AS place FROM s) WHERE place > 1),
+m AS (SELECT w.doc_id, w.k, word, count(later.k) OVER (PARTITION BY w.doc_id ORDER BY w.k ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM w LEFT JOIN later ON w.doc_id = later.doc_id AND w.k = later.k),
+t AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gone) AS g, string_agg(word, ' ' ORDER BY k) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_words, coalesce(g, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""

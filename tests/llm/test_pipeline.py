@@ -104,3 +104,16 @@ def test_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert os.path.exists(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", ["op3_warc_archive", "op9_substring_dedup"])
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+    from millrace.llm.queries import ORACLE_SQL, QUERIES
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    answer = c.execute(ORACLE_SQL[name])
+    names = [d[0] for d in answer.description]
+    assert Counter(map(tuple, QUERIES[name](spark, SF).select(*names).collect())) == Counter(answer.fetchall())
