@@ -142,11 +142,11 @@ def decompressed_batches(df: DataFrame, limits: Limits, payload: str = "payload"
         return (total + row[0], batch), (batch,)
 
     folded = ordered_fold(ranked, ["codec_rank"], ["ordinal", "record"], ["_size"], step, "part long")
-    # one row a batch: small
+    # one row a batch
     parts = folded.select("codec_rank", "part").distinct()
     numbered = parts.withColumn("batch_no", F.row_number().over(Window.orderBy("codec_rank", "part")) - 1)
     last = F.max("batch_no").over(Window.partitionBy())
-    return folded.join(F.broadcast(numbered.withColumn("is_last", F.col("batch_no") == last)), ["codec_rank", "part"]).drop("codec_rank", "part", "_size")
+    return folded.join(numbered.withColumn("is_last", F.col("batch_no") == last), ["codec_rank", "part"]).drop("codec_rank", "part", "_size")
 
 
 class Packer:

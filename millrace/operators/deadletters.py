@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BAD_ROW = "struct<kind string, processor string, message string, payload binary>"
@@ -36,3 +38,9 @@ def with_max_size(serialized: Column, processor: str, max_size: int) -> Column:
 
 def too_large_message(limit: int, codec: str) -> str:
     return f"Payload will exceed maximum allowed size of {limit} after {codec} decompression"
+
+
+def bad_rows(decompressed: DataFrame, to_bad_row: Callable[[Column, Column, Column], Column]) -> DataFrame:
+    """The application's bad rows of decompressed messages: ``to_bad_row(message, timestamp, payload)``, the payload in base64."""
+    made = to_bad_row(F.col("error"), F.current_timestamp(), F.base64("original"))
+    return decompressed.filter("error IS NOT NULL").select(made.alias("bad_row"))

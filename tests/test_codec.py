@@ -90,3 +90,13 @@ def test_compress_groups(spark):
                 back += [bytes(x.rejected)] if x.rejected is not None else [p for p, _, _ in read(kind, bytes(x.message), 10**6)]
                 assert x.message is None or len(x.message) <= 1500
             assert back == [bytes(b) for h, _, b in rows if h == g]
+
+
+def test_bad_rows(spark):
+    from millrace.operators import deadletters
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(0, bytearray(b"\x1f\x8bjunk")), (1, bytearray(b"fine"))], "ordinal long, payload binary")
+    made = deadletters.bad_rows(codec.decompress(df, LIMITS), lambda message, at, payload: F.struct(message.alias("m"), at.alias("t"), payload.alias("p")))
+    (row,) = made.collect()
+    assert row.bad_row.m == "corrupt gzip-compressed payload" and row.bad_row.p == "H4tqdW5r" and row.bad_row.t is not None

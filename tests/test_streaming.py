@@ -201,3 +201,49 @@ def test_stateful_batches(spark, tmp_path):
     finally:
         q.stop()
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_deadlines_chunks_and_commits():
+    from millrace.sources import leases
+
+    batches = [leases.Pulled(("a",), 105.0), leases.Pulled(("b",), 101.0), leases.Pulled(("c",), 200.0)]
+    due, sleep = leases.due_extensions(batches, 100.0, 60.0)
+    assert [b.ids for b in due] == [("b",), ("a",)] and sleep == 0
+    assert leases.due_extensions(batches[2:], 100.0, 60.0) == ([], 3.0)
+    assert [len(c) for c in leases.chunks(["x"] * 2001)] == [1000, 1000, 1] and leases.chunks([]) == []
+    assert leases.parallel_pulls(0.5, 3) == 2 and leases.parallel_pulls(0.1, 1) == 1
+    tries = []
+
+    def busy():
+        tries.append(1)
+        if len(tries) < 3:
+            raise leases.Throttled
+
+    assert leases.commit(busy, 1, 5, lambda s: None) and len(tries) == 3
+
+    def lost():
+        raise leases.LeaseLost
+
+    assert not leases.commit(lost, 1, 5, lambda s: None)
+    with pytest.raises(ZeroDivisionError):
+        leases.commit(lambda: 1 / 0, 1, 5, lambda s: None)
+
+
+def test_listener_reports_progress(spark, tmp_path):
+    from millrace.streaming.listener import ProgressListener
+
+    src = tmp_path / "in"
+    src.mkdir()
+    spark.range(7).coalesce(1).write.mode("append").parquet(str(src))
+    listener = ProgressListener(SourceState())
+    spark.streams.addListener(listener)
+    try:
+        stream = runner.run(spark.readStream.schema("id long").parquet(str(src)), lambda b, i: b.count(), str(tmp_path / "c"), available_now=True)
+        assert stream.query.awaitTermination(60)
+        for _ in range(100):
+            if not listener.state.connected:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert ("rows", 7, "c") in listener.metrics.report() and not listener.state.connected
