@@ -152,4 +152,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, covera
     Rows that repeat a doc_id share its fate; rows without a doc_id stay.
     """
     hits = materialize(overlaps(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("_hit")).dropna().distinct(), "contaminated")
-    return docs.join(hits, F.col("doc_id").cast("long") == F.col("_hit"), "left_anti")
+    return docs.join(hits, docs["doc_id"].cast("long") == hits["_hit"], "left_anti")

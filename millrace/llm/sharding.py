@@ -34,7 +34,7 @@ def kd_tree_shards(docs: DataFrame, shards: int = 8, numeric: tuple[str, ...] =
     """Per document: doc_id, size, text_crc32, law ("bytes"), shard, slot and grown_shard (null).
 
     ``shards`` must be a power of two; the leaves then hold total bytes / ``shards`` each, to
-    within about one document per level. ``size`` is the text's UTF-8 bytes plus one (null text:
+    within about half a document per level. ``size`` is the text's UTF-8 bytes plus one (null text:
     no bytes), ``slot`` counts a shard's rows from 0 without gaps. Null metadata come first in
     their dimension. Rows that repeat entirely are told apart by their order in the input table,
     as each has a slot of its own. An empty table gives no rows.
@@ -99,15 +99,17 @@ def _medians(rows: DataFrame, dims: list[str], whole: dict[str, int]) -> dict[in
             by_node.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
         for node, bins in by_node.items():
             s = state[node]
-            before, chosen = s["before"], max(bins)[0]
+            before = s["before"]
             for b, n in sorted(bins):
+                chosen, s["at"] = b, n
                 if before + n >= s["half"]:
-                    chosen = b
                     break
                 before += n
             s["before"] = before
             s["lo"], s["hi"] = s["lo"] + (chosen << s["shift"]), min(s["hi"], s["lo"] + ((chosen + 1) << s["shift"]) - 1)
-    return {node: (s["dim"], s["low"], s["lo"]) for node, s in state.items()}
+    # the row at the middle goes to the side that it leaves nearer to half
+    late = {node for node, s in state.items() if s["before"] + s.get("at", 0) - s["half"] > s["half"] - s["before"]}
+    return {node: (s["dim"], s["low"], s["lo"] - (node in late)) for node, s in state.items()}
 
 
 def _with_slots(placed: DataFrame, shards: int, rows_per_part: int = 50_000) -> DataFrame:

@@ -220,4 +220,4 @@ def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
     """
     found = near_duplicates(docs, distance, shingle)
     drop = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_drop")).distinct(), "duplicates")
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    return docs.join(drop, docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
