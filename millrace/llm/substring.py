@@ -7,9 +7,11 @@ the full length, or until no candidates survive. As equal windows choose the sam
 and only about one run in six is counted at the first level.
 
 At the full length equal windows meet under their run's hash (64 bits of the run and 64 of the
-window, from independent polynomials) and all but the first are marked. A run that occurs more than
-once in a batch is settled there: a single row of it goes on, so a passage that many documents share
-gives a reducer one row a batch.
+window, from independent polynomials) and all but the first are marked. Windows that occur more than
+once in a batch are settled there: a single one goes on, so a passage that many documents share
+gives a reducer one row a batch. A run that very many windows share, as a common line in ever new
+company does, does not gather them: its windows are dealt one by one under their own hash. Such runs
+are told by a bitmap of fixed size, in which others may be included at no harm.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_or_empty, words
+from .common import materialize, shuffle_partitions, text_or_empty, words
 
 _LAST = (1 << 63) - 1  # stands for a null doc_id, which is after all others
+# the bitmap of crowded runs has 2**20 places
+_PLACES_LOG2 = 20
 # odd multipliers of the two polynomials and of the mixing (parameters)
 _RUN, _WHOLE, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
 
@@ -70,7 +74,7 @@ def _emit_runs(seed: int, window: int, again: bool):
     """Map side of a level below the full length: the runs that still stand for windows.
 
     A row is (key, doc, sub, at, state): 0 to be counted, 1 known to repeat, 2 only tells that the
-    key repeats. ``again``: a fourth column lists the runs of half the length that were found repeated.
+    key repeats, and in ``at`` how often. ``again``: a fourth column lists the runs of half the length that were found repeated.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,7 +94,8 @@ def _emit_runs(seed: int, window: int, again: bool):
             new = np.ones(len(key), dtype=bool)
             new[1:] = key[1:] != key[:-1]
             group = np.cumsum(new) - 1
-            several = (np.bincount(group) > 1)[group] if len(key) else new
+            times = np.bincount(group)[group] if len(key) else group
+            several = times > 1
             at = chosen - offsets[text]
             # known ones are dealt by their place, not by the key that all of them share
             spread = (key ^ (doc[text].view(np.uint64) * np.uint64(_WHOLE)) + at.astype(np.uint64)) * np.uint64(_MIX)
@@ -99,7 +104,7 @@ def _emit_runs(seed: int, window: int, again: bool):
                 np.concatenate((np.where(several, spread, key), key[tell])).view(np.int64),
                 np.concatenate((doc[text], doc[text][tell])),
                 np.concatenate((sub[text], sub[text][tell])),
-                np.concatenate((at, at[tell])).astype(np.int32),
+                np.concatenate((at, times[tell])).astype(np.int32),
                 np.concatenate((several.astype(np.int8), np.full(tell.sum(), 2, dtype=np.int8))),
             ]
             yield pa.record_batch([pa.array(c) for c in cols], names=["key", "doc", "sub", "at", "state"])
@@ -107,23 +112,37 @@ def _emit_runs(seed: int, window: int, again: bool):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: places of the runs whose key occurs twice or more. Holds one partition's numbers."""
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    key, doc, sub, at, state = (table[c].to_numpy() for c in table.column_names)
-    order = np.argsort(key, kind="stable")
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    group = np.cumsum(new) - 1
-    told = np.bincount(group, weights=state[order] == 2) > 0
-    counted = np.bincount(group, weights=state[order] == 0)
-    repeat = np.zeros(len(key), dtype=bool)
-    repeat[order] = (told | (counted > 1))[group]
-    keep = (state == 1) | (state == 0) & repeat
-    yield pa.record_batch([pa.array(c[keep]) for c in (doc, sub, at)], names=["doc", "sub", "at"])
+def _repeated(crowd: int):
+    """Reduce side: (doc, sub, at) of the runs whose key occurs twice or more, and rows with just ``place`` for keys that occur over ``crowd`` times.
+
+    Holds one partition's numbers.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        key, doc, sub, at, state = (table[c].to_numpy() for c in table.column_names)
+        order = np.argsort(key, kind="stable")
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        group = np.cumsum(new) - 1
+        times = np.bincount(group, weights=np.where(state == 2, at, state == 0)[order])
+        repeat = np.zeros(len(key), dtype=bool)
+        repeat[order] = (times > 1)[group]
+        keep = (state == 1) | (state == 0) & repeat
+        places = np.unique(_place(key[order][np.flatnonzero(new)][times > crowd].view(np.uint64)))
+        nothing = lambda n, t: pa.nulls(n, t)
+        kinds = (pa.int64(), pa.int32(), pa.int32())
+        cols = [pa.concat_arrays([pa.array(c[keep], t), nothing(len(places), t)]) for c, t in zip((doc, sub, at), kinds)]
+        yield pa.record_batch([*cols, pa.concat_arrays([nothing(int(keep.sum()), pa.int32()), pa.array(places, pa.int32())])], names=["doc", "sub", "at", "place"])
+
+    return run
+
+
+def _place(key: np.ndarray) -> np.ndarray:
+    return (key >> np.uint64(64 - _PLACES_LOG2)).astype(np.int64)
 
 
 def _surviving(a: np.ndarray, offsets: np.ndarray, repeated: pa.Array, seed: int, window: int) -> np.ndarray:
@@ -135,11 +154,12 @@ def _surviving(a: np.ndarray, offsets: np.ndarray, repeated: pa.Array, seed: int
     return mark[chosen]
 
 
-def _emit_windows(seed: int, window: int):
+def _emit_windows(seed: int, window: int, crowded: np.ndarray):
     """Map side of the full length: per run its surviving windows, as a mask of starts and their hashes.
 
     Row: (key, doc, sub, start, mask, known, hashes). ``known`` are windows that have an earlier
-    equal in this batch; ``mask`` are those whose hashes follow.
+    equal in this batch; ``mask`` are those whose hashes follow. A window whose run is ``crowded``
+    has a row of its own, under a key that tells its run and its own hash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +173,12 @@ def _emit_windows(seed: int, window: int):
             key, whole = runs[chosen], _polynomial(a, window, _WHOLE)[starts] if len(starts) else starts.astype(np.uint64)
             at = starts - offsets[text]
             known, sent = _settle(key, whole, doc[text], sub[text], at)
+            alone = crowded[_place(key)]
+            key = np.where(alone, (key ^ whole * np.uint64(_RUN)) * np.uint64(_MIX), key)
             # windows of one run are neighbours, so a row's starts lie within window - seed + 1
-            row_new = np.ones(len(starts), dtype=bool)
-            row_new[1:] = chosen[1:] != chosen[:-1]
+            row_new = alone.copy()
+            row_new[:1] = True
+            row_new[1:] |= chosen[1:] != chosen[:-1]
             row = np.cumsum(row_new) - 1
             first = np.flatnonzero(row_new)
             bit = np.int64(1) << (at - at[first][row] if len(first) else at)
@@ -216,31 +239,32 @@ def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.record_batch([pa.array(c[keep]) for c in (doc, sub, start, out)], names=["doc", "sub", "start", "mask"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 (of the kept words joined by a space) of every row.
 
     A word goes if a window over it has an equal that starts earlier: in a smaller doc_id, or
     earlier in the same document. Windows are judged on the input. Null text has no words; a null
     doc_id is after all others; rows that share a doc_id are ordered by their text's hash, and rows
     that repeat entirely are one document with the same result for each. ``window`` must be
-    ``seed`` times a power of two, and below ``seed + 63``.
+    ``seed`` times a power of two, and below ``seed + 63``. Runs that occur over ``crowd`` times have
+    their windows dealt one by one.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return _cut_repeats(rows, "doc_id", "text", window, seed, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return _cut_repeats(rows, "doc_id", "text", window, seed, crowd, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
     """The documents with all their columns, their texts without the words that ``remove_repeats`` takes.
 
     A text that loses nothing stays as it is; another is its kept words joined by a space, empty
     where all go. Rows stay, whatever is left of their text.
     """
     others = [c for c in docs.columns if c != text_col]
-    out = _cut_repeats(docs, id_col, text_col, window, seed, keep_text=True)
+    out = _cut_repeats(docs, id_col, text_col, window, seed, crowd, keep_text=True)
     return out.select(*[F.col("kept_text").alias(c) if c == text_col else F.col(f"rest.c{others.index(c)}").alias(c) for c in docs.columns])
 
 
-def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, keep_text: bool) -> DataFrame:
+def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed: int, crowd: int, keep_text: bool) -> DataFrame:
     """n_words, n_removed and kept_sha256 or kept_text, with the id column or, in ``rest``, all columns but the text."""
     levels = [seed]
     while levels[-1] < window:
@@ -252,8 +276,8 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc")
     # positional names keep the columns that are carried along apart from ours
     carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(c for c in docs.columns if c != text_col)] if keep_text else [F.col(id_col).alias("c0")]
-    rows = docs.select(doc, text_or_empty(text_col).alias("text"), F.struct(*carried).alias("rest")).withColumn("sub", F.xxhash64("text"))
-    # dealt once: every level below reads the same shuffle files, as long as it asks for the same columns
+    rows = docs.select(doc, text_or_empty(text_col).alias("text"), F.struct(*carried).alias("rest")).withColumn("sub", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    # dealt once for the last two steps, which read the same shuffle files as they ask for the same columns
     dealt = rows.repartition(parts, "doc", "sub")
     hashed = F.transform(words("text"), lambda w: F.xxhash64(w))
 
@@ -263,11 +287,15 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
             source = rows.select("doc", "sub", hashed.alias("w"))
         else:
             source = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
-        runs = source.mapInArrow(_emit_runs(level, window, repeated is not None), "key long, doc long, sub long, at int, state byte")
-        repeated = runs.repartition(parts, "key").mapInArrow(_repeated, "doc long, sub long, at int")
+        runs = source.mapInArrow(_emit_runs(level, window, repeated is not None), "key long, doc long, sub int, at int, state byte")
+        counted = materialize(runs.repartition(parts, "key").mapInArrow(_repeated(crowd), "doc long, sub int, at int, place int"), "repeated-runs")
+        repeated = counted.filter("place IS NULL").select("doc", "sub", "at")
+    crowded = np.zeros(1 << _PLACES_LOG2, dtype=bool)
+    for r in counted.filter("place IS NOT NULL").select("place").distinct().collect():  # at most 2**20
+        crowded[r.place] = True
     windows = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
-    windows = windows.mapInArrow(_emit_windows(levels[-2], window), "key long, doc long, sub long, start int, mask long, known long, hashes array<long>")
-    later = windows.repartition(parts, "key").mapInArrow(_later, "doc long, sub long, start int, mask long")
+    windows = windows.mapInArrow(_emit_windows(levels[-2], window, crowded), "key long, doc long, sub int, start int, mask long, known long, hashes array<long>")
+    later = windows.repartition(parts, "key").mapInArrow(_later, "doc long, sub int, start int, mask long")
     marked = later.select("doc", "sub", F.struct("start", "mask").alias("place"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

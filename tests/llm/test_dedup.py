@@ -26,8 +26,8 @@ def repeats(rows, window):
 def test_substring_dedup(docs, rows, no_docs):
     want = repeats(rows, 20)
     assert sum(v[1] for v in want.values()) > 100
-    for seed in (5, 10):
-        got = substring.remove_repeats(docs, 20, seed).collect()
+    for seed, crowd in ((5, 1000), (10, 1000), (10, 1), (5, 3)):
+        got = substring.remove_repeats(docs, 20, seed, crowd=crowd).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id], r.doc_id
