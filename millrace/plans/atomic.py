@@ -137,11 +137,14 @@ true_tstamp timestamp
 """
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "decimal(18,2)": T.DecimalType(18, 2)}
+
+
 def atomic_fields(load_tstamp: bool = False) -> list[T.StructField]:
     """The 128 columns in order, and ``load_tstamp`` where a loader adds it."""
     lines = _COLUMNS.split("\n") + (["load_tstamp timestamp required"] if load_tstamp else [])
     parts = [line.split() for line in lines if line]
-    return [T.StructField(p[0], T._parse_datatype_string(p[1]), len(p) == 2) for p in parts]
+    return [T.StructField(p[0], _TYPES[p[1]], len(p) == 2) for p in parts]
 
 
 def money_fields() -> list[str]:

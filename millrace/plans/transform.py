@@ -49,8 +49,11 @@ def _wrong(source: Column | str, v: Column, t: object) -> Column:
     return _error(source, F.concat(F.lit("WrongType("), F.coalesce(F.to_json(v), F.lit("null")), F.lit(f",{_name(t)})")))
 
 
-def strict(v: Column, t: object, nullable: bool, source: Column | str) -> tuple[Column, Column]:
-    """(value, errors) of a variant as a type, without conversions; missing and JSON null are null."""
+def strict(v: Column, t: object, nullable: bool, source: Column | str, known: dict[str, Column] | None = None) -> tuple[Column, Column]:
+    """(value, errors) of a variant as a type, without conversions; missing and JSON null are null.
+
+    ``known`` gives fields of a struct that are not taken from the variant.
+    """
     target = spark_type(t)
     gone = absent(v)
     none = errors_none() if nullable else F.array(_wrong(source, v, t))
@@ -58,6 +61,9 @@ def strict(v: Column, t: object, nullable: bool, source: Column | str) -> tuple[
     if isinstance(t, Struct):
         parts = []
         for f in t.fields:
+            if known and f.name in known:
+                parts.append((f, known[f.name], errors_none()))
+                continue
             # by the property's own name, or by the column's
             paths = [f.source or f.name, f.name] if f.source not in ("", f.name) else [f.name]
             child = F.coalesce(*[F.try_variant_get(v, f"$['{p}']", "variant") for p in paths])
@@ -111,10 +117,15 @@ def _entity_value(c: EntityColumn, field: Field, versions) -> tuple[Column, Colu
         return F.when(mine, value), F.when(mine, errors).otherwise(errors_none())
     mine = F.filter(F.col("_entities"), lambda e: _of_family(e, c, versions))
     element: Array = field.type
-    one = lambda e: strict(F.try_parse_json(with_schema_version(e["data"], schema_key(e["schema"]))), element.element, element.element_nullable, source)
-    values, errors = F.transform(mine, lambda e: one(e)[0]), F.flatten(F.transform(mine, lambda e: one(e)[1]))
+    kind, nullable = element.element, element.element_nullable
+    if isinstance(kind, Struct):
+        # the version is the key's, whatever the entity has under that name
+        one = lambda e: strict(F.try_parse_json(e["data"]), kind, nullable, source, {"_schema_version": version_text(schema_key(e["schema"]))})
+    else:
+        one = lambda e: strict(F.try_parse_json(with_schema_version(e["data"], schema_key(e["schema"]))), kind, nullable, source)
+    both = F.transform(mine, lambda e: F.struct(*[c.alias(k) for k, c in zip(("value", "errors"), one(e))]))
     # no entity gives null, not an empty array
-    return F.when(F.size(mine) > 0, values), errors
+    return F.when(F.size(mine) > 0, F.transform(both, lambda x: x["value"])), F.flatten(F.transform(both, lambda x: x["errors"]))
 
 
 def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
