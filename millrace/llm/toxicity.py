@@ -105,8 +105,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_co
 def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.15, decay: float = 1e-3, min_rows: int = 8, balance: float = 0.5, association: float = 10.0, seed: int = 7) -> Machine:
     """AdaGrad on the logistic loss over bounded training rows.
 
-    Buckets in fewer than ``min_rows`` rows, or whose chi-square with the label is under
-    ``association``, have no weight. Rows of label 1 count (rows of label 0 /
+    Buckets in fewer than ``min_rows`` rows are left out. Those whose chi-square with the label is
+    under ``association`` have factors but no weight, as they may tell in pairs. Rows of label 1 count (rows of label 0 /
     rows of label 1) ** ``balance`` times. One label only, or no rows: the bias alone.
     """
     table = rows.orderBy("_id", "label").toArrow()
@@ -118,11 +118,12 @@ def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, r
     if len(set(labels.tolist())) < 2:
         return machine
     buckets, places, counts = np.unique(values, return_inverse=True, return_counts=True)
-    # chi-square of each bucket with the label: terms that tell nothing would only add noise
+    # chi-square of each bucket with the label: the weight of one that tells nothing alone would only add noise
     toxic = np.bincount(places, weights=np.repeat(labels, np.diff(offsets)), minlength=len(buckets))
     expected = counts * labels.mean()
     spread = expected * (1 - labels.mean()) * (1 - counts / len(labels))
-    common = (counts >= min_rows) & ((toxic - expected) ** 2 > association * np.maximum(spread, 1e-9))
+    common = counts >= min_rows
+    alone = ((toxic - expected) ** 2 > association * np.maximum(spread, 1e-9))[common]
     position = np.where(common, np.cumsum(common) - 1, -1)[places]
     offsets = np.concatenate(([0], np.cumsum(position >= 0)))[offsets]
     position = position[position >= 0]
@@ -152,7 +153,7 @@ def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, r
             gw[used] += dw**2
             gv[used] += dv**2
             gb += db**2
-            w[used] -= rate * dw / np.sqrt(gw[used])
+            w[used] -= rate * dw / np.sqrt(gw[used]) * alone[used]
             v[used] -= 0.25 * rate * dv / np.sqrt(gv[used])
             b -= rate * db / np.sqrt(gb)
     return Machine(float(b), buckets[common].astype(np.int64), w.astype(np.float32), v.astype(np.float32))
