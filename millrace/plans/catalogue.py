@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -422,15 +424,38 @@ def sniff_codec(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS n_bytes, md5(string_agg(md5(text), '' ORDER BY md5(text))) AS digest FROM documents GROUP BY source")
 def compress_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("source", "doc_id", F.encode("text", "UTF-8").alias("body"))
-    packed = None
+    # null texts have no payload to pack, and a payload over the target goes on as it is
+    each = docs.filter("body IS NULL").select("source", F.col("body").alias("payload"))
     for kind, rest in (("gzip", 0), ("zstd", 1)):
-        own = codecs.compress(docs.filter(F.col("doc_id") % 2 == rest), ["source"], ["doc_id"], "body", kind, 400_000).filter("rejected IS NULL")
-        packed = own if packed is None else packed.unionByName(own)
-    keyed = packed.select(F.xxhash64("source", "message").alias("ordinal"), "source", "message")
-    read = codecs.decompress(keyed, codecs.Limits(10**6, 10**6), "message", "ordinal").filter("error IS NULL")
-    named = read.join(keyed.select("ordinal", "source"), "ordinal")
-    each = named.select("source", F.octet_length("payload").alias("b"), F.md5("payload").alias("m"))
-    return each.groupBy("source").agg(F.count("*").alias("n"), F.sum("b").alias("n_bytes"), F.md5(F.array_join(F.array_sort(F.collect_list("m")), "").cast("binary")).alias("digest"))
+        own = docs.filter(F.col("body").isNotNull() & (F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)) == rest))
+        packed = codecs.compress(own, ["source"], ["doc_id"], "body", kind, 400_000).withColumn("ordinal", F.xxhash64("source", "message_no"))
+        # a record's length has 31 bits; an error is a row without a payload, and so is seen
+        read = codecs.decompress(packed.filter("rejected IS NULL"), codecs.Limits(10**6, (1 << 31) - 1), "message", "ordinal")
+        each = each.unionByName(read.join(packed.select("ordinal", "source"), "ordinal").select("source", "payload"))
+        each = each.unionByName(packed.filter("rejected IS NOT NULL").select("source", F.col("rejected").alias("payload")))
+    return _digests(each.select("source", F.octet_length("payload").alias("b"), F.md5("payload").alias("m")))
+
+
+def _digests(each: DataFrame) -> DataFrame:
+    """n, n_bytes and the digest of the sorted ``m`` of each source; rows stream through, as md5 has an order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        out = lambda: pa.record_batch([pa.array([current], pa.string()), pa.array([state[0]], pa.int64()), pa.array([state[1]], pa.int64()), pa.array([state[2] and state[2].hexdigest()], pa.string())], names=["source", "n", "n_bytes", "digest"])
+        for batch in batches:
+            for source, b, m in zip(*(c.to_pylist() for c in batch.columns)):
+                if state and source != current:
+                    yield out()
+                    state = None
+                current, state = source, state or [0, None, None]
+                state[0] += 1
+                if m is not None:
+                    state[1], state[2] = (state[1] or 0) + b, state[2] or hashlib.md5()
+                    state[2].update(m.encode())
+        if state:
+            yield out()
+
+    return each.repartition("source").sortWithinPartitions("source", "m").mapInArrow(run, "source string, n long, n_bytes long, digest string")
 
 
 @query()
