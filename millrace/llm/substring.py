@@ -12,6 +12,11 @@ once in a batch are settled there: a single one goes on, so a passage that many
 gives a reducer one row a batch. A run that very many windows share, as a common line in ever new
 company does, does not gather them: its windows are dealt one by one under their own hash. Such runs
 are told by a bitmap of fixed size, in which others may be included at no harm.
+
+Runs and windows are told apart by hashes alone: 64 bits for a word and a run, 128 for a window. Reducers
+get their rows in order and stream through them; what they hold is one key's windows of different hash.
+Rows that repeat both doc_id and text are one document. Where very many do, one of them is judged and the
+others get its result by a join.
 """
 
 from __future__ import annotations
@@ -70,6 +75,15 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _once(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The batch with one row of each (doc, sub)."""
+    doc, sub = (batch[k].to_numpy(zero_copy_only=False) for k in (0, 1))
+    order = np.lexsort((sub, doc))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (doc[order][1:] != doc[order][:-1]) | (sub[order][1:] != sub[order][:-1])
+    return batch if new.all() else batch.take(pa.array(np.sort(order[new])))
+
+
 def _emit_runs(seed: int, window: int, again: bool):
     """Map side of a level below the full length: the runs that still stand for windows.
 
@@ -78,7 +92,7 @@ def _emit_runs(seed: int, window: int, again: bool):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_once, batches):
             doc, sub = (batch[k].to_numpy(zero_copy_only=False) for k in (0, 1))
             a, offsets = _lists(batch[2])
             runs, starts, chosen, text = _chosen_runs(a.view(np.uint64), offsets, seed, window)
@@ -113,30 +127,35 @@ def _emit_runs(seed: int, window: int, again: bool):
 
 
 def _repeated(crowd: int):
-    """Reduce side: (doc, sub, at) of the runs whose key occurs twice or more, and rows with just ``place`` for keys that occur over ``crowd`` times.
-
-    Holds one partition's numbers.
-    """
+    """Reduce side, rows in order of key: (doc, sub, at) of the runs whose key occurs twice or more, and rows with just ``place`` for keys that occur over ``crowd`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = list(batches)
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        key, doc, sub, at, state = (table[c].to_numpy() for c in table.column_names)
-        order = np.argsort(key, kind="stable")
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        group = np.cumsum(new) - 1
-        times = np.bincount(group, weights=np.where(state == 2, at, state == 0)[order])
-        repeat = np.zeros(len(key), dtype=bool)
-        repeat[order] = (times > 1)[group]
-        keep = (state == 1) | (state == 0) & repeat
-        places = np.unique(_place(key[order][np.flatnonzero(new)][times > crowd].view(np.uint64)))
-        nothing = lambda n, t: pa.nulls(n, t)
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        cols = [pa.concat_arrays([pa.array(c[keep], t), nothing(len(places), t)]) for c, t in zip((doc, sub, at), kinds)]
-        yield pa.record_batch([*cols, pa.concat_arrays([nothing(int(keep.sum()), pa.int32()), pa.array(places, pa.int32())])], names=["doc", "sub", "at", "place"])
+        last, seen = None, 0  # the last key and how often it came so far
+        held: np.ndarray | None = None  # its only row, while it may yet repeat
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc, sub, at, state = (batch[k].to_numpy(zero_copy_only=False) for k in range(5))
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            group = np.cumsum(new) - 1
+            times = np.bincount(group, weights=np.where(state == 2, at, state == 0)).astype(np.int64)
+            goes_on = last is not None and key[0] == last
+            if goes_on:
+                times[0] += seen
+            keep = (state == 1) | (state == 0) & (times > 1)[group]
+            rows = [np.stack((doc[keep], sub[keep], at[keep]), axis=1)]
+            if held is not None and goes_on and times[0] > 1:
+                rows.append(held)
+            still = held if goes_on and len(times) == 1 else None
+            last, seen = key[-1], int(times[-1])
+            own = np.flatnonzero((group == group[-1]) & (state == 0))
+            held = None if seen != 1 else np.array([[doc[own[0]], sub[own[0]], at[own[0]]]], dtype=np.int64) if len(own) else still
+            found = np.concatenate(rows)
+            places = np.unique(_place(key[np.flatnonzero(new)][times > crowd].view(np.uint64)))
+            kinds = (pa.int64(), pa.int64(), pa.int32())
+            cols = [pa.concat_arrays([pa.array(found[:, k]).cast(t), pa.nulls(len(places), t)]) for k, t in enumerate(kinds)]
+            yield pa.record_batch([*cols, pa.concat_arrays([pa.nulls(len(found), pa.int32()), pa.array(places, pa.int32())])], names=["doc", "sub", "at", "place"])
 
     return run
 
@@ -163,7 +182,7 @@ def _emit_windows(seed: int, window: int, crowded: np.ndarray):
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in map(_once, batches):
             doc, sub = (batch[k].to_numpy(zero_copy_only=False) for k in (0, 1))
             a, offsets = _lists(batch[2])
             a = a.view(np.uint64)
@@ -211,32 +230,35 @@ def _settle(key: np.ndarray, whole: np.ndarray, doc: np.ndarray, sub: np.ndarray
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce side: (doc, sub, start, mask) of windows that have an earlier equal anywhere."""
-    held = list(batches)
-    if not held:
-        return
-    table = pa.Table.from_batches(held).combine_chunks()
-    key, doc, sub, start, mask, known = (table[c].to_numpy() for c in table.column_names[:6])
-    lists = table["hashes"]
-    hashes, ends = _lists(lists.chunk(0) if lists.num_chunks else pa.array([], pa.list_(pa.int64())))
-    row = np.repeat(np.arange(len(key)), np.diff(ends))
-    # the bits of a row's mask, in ascending order, are its hashes' windows
-    rank = np.arange(len(row)) - ends[:-1][row]
-    bit = np.zeros(len(row), dtype=np.int64)
-    left = mask.copy()
-    for k in range(int(rank.max()) + 1 if len(rank) else 0):
-        low = left & -left
-        here = rank == k
-        bit[here] = low[row[here]]
-        left &= left - 1
-    shift = np.zeros(len(bit), dtype=np.int64)
-    some = bit > 0
-    shift[some] = np.round(np.log2(bit[some].astype(np.float64))).astype(np.int64)
-    later, _ = _settle(key[row], hashes, doc[row], sub[row], start[row] + shift)
-    out = known.copy()
-    np.bitwise_or.at(out, row[later], bit[later])
-    keep = out != 0
-    yield pa.record_batch([pa.array(c[keep]) for c in (doc, sub, start, out)], names=["doc", "sub", "start", "mask"])
+    """Reduce side, rows in order of key and place: (doc, sub, start, mask) of windows that have an earlier equal anywhere."""
+    firsts = [np.zeros(0, dtype=np.int64)] * 5  # key, hash, doc, sub, start of the last key's different windows
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, doc, sub, start, mask, known = (batch[k].to_numpy(zero_copy_only=False) for k in range(6))
+        hashes, ends = _lists(batch[6])
+        row = np.repeat(np.arange(len(key)), np.diff(ends))
+        # the bits of a row's mask, in ascending order, are its hashes' windows
+        rank = np.arange(len(row)) - ends[:-1][row]
+        bit = np.zeros(len(row), dtype=np.int64)
+        left = mask.copy()
+        for k in range(int(rank.max()) + 1 if len(rank) else 0):
+            low = left & -left
+            here = rank == k
+            bit[here] = low[row[here]]
+            left &= left - 1
+        shift = np.zeros(len(bit), dtype=np.int64)
+        some = bit > 0
+        shift[some] = np.round(np.log2(bit[some].astype(np.float64))).astype(np.int64)
+        n = len(firsts[0])
+        own = [np.concatenate(x) for x in zip(firsts, (key[row], hashes, doc[row], sub[row], start[row] + shift))]
+        later, first = _settle(*own)
+        kept = first & (own[0] == key[-1])
+        firsts = [x[kept] for x in own]
+        out = known.copy()
+        np.bitwise_or.at(out, row[later[n:]], bit[later[n:]])
+        keep = out != 0
+        yield pa.record_batch([pa.array(c[keep]) for c in (doc, sub, start, out)], names=["doc", "sub", "start", "mask"])
 
 
 def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
@@ -256,8 +278,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: st
 def without_repeats(docs: DataFrame, window: int = 20, seed: int = 10, id_col: str = "doc_id", text_col: str = "text", crowd: int = 1000) -> DataFrame:
     """The documents with all their columns, their texts without the words that ``remove_repeats`` takes.
 
-    A text that loses nothing stays as it is; another is its kept words joined by a space, empty
-    where all go. Rows stay, whatever is left of their text.
+    A text that loses nothing, or is null, stays as it is; another is its kept words joined by a
+    space, empty where all go. Rows stay, whatever is left of their text.
     """
     others = [c for c in docs.columns if c != text_col]
     out = _cut_repeats(docs, id_col, text_col, window, seed, crowd, keep_text=True)
@@ -276,32 +298,39 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("doc")
     # positional names keep the columns that are carried along apart from ours
     carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(c for c in docs.columns if c != text_col)] if keep_text else [F.col(id_col).alias("c0")]
-    rows = docs.select(doc, text_or_empty(text_col).alias("text"), F.struct(*carried).alias("rest")).withColumn("sub", F.xxhash64("text").bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    rest = F.struct(*carried, F.col(text_col).isNull().alias("none")).alias("rest")
+    rows = docs.select(doc, text_or_empty(text_col).alias("text"), rest).withColumn("sub", F.xxhash64("text"))
+    copied = _much_copied(rows)
+    judged = rows
+    if copied is not None:
+        # partial results leave one row of each a task, so copies do not gather
+        once = rows.join(F.broadcast(copied), ["doc", "sub"], "left_semi").groupBy("doc", "sub").agg(F.first("text").alias("text"), F.first("rest").alias("rest"))
+        judged = rows.join(F.broadcast(copied), ["doc", "sub"], "left_anti").select("doc", "sub", "text", "rest").unionByName(once)
     # dealt once for the last two steps, which read the same shuffle files as they ask for the same columns
-    dealt = rows.repartition(parts, "doc", "sub")
+    dealt = judged.repartition(parts, "doc", "sub")
     hashed = F.transform(words("text"), lambda w: F.xxhash64(w))
 
     repeated = None
     for level in levels[:-1]:
         if repeated is None:
-            source = rows.select("doc", "sub", hashed.alias("w"))
+            source = judged.select("doc", "sub", hashed.alias("w"))
         else:
             source = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
-        runs = source.mapInArrow(_emit_runs(level, window, repeated is not None), "key long, doc long, sub int, at int, state byte")
-        counted = materialize(runs.repartition(parts, "key").mapInArrow(_repeated(crowd), "doc long, sub int, at int, place int"), "repeated-runs")
+        runs = source.mapInArrow(_emit_runs(level, window, repeated is not None), "key long, doc long, sub long, at int, state byte")
+        counted = materialize(runs.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeated(crowd), "doc long, sub long, at int, place int"), "repeated-runs")
         repeated = counted.filter("place IS NULL").select("doc", "sub", "at")
     crowded = np.zeros(1 << _PLACES_LOG2, dtype=bool)
     for r in counted.filter("place IS NOT NULL").select("place").distinct().collect():  # at most 2**20
         crowded[r.place] = True
     windows = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
-    windows = windows.mapInArrow(_emit_windows(levels[-2], window, crowded), "key long, doc long, sub int, start int, mask long, known long, hashes array<long>")
-    later = windows.repartition(parts, "key").mapInArrow(_later, "doc long, sub int, start int, mask long")
+    windows = windows.mapInArrow(_emit_windows(levels[-2], window, crowded), "key long, doc long, sub long, start int, mask long, known long, hashes array<long>")
+    later = windows.repartition(parts, "key").sortWithinPartitions("key", "doc", "sub", "start").mapInArrow(_later, "doc long, sub long, start int, mask long")
     marked = later.select("doc", "sub", F.struct("start", "mask").alias("place"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, removed, out = [], [], []
-            for text, places in zip(batch[1].cast(pa.binary()).to_pylist(), batch[2].to_pylist()):
+            for text, places in zip(batch[3].cast(pa.binary()).to_pylist(), batch[4].to_pylist()):
                 own = text.split()
                 kept = own
                 if places:
@@ -322,18 +351,34 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
                     out.append((text if len(kept) == len(own) else b" ".join(kept)).decode())
                 else:
                     out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            cols = [batch[0], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
-            yield pa.record_batch(cols, names=["rest", "n_words", "n_removed", result])
+            cols = [*batch.columns[:3], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+            yield pa.record_batch(cols, names=["doc", "sub", "rest", "n_words", "n_removed", result])
 
     result = "kept_text" if keep_text else "kept_sha256"
-    schema = f"rest {rows.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, {result} string"
-    cut_rows = _with_lists(dealt, marked, "place", "left").select("rest", "text", "place").mapInArrow(cut, schema)
-    return cut_rows.select(F.col("rest.c0").alias("doc_id"), "n_words", "n_removed", result) if not keep_text else cut_rows
+    schema = f"doc long, sub long, rest {rows.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, {result} string"
+    found = _with_lists(dealt, marked, "place", "left").select("doc", "sub", "rest", "text", "place").mapInArrow(cut, schema)
+    if copied is not None:
+        found = materialize(found, "cut-texts")
+        few = found.join(F.broadcast(copied), ["doc", "sub"], "left_anti")
+        # an ordinary join, which can split the copies of one document
+        many = rows.join(F.broadcast(copied), ["doc", "sub"], "left_semi").select("doc", "sub", "rest")
+        many = many.join(found.join(F.broadcast(copied), ["doc", "sub"], "left_semi").drop("rest"), ["doc", "sub"])
+        found = few.unionByName(many)
+    if keep_text:
+        return found.select("rest", F.when(~F.col("rest.none"), F.col(result)).alias(result))
+    return found.select(F.col("rest.c0").alias("doc_id"), "n_words", "n_removed", result)
+
+
+def _much_copied(rows: DataFrame, least: int = 1000, most: int = 10_000) -> DataFrame | None:
+    """The pairs (doc, sub) that over ``least`` rows and over one in ``most`` of all have: fewer than ``most`` pairs."""
+    bound = max(least, rows.count() // most)
+    found = rows.groupBy("doc", "sub").agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("doc", "sub").collect()
+    return rows.sparkSession.createDataFrame(found, "doc long, sub long") if found else None
 
 
 def _with_lists(dealt: DataFrame, places: DataFrame, column: str, how: str) -> DataFrame:
     """Join each text with the list of its places; a text's list is at most as long as the text."""
-    lists = places.groupBy("doc", "sub").agg(F.collect_list(column).alias(column))
+    lists = places.groupBy("doc", "sub").agg(F.collect_set(column).alias(column))
     return dealt.join(lists, ["doc", "sub"], how)
 
 
