@@ -1,16 +1,20 @@
 """Token counts by a compiled finite-state tokenizer.
 
-The tokenizer file is compiled into a deterministic transducer that never builds a token. Its
-states are START (after a blank) and the pieces of text read since then; a blank is the
-transition back to START and carries the number of tokens that the piece emits. Paths from START
-to START are compiled when first met: a small table-driven automaton over character classes cuts
-the piece at the pretokenizer's boundaries, and each pretoken's count comes from the merge table.
-
-A chunk of text is a map from states to states with a count. As every blank resets the machine,
-that map is given by three parts: what the chunk adds to an open piece (``head``), what it emits
-between its first and last blank whatever came before (``inner``), and the piece it leaves open
-(``tail``); without a blank it only extends the open piece. Such maps compose associatively, so
-chunks are read anywhere in any order and composed by a prefix scan.
+The tokenizer file is compiled into a deterministic transducer over characters that never builds a
+token. Its transitions carry the number of tokens by which a character changes the count, which
+merges can make negative. A state says what kind of pretoken is open, the open pretoken's last character (it
+is spelled differently at a word's end) and the merge state of what is before that.
+
+The merge state rests on two facts about merges learned in order. A sequence of tokens is what the merges
+make of its text exactly if every two neighbours are, so each beginning of a pretoken has one last
+token, and that is found from the last tokens of shorter beginnings. And no token reaches back
+further than the longest end of the text that begins a token. So the state is that end, with the last
+tokens and relative counts at its places: finitely many, compiled when first met and kept within a bound.
+
+A blank leads from every state to the start. So a chunk of text is a map from states to states with a
+count, given by what it holds before its first blank (``head``), what it emits after that whatever
+came before (``inner``) and the state it ends in (``state``); a chunk without a blank is all head. Such maps compose
+associatively. Every text is cut into chunks, whose maps are composed pairwise, level by level, as a prefix scan does.
 """
 
 from __future__ import annotations
@@ -26,11 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
-from .tokens import byte_symbols, default_path
+from .tokens import Kept, byte_symbols, default_path
 
-_BLANKS = " \t\n\x0b\x0c\r"
 #: Unicode's White_Space (fixed value); the other characters that Python calls blank are none.
 _WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = re.compile(f"[{_WHITE}]+")
+_MARKS = ",.!?:;"
 _SUFFIXES = ("s", "t", "re", "ve", "m", "ll", "d")
 
 
@@ -42,128 +47,279 @@ def _char_class(c: str) -> str:
 
 
 class CountTransducer:
-    """Counts tokens of a lower-casing word-end BPE file; ``counts`` maps a blank-free piece to its tokens.
-
-    ``bound`` limits the compiled transitions that are kept; others are compiled each time.
+    """Counts tokens of a lower-casing word-end BPE file. ``bound`` limits the transitions that are kept.
+
+    States are numbers. A merge state is the longest end of what was read that begins a token (``tails``) and,
+    for each place in it (``places``), the last token before it (0: none) times 256, plus 128 and the
+    tokens that make up what is before it less those of all that was read. A state of the whole machine is the
+    kind of the open pretoken, where an apostrophe that may begin a suffix is a kind of its own,
+    the merge state before its last character, and that character. A transition is the next state
+    times 4096, plus ZERO and the change of the count.
     """
 
-    def __init__(self, path: str, bound: int = 500_000):
+    ZERO = 2048
+
+    def __init__(self, path: str, bound: int = 600_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
         if model["type"] != "BPE" or not model["end_of_word_suffix"] or kinds != ["NFC", "Replace", "Lowercase"]:
             raise ValueError("only lower-casing BPE with word ends is compiled")
-        pairs = (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])
-        self.rank = {(a, b): k for k, (a, b) in enumerate(pairs)}
-        self.end = model["end_of_word_suffix"]
-        self.symbols = byte_symbols()
         self.special = re.compile("(" + "|".join(re.escape(t["content"]) for t in spec["added_tokens"]) + ")")
+        # a symbol is a character: the stand-in of a byte, or 0x1000 further on at a word's end
+        end, self.byte = model["end_of_word_suffix"], byte_symbols()
+        spell = lambda t: t[: -len(end) - 1] + chr(ord(t[-len(end) - 1]) + 0x1000) if t.endswith(end) else t
+        self.last_byte = {b: chr(ord(s) + 0x1000) for b, s in self.byte.items()}
+        symbols = [*self.byte.values(), *self.last_byte.values()]
+        self.tokens = {s: k for k, s in enumerate(symbols, 1)}
+        self.parts: list[tuple[int, int] | None] = [None] * (len(symbols) + 1)
+        self.born = [-1] * len(self.parts)
+        self.rank: dict[tuple[int, int], int] = {}
+        for k, m in enumerate(model["merges"]):
+            a, b = map(spell, m if isinstance(m, list) else m.split(" ", 1))
+            if a + b in self.tokens:
+                raise ValueError("a token is made by two merges")
+            pair = self.tokens[a], self.tokens[b]
+            self.rank[pair] = k
+            self.tokens[a + b] = len(self.parts)
+            self.parts.append(pair)
+            self.born.append(k)
+        # tokens that the merges do not make of their own text never occur
+        made = [True] * len(self.parts)
+        for token in range(len(symbols) + 1, len(self.parts)):
+            a, b = self.parts[token]
+            made[token] = made[a] and made[b] and self._stays(a, b, self.born[token])
+        self.tokens = {t: k for t, k in self.tokens.items() if made[k]}
+        self.begins = {t[:k] for t in self.tokens for k in range(len(t))}
         self.bound = bound
         self.classes: dict[str, str] = {}
-        self.words: dict[str, int] = {}
-        outer = self
-
-        class Paths(dict):
-            def __missing__(self, piece: str) -> int:
-                n = outer.compile(piece)
-                if len(self) < outer.bound:
-                    self[piece] = n
-                return n
-
-        self.counts = Paths()
-
-    def _cut(self, text: str) -> Iterator[str]:
-        """Pretokens, by the automaton over character classes."""
-        at, n, state = 0, len(text), "start"
-        begin = 0
-        while at < n:
-            c = text[at]
-            kind = self.classes.get(c)
-            if kind is None:
-                kind = self.classes[c] = _char_class(c)
-            # a run goes on inside letters or inside others; digits stand alone
-            if state == kind and kind != "digit":
-                at += 1
-                continue
-            if state not in ("start", "blank"):
-                yield text[begin:at]
-            begin = at
-            if c == "'" and (found := next((s for s in _SUFFIXES if text.startswith(s, at + 1)), None)):
-                yield text[at : at + 1 + len(found)]
-                at += 1 + len(found)
-                begin, state = at, "start"
-            else:
-                at, state = at + 1, kind
-        if state not in ("start", "blank"):
-            yield text[begin:]
-
-    def _word(self, word: str) -> int:
-        """Symbols left of a pretoken when no pair of neighbours has a merge."""
-        n = self.words.get(word)
-        if n is not None:
-            return n
-        parts = [self.symbols[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank = self.rank
-        while len(parts) > 1:
-            best = min((rank.get(p, 1 << 30), p) for p in zip(parts, parts[1:]))
-            if best[0] == 1 << 30:
-                break
-            (a, b), out, k = best[1], [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and parts[k] == a and parts[k + 1] == b:
-                    out.append(a + b)
-                    k += 2
-                else:
-                    out.append(parts[k])
+        self.utf8: dict[str, tuple[str, str]] = {}
+        self.pieces = Kept(self._piece, 48 << 20, longest=40)
+        self._forget()
+
+    def _forget(self, state: int | None = None) -> int | None:
+        """Drop what was compiled and give ``state``, if any, its new number."""
+        kept = None if state is None else (self.kinds[state], self.tails[self.merged[state]], self.places[self.merged[state]], self.lasts[state])
+        self.tails, self.places, self.merge_ids, self.pushes = [], [], {}, {}
+        self.kinds, self.merged, self.lasts, self.state_ids, self.moves = [], [], [], {}, {}
+        self.ends: dict[int, int] = {}
+        self.together: dict[int, bool] = {}
+        self._merge_state("", (128,))
+        self._state("start", 0, "")
+        return kept and self._state(kept[0], self._merge_state(kept[1], kept[2]), kept[3])
+
+    def _merge_state(self, tail: str, places: tuple[int, ...]) -> int:
+        new = len(self.tails)
+        got = self.merge_ids.setdefault((tail, places), new)
+        if got == new:
+            self.tails.append(tail)
+            self.places.append(places)
+        return got
+
+    def _state(self, kind: str, merged: int, last: str) -> int:
+        new = len(self.kinds)
+        got = self.state_ids.setdefault((kind, merged, last), new)
+        if got == new:
+            self.kinds.append(kind)
+            self.merged.append(merged)
+            self.lasts.append(last)
+        return got
+
+    # merges
+
+    def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """(token, when it is made, when it is merged) along one edge of a token's merges."""
+        out, until = [], 1 << 60
+        while True:
+            out.append((token, self.born[token], until))
+            if self.parts[token] is None:
+                return out
+            until, token = self.born[token], self.parts[token][side]
+
+    def _stays(self, a: int, b: int, before: int = 1 << 60) -> bool:
+        """Whether no merge learned before ``before`` crosses from token a's text to token b's: none of their edges meet while both exist."""
+        right = self._spine(b, 0)
+        for x, made, until in self._spine(a, 1):
+            for y, y_made, y_until in right:
+                r = self.rank.get((x, y))
+                # of equal pairs side by side the left one merges first
+                if r is not None and r < before and made < r < until and y_made < r <= y_until:
+                    return False
+        return True
+
+    def _last(self, text: str, places: tuple[int, ...]) -> tuple[int, int]:
+        """The last token of what a state read and one more symbol, and by how many tokens the symbol changes the count."""
+        tokens, together, k = self.tokens, self.together, 0
+        for place in places:
+            found = tokens.get(text[k:])
+            if found is not None:
+                key = place >> 8 << 20 | found
+                fits = place < 256 or together.get(key)
+                if fits is None:
+                    if len(together) > 4 * self.bound:
+                        together.clear()
+                    fits = together[key] = self._stays(place >> 8, found)
+                if fits:
+                    return found, (place & 255) - 127
+            k += 1
+        raise ValueError("a symbol that is no token")
+
+    def _read(self, state: int, symbols: str) -> tuple[int, int]:
+        """The merge state after some more symbols, and by how many tokens they change the count."""
+        n = 0
+        for symbol in symbols:
+            key = state << 13 | ord(symbol)
+            got = self.pushes.get(key)
+            if got is None:
+                text, places, begins, k = self.tails[state] + symbol, self.places[state], self.begins, 0
+                token, change = self._last(text, places)
+                while text[k:] not in begins:
                     k += 1
-            parts = out
-        if len(self.words) < self.bound:
-            self.words[word] = len(parts)
-        return len(parts)
+                after = self._merge_state(text[k:], (*[p - change for p in places[k:]], token << 8 | 128))
+                got = self.pushes[key] = after << 12 | change + self.ZERO
+            state = got >> 12
+            n += (got & 4095) - self.ZERO
+        return state, n
+
+    def _spelled(self, c: str) -> tuple[str, str]:
+        """A character's symbols inside a word and at its end."""
+        got = self.utf8.get(c)
+        if got is None:
+            data = c.encode()
+            inside = "".join(map(self.byte.__getitem__, data))
+            got = self.utf8[c] = inside, inside[:-1] + self.last_byte[data[-1]]
+        return got
+
+    # characters
 
-    def compile(self, piece: str) -> int:
-        """Tokens of a piece between two blanks. Special strings are one token each, as the library's default has it."""
-        n = 0
-        for k, part in enumerate(self.special.split(piece)):
-            if k % 2:
-                n += 1
-            elif part:
-                part = part if part.isascii() else unicodedata.normalize("NFC", part)
-                # letter by letter: the library knows no final sigma
-                part = part.lower() if "Σ" not in part else "".join(c.lower() for c in part)
-                n += sum(map(self._word, self._cut(part)))
+    def _word(self, word: str) -> int:
+        """Tokens of a whole pretoken."""
+        # ASCII letters and marks are their own symbols
+        s, n = self._read(0, word[:-1] if word.isascii() else "".join(self._spelled(c)[0] for c in word[:-1]))
+        return n + self._close(s, word[-1])
+
+    def _close(self, merged: int, last: str) -> int:
+        """By how many tokens a word's last character changes the count."""
+        symbols = self._spelled(last)[1]
+        merged, n = self._read(merged, symbols[:-1])
+        return n + self._last(self.tails[merged] + symbols[-1], self.places[merged])[1]
+
+    def end(self, s: int) -> int:
+        """Tokens that a blank or the end of the text adds."""
+        n = self.ends.get(s)
+        if n is None:
+            kind = self.kinds[s]
+            n = 0 if kind == "start" else sum(map(self._word, kind)) if kind[0] == "'" else self._close(self.merged[s], self.lasts[s])
+            self.ends[s] = n
         return n
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
-        """(head, inner, tail) of a chunk; tail None where it has no blank and so no reset."""
-        pieces = re.split(f"[{_BLANKS}]+", chunk)
+    def _step(self, s: int, c: str) -> tuple[int, int]:
+        """The state that a character leads to and what it emits."""
+        kind = self.classes.get(c)
+        if kind is None:
+            kind = self.classes[c] = _char_class(c)
+        open_ = self.kinds[s]
+        if open_ == "start":
+            if kind == "blank":
+                return 0, 0
+            if kind == "digit":
+                return 0, self._word(c)
+            return self._state("'" if c == "'" else kind, 0, c), 0
+        if open_ == kind:
+            merged, n = self._read(self.merged[s], self._spelled(self.lasts[s])[0])
+            return self._state(kind, merged, c), n
+        if open_[0] == "'":
+            suffix = open_[1:] + c
+            if suffix in _SUFFIXES:
+                return 0, self._word("'" + suffix)
+            if any(x.startswith(suffix) for x in _SUFFIXES):
+                return self._state("'" + suffix, 0, c), 0
+            if open_ == "'" and kind == "other":
+                merged, n = self._read(0, self._spelled("'")[0])
+                return self._state("other", merged, c), n
+            # no suffix: the apostrophe is a pretoken and what followed it begins another
+            after, n = self.run(0, suffix)
+            return after, self._word("'") + n
+        after, n = self._step(0, c)
+        return after, self.end(s) + n
+
+    def run(self, s: int, text: str) -> tuple[int, int]:
+        """Read text from a state: the state it leads to and what it emits. Transitions are compiled when first met."""
+        n, moves = 0, self.moves
+        for c in text:
+            key = s << 21 | ord(c)
+            got = moves.get(key)
+            if got is None:
+                after, change = self._step(s, c)
+                got = moves[key] = after << 12 | change + self.ZERO
+            s = got >> 12
+            n += got & 4095
+        return s, n - self.ZERO * len(text)
+
+    # chunks
+
+    def _piece(self, piece: str) -> int:
+        """Tokens of the path from START over a piece without a blank, and back."""
+        # most are one pretoken of letters, or that and a mark: the merge states alone tell these
+        if piece.isalpha():
+            return self._word(piece)
+        if piece[:-1].isalpha() and piece[-1:] in _MARKS:
+            return self._word(piece[:-1]) + self._word(piece[-1])
+        s, n = self.run(0, piece)
+        return n + self.end(s)
+
+    def normalize(self, text: str) -> str:
+        text = text if text.isascii() else unicodedata.normalize("NFC", text)
+        # letter by letter: the library knows no final sigma
+        return text.lower() if "Σ" not in text else "".join(c.lower() for c in text)
+
+    def chunk_map(self, chunk: str) -> tuple[str, int, int | None]:
+        """(head, inner, state) of a chunk of normalized text; state None where it has no blank and so no reset."""
+        pieces = _BLANKS.split(chunk)
         if len(pieces) == 1:
             return chunk, 0, None
-        return pieces[0], sum(map(self.counts.__getitem__, pieces[1:-1])), pieces[-1]
+        state, n = self.run(0, pieces[-1])
+        return pieces[0], n + sum(map(self.pieces.__getitem__, pieces[1:-1])), state
 
-    def compose(self, a: tuple[str, int, str | None], b: tuple[str, int, str | None]) -> tuple[str, int, str | None]:
+    def compose(self, a: tuple[str, int, int | None], b: tuple[str, int, int | None]) -> tuple[str, int, int | None]:
         """The map that reads a and then b; associative."""
         if a[2] is None:
             return a[0] + b[0], b[1], b[2]
+        state, n = self.run(a[2], b[0])
         if b[2] is None:
-            return a[0], a[1], a[2] + b[0]
-        return a[0], a[1] + self.counts[a[2] + b[0]] + b[1], b[2]
+            return a[0], a[1] + n, state
+        return a[0], a[1] + n + self.end(state) + b[1], b[2]
 
-    def scan(self, maps: list[tuple[str, int, str | None]]) -> tuple[str, int, str | None]:
-        """Compose a sequence of maps pairwise, level by level, as a prefix scan does."""
+    def scan(self, maps: list[tuple[str, int, int | None]]) -> tuple[str, int, int | None]:
+        """Compose a sequence of maps pairwise, level by level."""
         while len(maps) > 1:
             maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
         return maps[0] if maps else ("", 0, None)
 
-    def finish(self, state_map: tuple[str, int, str | None]) -> int:
+    def finish(self, whole: tuple[str, int, int | None]) -> int:
         """Tokens that the map emits from START to the end of the text."""
-        head, inner, tail = state_map
-        return self.counts[head] + inner + (self.counts[tail] if tail else 0)
+        head, inner, state = whole
+        return self.pieces[head] + inner + (self.end(state) if state is not None else 0)
 
-    def count(self, text: str) -> int:
-        return sum(map(self.counts.__getitem__, re.split(f"[{_BLANKS}]+", text)))
+    def count(self, text: str, chunk_chars: int = 4096, block: int = 64) -> int:
+        """Tokens of a whole text. Special strings are one token each, as the library's default has it, and part it.
+
+        Compiled transitions may be dropped after each ``block`` of chunks.
+        """
+        n = 0
+        for k, part in enumerate(self.special.split(text)):
+            if k % 2:
+                n += 1
+                continue
+            part, whole = self.normalize(part), ("", 0, None)
+            for at in range(0, len(part), block * chunk_chars):
+                chunks = part[at : at + block * chunk_chars]
+                whole = self.compose(whole, self.scan([self.chunk_map(chunks[k : k + chunk_chars]) for k in range(0, len(chunks), chunk_chars)]))
+                if len(self.moves) + len(self.pushes) > self.bound:
+                    whole = whole[0], whole[1], self._forget(whole[2])
+            n += self.finish(whole)
+        return n
 
 
 @lru_cache(maxsize=2)
@@ -172,49 +328,20 @@ def transducer(path: str) -> CountTransducer:
     return CountTransducer(path)
 
 
-def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, chunk_chars: int = 1 << 18, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 2048, chunk_chars: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every whole text (null: empty), a row for each row.
 
-    Texts of at most ``chunk_chars`` characters are counted where they are read. Longer ones are
-    cut into chunks that are dealt over the cluster, each turned into its state map; only the maps
-    are gathered, by text, and composed in order. Rows that repeat keep their number.
+    Texts of every length go the same way: chunks of ``chunk_chars`` characters, their state maps,
+    and the scan over these. Narrow: nothing is shuffled, and rows that repeat keep their number.
     """
     tokenizer = tokenizer or default_path("word_bpe_49k.json")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("n_bytes", F.octet_length("text").cast("long"))
-    long_text = F.char_length("text") > chunk_chars
-
-    def count_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(tokenizer)
-        for batch in batches:
-            n = [machine.count(t) for t in batch[2].to_pylist()]
-            yield pa.record_batch([batch[0], batch[1], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc_id, n_bytes, digest, text in zip(*(c.to_pylist() for c in batch.columns)):
-                for k, at in enumerate(range(0, len(text), chunk_chars)):
-                    yield pa.record_batch([pa.array([doc_id], pa.int64()), pa.array([n_bytes], pa.int64()), pa.array([digest]), pa.array([k], pa.int64()), pa.array([text[at : at + chunk_chars]])], names=["doc_id", "n_bytes", "digest", "chunk", "text"])
-
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = transducer(tokenizer)
-        for batch in batches:
-            found = [machine.chunk_map(t) for t in batch[4].to_pylist()]
-            cols = [*batch.columns[:4], *(pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int64(), pa.string())))] if found else [*batch.columns[:4], pa.array([], pa.string()), pa.array([], pa.int64()), pa.array([], pa.string())]
-            yield pa.record_batch(cols, names=["doc_id", "n_bytes", "digest", "chunk", "head", "inner", "tail"])
 
-    def compose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(tokenizer)
         for batch in batches:
-            n = [machine.finish(machine.scan([(m["head"], m["inner"], m["tail"]) for m in own])) for own in batch[2].to_pylist()]
+            n = [machine.count(t, chunk_chars) for t in batch[2].to_pylist()]
             yield pa.record_batch([batch[0], batch[1], pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
-    counted = "doc_id long, n_bytes long, n_tokens long"
-    short = rows.filter(~long_text).select("doc_id", "n_bytes", "text").mapInArrow(count_short, counted)
-    chunks = rows.filter(long_text).select("doc_id", "n_bytes", F.sha2("text", 256).alias("digest"), "text").mapInArrow(cut, "doc_id long, n_bytes long, digest string, chunk long, text string")
-    mapped = chunks.repartition("doc_id", "chunk").mapInArrow(maps, "doc_id long, n_bytes long, digest string, chunk long, head string, inner long, tail string")
-    key = ["doc_id", "n_bytes", "digest"]
-    once = mapped.groupBy(*key, "chunk").agg(F.any_value(F.struct("head", "inner", "tail")).alias("m"), F.count("*").alias("copies"))
-    whole = once.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("chunk", "m.head", "m.inner", "m.tail"))).alias("maps"), F.max("copies").alias("copies"))
-    long_ = whole.select("doc_id", "n_bytes", "maps", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("doc_id", "n_bytes", "maps").mapInArrow(compose, counted)
-    return short.unionByName(long_).withColumn("over_limit", F.col("n_tokens") > limit)
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)

@@ -41,28 +41,39 @@ def _ids(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-class _Units(dict):
-    """unit -> ids as bytes; units beyond the bound are worked out each time, not kept."""
+class Kept(dict):
+    """What ``make`` gives for a key, kept for keys of up to ``longest`` characters.
 
-    def __init__(self, make, bound: int):
+    Once keys and values hold ``most`` bytes all are dropped, so that a worker's memory is bounded
+    whatever the texts hold.
+    """
+
+    #: Bytes of an entry besides its key's and its value's (a rough figure).
+    ENTRY = 110
+
+    def __init__(self, make, most: int, longest: int = 100):
         super().__init__()
-        self.make, self.bound = make, bound
+        self.make, self.most, self.longest, self.held = make, most, longest, 0
 
-    def __missing__(self, unit):
-        ids = self.make(unit)
-        if len(self) < self.bound:
-            self[unit] = ids
-        return ids
+    def __missing__(self, key):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            self.held += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+            if self.held > self.most:
+                self.clear()
+                self.held = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+            self[key] = value
+        return value
 
 
 class Encoder:
     """Exactly the ids of ``Tokenizer.encode(text, add_special_tokens=False)``.
 
-    ``units`` bounds the cache of blank-separated units, ``pretokens`` that of the pieces inside
+    ``units`` bounds the bytes of each of two caches of blank-separated units, ``pretokens`` those of the pieces inside
     them. Files of another make than the two known ones are encoded by the library text by text.
     """
 
-    def __init__(self, path: str, units: int = 600_000, pretokens: int = 400_000):
+    def __init__(self, path: str, units: int = 64 << 20, pretokens: int = 48 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -84,12 +95,12 @@ class Encoder:
         elif kinds == ["NFC", "Replace", "Lowercase"] and pre["type"] == "Sequence" and pre["pretokenizers"][0].get("behavior") == "Removed":
             self.kind = "blank"
             self.split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
-        self.pretokens = _Units(self._pretoken, pretokens)
-        self.units = _Units(self._unit, units)
+        self.pretokens = Kept(self._pretoken, pretokens)
+        self.units = Kept(self._unit, units)
         # what follows a space, or a line feed, which is kept at the unit's start; the first unit of a
         # text follows neither and is marked by a null character, which no plain unit has
         mark = {"\n": lambda u: u, "\0": lambda u: u[1:]}
-        self.later = _Units(lambda unit: self._unit(mark.get(unit[0], " ".__add__)(unit)), units)
+        self.later = Kept(lambda unit: self._unit(mark.get(unit[0], " ".__add__)(unit)), units)
 
     def _whole(self, text: str) -> bytes:
         return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
