@@ -5,6 +5,12 @@ that share a seed, a run of ``min_match`` words, are tiled: the longest runs tha
 that no tile covers yet are marked, again and again, found by running Karp-Rabin over run lengths
 that shrink to ``min_match``. Order plays no part, so passages that were reordered are covered
 piece by piece. A pair counts as contaminated if tiles cover enough of the item.
+
+Documents are read once, whatever the benchmark's size. A Bloom filter of the items' seeds, of fixed size, goes to
+every task; of a document only the stretches under seeds that pass it are kept, which is all that tiles can
+cover. Seeds are then joined. An item offers only its rarest seeds for that, just so many that the others
+cover too little of it: a contaminated document has one of them. So a seed that very many documents and
+items share makes pairs only where nothing rarer can.
 """
 
 from __future__ import annotations
@@ -19,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, text_or_empty
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+#: Bits of the Bloom filter of seeds, as a power of two, and how many of them stand for a seed.
+_BLOOM_LOG2, _BLOOM_HASHES = 24, 3
 
 
 def tokens(text: Column | str) -> Column:
@@ -27,11 +35,27 @@ def tokens(text: Column | str) -> Column:
     return F.transform(found, lambda w: F.xxhash64(w))
 
 
-def _run_hashes(a: np.ndarray, length: int) -> np.ndarray:
-    """Karp-Rabin hash of every run of ``length`` tokens."""
+class _Hashes:
+    """Karp-Rabin hashes of all runs of an array, of any length, from running sums mod 2**64."""
+
+    def __init__(self, a: np.ndarray):
+        n = len(a)
+        # an odd base has an inverse, so a run's sum is moved to where it would begin
+        up, down = (np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n, x, dtype=np.uint64)))) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+        self.sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(a * up[:n], dtype=np.uint64)))
+        self.down = down
+
+    def runs(self, length: int) -> np.ndarray:
+        n = max(len(self.sums) - length, 0)
+        out = (self.sums[length:] - self.sums[:n]) * self.down[:n]
+        return (out ^ (out >> np.uint64(31))) * np.uint64(_MIX)
+
+
+def _seed_hashes(a: np.ndarray, length: int) -> np.ndarray:
+    """The same hashes of one short length."""
     n = max(len(a) - length + 1, 0)
     out = np.zeros(n, dtype=np.uint64)
-    for k in range(length if n else 0):
+    for k in range(length - 1, -1, -1) if n else ():
         out = out * np.uint64(_BASE) + a[k : k + n]
     return (out ^ (out >> np.uint64(31))) * np.uint64(_MIX)
 
@@ -42,112 +66,207 @@ def _free_runs(marked: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(total[length:] == total[:-length]) if len(marked) >= length else np.zeros(0, dtype=np.int64)
 
 
-def _matches(text: np.ndarray, item: np.ndarray, in_text: np.ndarray, in_item: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """Runs (length, start in item, start in text) of at least ``length`` unmarked tokens that both have."""
-    if min(len(text), len(item)) < length:
-        return []
-    hashes, wanted = _run_hashes(text, length), _run_hashes(item, length)
-    free, item_free = _free_runs(in_text, length), _free_runs(in_item, length)
-    where: dict[int, list[int]] = {}
-    for t in free[np.isin(hashes[free], wanted[item_free])].tolist():
-        where.setdefault(int(hashes[t]), []).append(t)
-    found = []
-    for i in item_free.tolist():
-        for t in where.get(int(wanted[i]), ()):
-            n = 0
-            while t + n < len(text) and i + n < len(item) and text[t + n] == item[i + n] and not in_text[t + n] and not in_item[i + n]:
-                n += 1
-            if n >= length:
-                found.append((n, i, t))
-    return found
-
-
-def greedy_tiles(text: np.ndarray, item: np.ndarray, min_match: int) -> list[tuple[int, int, int]]:
+def greedy_tiles(text: np.ndarray, item: np.ndarray, min_match: int, closed: np.ndarray | None = None) -> list[tuple[int, int, int]]:
     """Tiles (start in text, start in item, length), none overlapping, longest first.
 
     Of matches of equal length the one that starts earliest in the item, then in the text, is marked.
+    ``closed`` marks places of the text that no tile may cover. The longest length left is found by
+    halving, with all runs of a length hashed at once; as the tiles of different lengths add up to the
+    item at most, the lengths are few, however often words repeat.
     """
-    in_text, in_item = np.zeros(len(text), dtype=bool), np.zeros(len(item), dtype=bool)
+    in_text = np.zeros(len(text), dtype=bool) if closed is None else closed.copy()
+    in_item = np.zeros(len(item), dtype=bool)
+    hashes, wanted = _Hashes(text), _Hashes(item)
+
+    def common(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts in item and text of free runs that both have, and all hashes."""
+        a, b = hashes.runs(length), wanted.runs(length)
+        free, item_free = _free_runs(in_text, length), _free_runs(in_item, length)
+        own = item_free[np.isin(b[item_free], a[free])]
+        return own, free[np.isin(a[free], b[own])], a, b
+
     out: list[tuple[int, int, int]] = []
-    length = max(min_match, len(item))
-    while length:
-        found = _matches(text, item, in_text, in_item, length)
-        longest = max((n for n, _, _ in found), default=0)
-        # only the longest are marked before the next search: marks shorten the matches they touch
-        for n, i, t in sorted(found, key=lambda m: m[1:]):
-            if n == longest and not in_text[t : t + n].any() and not in_item[i : i + n].any():
-                in_text[t : t + n] = in_item[i : i + n] = True
-                out.append((t, i, n))
-        if not found:
-            length = max(min_match, length // 2) if length > min_match else 0
+    most = min(len(text), len(item))
+    while most >= min_match:
+        low, high = min_match - 1, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if len(common(middle)[0]) else (low, middle - 1)
+        if low < min_match:
+            break
+        starts, places, a, b = common(low)
+        where: dict[int, list[int]] = {}
+        for t in places[::-1].tolist():
+            where.setdefault(int(a[t]), []).append(t)
+        for i in starts.tolist():
+            if in_item[i : i + low].any():
+                continue
+            left = where.get(int(b[i]), [])
+            while left and in_text[left[-1] : left[-1] + low].any():
+                left.pop()
+            if left and (text[left[-1] : left[-1] + low] == item[i : i + low]).all():
+                t = left.pop()
+                in_text[t : t + low] = in_item[i : i + low] = True
+                out.append((t, i, low))
+        most = low - 1
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_tokens: int) -> Iterator[list[tuple[int, list[int]]]]:
-    """The benchmark's items in blocks of about ``block_tokens`` tokens, each small enough to broadcast."""
-    items = materialize(benchmark.select(F.col(id_col).cast("long").alias("item_id"), tokens(text_col).alias("t")), "benchmark")
-    size = items.agg(F.sum(F.size("t"))).first()[0] or 0
-    n = -(-size // block_tokens)
-    for k in range(n):
-        yield [(r.item_id, r.t) for r in items.filter(F.pmod(F.xxhash64("item_id", "t"), F.lit(n)) == k).collect()]
+def covered(n: int, starts: np.ndarray, length: int) -> int:
+    """Places of ``n`` that runs of a length at these starts cover."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, starts, 1)
+    np.add.at(edge, starts + length, -1)
+    return int((np.cumsum(edge)[:n] > 0).sum())
+
+
+def _bloom_places(hashes: np.ndarray) -> list[np.ndarray]:
+    """The bits that stand for hashes."""
+    return [((hashes * np.uint64(2 * k + 0x9E3779B1)) >> np.uint64(64 - _BLOOM_LOG2)).astype(np.int64) for k in range(_BLOOM_HASHES)]
+
+
+def _bloom(seeds: DataFrame) -> np.ndarray:
+    """The filter's bits, put together from pieces of 4 KB in Spark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(_bloom_places(batch[0].to_numpy(zero_copy_only=False).view(np.uint64)))))], names=["bit"])
+
+    bits = seeds.select("h").mapInArrow(run, "bit long")
+    # buckets begin at 1 and hold 32,768 numbers from 1 on
+    pieces = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()
+    out = np.zeros((1 << _BLOOM_LOG2 - 15, 1 << 15), dtype=bool)
+    for r in pieces:  # at most 2**24 / 2**15 rows
+        out[r.piece - 1] = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little")
+    return out.ravel()
+
+
+def _item_seeds(items: DataFrame, min_match: int) -> DataFrame:
+    """h, item, at: the seeds of items and where they stand."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, t in zip(batch[0].to_pylist(), batch[1]):
+                h = _seed_hashes(np.asarray(t.values.to_numpy(zero_copy_only=False)).view(np.uint64), min_match)
+                yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(np.full(len(h), item)), pa.array(np.arange(len(h), dtype=np.int32))], names=["h", "item", "at"])
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, block_tokens: int = 1 << 21, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    return items.select("item", "t").mapInArrow(run, "h long, item long, at int")
+
+
+def _stretches(rows: DataFrame, bloom: np.ndarray, min_match: int) -> DataFrame:
+    """doc_id, words and ends: of each document its stretches under seeds that pass the filter, if any; ``ends`` cuts the words into these."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(shared.value).view(bool)
+        for batch in batches:
+            offsets = np.asarray(batch[1].offsets)
+            values = batch[1].values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+            offsets = (offsets - offsets[0]).astype(np.int64)
+            hashes = _seed_hashes(values, min_match)
+            at = np.arange(len(hashes))
+            for k in range(_BLOOM_HASHES):
+                at = at[bits[_bloom_places(hashes[at])[k]]]
+            text = np.searchsorted(offsets, at, side="right") - 1
+            inside = at + min_match <= offsets[text + 1]
+            at, text = at[inside], text[inside]
+            if not len(at):
+                continue
+            # a stretch goes on while the next seed begins inside it or where it ends
+            new = np.ones(len(at), dtype=bool)
+            new[1:] = (at[1:] > at[:-1] + min_match) | (text[1:] != text[:-1])
+            last = np.append(new[1:], True)
+            begin, end, owner = at[new], at[last] + min_match, text[new]
+            size = end - begin
+            index = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
+            docs, first = np.unique(owner, return_index=True)
+            bounds = np.append(first, len(owner)).astype(np.int32)
+            total = np.concatenate(([0], np.cumsum(size)))
+            ends = total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds))
+            cols = [batch[0].take(pa.array(docs)), pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(values[index].view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends.astype(np.int32)))]
+            yield pa.record_batch(cols, names=["doc_id", "words", "ends"])
+
+    return rows.mapInArrow(run, "doc_id long, words array<long>, ends array<int>")
+
+
+def _closed_words(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches one after the other, each followed by a place that is closed; and which places are."""
+    at = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0)) + np.arange(len(words))
+    out, closed = np.zeros(len(words) + len(ends), dtype=np.uint64), np.ones(len(words) + len(ends), dtype=bool)
+    out[at], closed[at] = words.view(np.uint64), False
+    return out, closed
+
+
+def _numbers(column: pa.ListScalar | None) -> np.ndarray:
+    return column.values.to_numpy(zero_copy_only=False)
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_tokens (of the item), n_matched, n_tiles and coverage of contaminated pairs.
 
     A pair is contaminated if tiles of ``min_match`` words or more cover at least the share
-    ``coverage`` of the item. Items with fewer than ``min_match`` words, null and empty texts match
-    nothing. Whole texts are read once for each block of the benchmark, without a shuffle; a block
-    is broadcast and bounded by ``block_tokens``. Repeated rows on either side each give their pairs.
+    ``coverage`` (over 0) of the item. Items with fewer than ``min_match`` words, null and empty texts match
+    nothing. Whole texts are read once. Repeated rows on either side each give their pairs. Words
+    and seeds are told apart by 64-bit hashes.
     """
-    spark = docs.sparkSession
+    items = materialize(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), tokens(item_text_col).alias("t")).withColumn("item", F.monotonically_increasing_id()), "benchmark")
+    seeds = materialize(_item_seeds(items, min_match), "benchmark-seeds")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("t"))
-    schema = "doc_id long, item_id long, n_tokens long, n_matched long, n_tiles long, coverage double"
-    out = None
-    for block in _blocks(benchmark, item_id_col, item_text_col, block_tokens):
-        shared = spark.sparkContext.broadcast([(i, np.array(t, dtype=np.int64).view(np.uint64)) for i, t in block if len(t) >= min_match])
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            seeds = [_run_hashes(t, min_match) for _, t in items]
-            key = np.concatenate(seeds) if seeds else np.zeros(0, dtype=np.uint64)
-            owner = np.repeat(np.arange(len(items)), [len(s) for s in seeds])
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
-            # one bit a seed, tested before the search among all of them
-            maybe = np.zeros(1 << 20, dtype=bool)
-            maybe[(key >> np.uint64(44)).astype(np.int64)] = True
-            for batch in batches:
-                offsets = np.asarray(batch[1].offsets)
-                values = batch[1].values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-                offsets = offsets - offsets[0]
-                hashes = _run_hashes(values, min_match)
-                places = np.flatnonzero(maybe[(hashes >> np.uint64(44)).astype(np.int64)])
-                text = np.searchsorted(offsets, places, side="right") - 1
-                inside = places + min_match <= offsets[text + 1]
-                places, text = places[inside], text[inside]
-                lo, hi = np.searchsorted(key, hashes[places], "left"), np.searchsorted(key, hashes[places], "right")
-                n = hi - lo
-                hits = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                pairs = np.unique(np.stack((np.repeat(text, n), owner[hits])), axis=1) if len(hits) else np.zeros((2, 0), dtype=np.int64)
-                found = []
-                for d, i in pairs.T.tolist():
-                    item_id, item = items[i]
-                    tiles = greedy_tiles(values[offsets[d] : offsets[d + 1]], item, min_match)
-                    matched = sum(n for _, _, n in tiles)
-                    if matched >= coverage * len(item):
-                        found.append((batch[0][d].as_py(), item_id, len(item), matched, len(tiles), matched / len(item)))
-                cols = list(zip(*found)) or [[]] * 6
-                kinds = [pa.int64()] * 5 + [pa.float64()]
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "n_tokens", "n_matched", "n_tiles", "coverage"])
-
-        found = rows.mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else spark.createDataFrame([], schema)
+    found = materialize(_stretches(rows, _bloom(seeds), min_match).withColumn("doc", F.monotonically_increasing_id()), "seeded-documents")
+
+    def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, w, e in zip(batch[0].to_pylist(), batch[1], batch[2]):
+                words, closed = _closed_words(_numbers(w), _numbers(e))
+                own = np.unique(_seed_hashes(words, min_match)[_free_runs(closed, min_match)])
+                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), doc))], names=["h", "doc"])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of an item's seeds that documents have, those without which less than ``coverage`` of it is left."""
+        for batch in batches:
+            for item, n, own in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2].to_pylist()):
+                places: dict[int, list[int]] = {}
+                for s in own:
+                    places.setdefault(s["h"], []).append(s["at"])
+                often = sorted({(s["n"], s["h"]) for s in own}, reverse=True)
+                left, offered = np.zeros(0, dtype=np.int64), []
+                for _, h in often:
+                    more = np.append(left, places[h])
+                    if offered or covered(n, more, min_match) >= coverage * n:
+                        offered.append(h)
+                    else:
+                        left = more
+                yield pa.record_batch([pa.array(offered, pa.int64()), pa.array([item] * len(offered), pa.int64())], names=["h", "item"])
+
+    def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, item_id, w, e, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), *batch.columns[2:]):
+                item = _numbers(t).view(np.uint64)
+                words, closed = _closed_words(_numbers(w), _numbers(e))
+                # what the pair's own seeds do not cover, no tile does
+                own = _seed_hashes(item, min_match)
+                starts = _free_runs(closed, min_match)
+                if covered(len(item), np.flatnonzero(np.isin(own, _seed_hashes(words, min_match)[starts])), min_match) < coverage * len(item):
+                    continue
+                tiles = greedy_tiles(words, item, min_match, closed)
+                matched = sum(n for _, _, n in tiles)
+                if matched >= coverage * len(item):
+                    out.append((doc_id, item_id, len(item), matched, len(tiles), matched / len(item)))
+            kinds = [pa.int64()] * 5 + [pa.float64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=["doc_id", "item_id", "n_tokens", "n_matched", "n_tiles", "coverage"])
+
+    hits = materialize(found.select("doc", "words", "ends").mapInArrow(doc_seeds, "h long, doc long"), "document-seeds")
+    often = hits.groupBy("h").agg(F.count("*").alias("n"))
+    met = seeds.join(often, "h").groupBy("item").agg(F.collect_list(F.struct("h", "at", "n")).alias("own"))
+    offered = materialize(met.join(items.select("item", F.size("t").alias("size")), "item").select("item", "size", "own").mapInArrow(rarest, "h long, item long"), "offered-seeds")
+    pairs = materialize(hits.join(offered, "h").select("doc", "item").distinct(), "seeded-pairs")
+    both = pairs.join(items, "item").join(found, "doc").select("doc_id", "item_id", "words", "ends", "t")
+    return both.mapInArrow(tile, "doc_id long, item_id long, n_tokens long, n_matched long, n_tiles long, coverage double")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
-    """The documents that contain no benchmark item, with all their columns.
+    """The documents that hold no benchmark item, with all their columns.
 
     Rows that repeat a doc_id share its fate; rows without a doc_id stay.
     """
