@@ -1,10 +1,12 @@
 """Best-fit packing with certified bin counts.
 
 Pieces are dealt to partitions by hash, each packed best-fit decreasing. Dual-feasible functions
-give a lower bound on every partition's bins: where the count meets the bound the partition is
-optimal and done. Partitions with a gap put the documents of their unfilled bins into a common
-pool, which is dealt anew to fewer partitions and packed again, until no gap is left, the pool
-fits one partition, or a round saves nothing.
+give a lower bound on the bins of any set of pieces, and the bounds steer what follows. Once the bins so far
+meet the bound of all pieces, no packing has fewer. Else the partitions with a gap, whose bins are above their
+bound, put the documents of their unfilled bins into a common pool, which is dealt anew to fewer
+partitions and packed again. If their pool meets its own bound, nothing can be saved in it, and the unfilled
+bins of the certified partitions join: each is optimal for itself, but not all of them together.
+Exchanges end when the pool meets its bound, fits one partition, or rounds save nothing.
 """
 
 from __future__ import annotations
@@ -59,9 +61,12 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     every ``e`` up to half a bin; the second is ``floor((k+1)x)/k`` for items whose ``(k+1)x`` is
     fractional. ``e = 0`` is the plain sum.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
+    return _bound_of_counts(np.bincount(lengths, minlength=capacity + 1), capacity)
+
+
+def _bound_of_counts(count: np.ndarray, capacity: int) -> int:
+    """The same from the number of items of each length."""
+    count = count.astype(np.int64)
     sizes = np.arange(capacity + 1)
     number, mass = np.cumsum(count), np.cumsum(count * sizes)
     e = np.arange(capacity // 2 + 1)
@@ -103,7 +108,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _pack(capacity: int, round_: int):
+def _pack(capacity: int, base: int):
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)
         lengths = pdf["length"].to_numpy(dtype=np.int64)
@@ -111,8 +116,7 @@ def _pack(capacity: int, round_: int):
         made, bound = int(bins.max()) + 1, lower_bound(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=made).astype(np.int64)
         group = int(pdf["part"].iloc[0])
-        # round, partition and bin in separate bits: no number is given twice
-        return pdf.assign(sequence_id=(round_ << 58) + (group << 30) + bins, offset=offsets, fill=fill[bins], bins=made, bound=bound)
+        return pdf.assign(sequence_id=base + (group << 31) + bins, offset=offsets, fill=fill[bins], bins=made, bound=bound)
 
     return pack
 
@@ -120,34 +124,69 @@ def _pack(capacity: int, round_: int):
 PACKED = PIECE_SCHEMA + ", part long, sequence_id long, offset long, fill long, bins long, bound long"
 
 
-def pack_pieces(pieces: DataFrame, capacity: int = 4096, items: int = 40_000, fullness: float = 0.995, rounds: int = 6) -> DataFrame:
+def _bound_of(pieces: DataFrame, capacity: int) -> int:
+    """Bins that any packing of these pieces needs; what comes to the driver is a count for each length."""
+    counts = pieces.groupBy("length").agg(F.count("*").alias("n")).collect()
+    by_length = np.zeros(capacity + 1, dtype=np.int64)
+    for r in counts:
+        if r.length > capacity:
+            raise ValueError("a piece is longer than a sequence")
+        by_length[r.length] = r.n
+    return _bound_of_counts(by_length, capacity)
+
+
+def pack_pieces(pieces: DataFrame, capacity: int = 4096, items: int = 40_000, fullness: float = 0.995) -> DataFrame:
     """Give every piece a sequence and an offset; columns ``sequence_id, offset`` and the partition's certificate follow the piece's.
 
-    ``items`` is what one partition packs at once; ``fullness`` the share of a bin above which it
-    is left alone; ``rounds`` bounds the exchanges. Only numbers are
-    shuffled, never texts or ids. ``bins`` and ``bound`` are the partition's bins and certified
-    least number in the round that placed the piece. Pieces longer than ``capacity`` are refused.
+    ``items`` is about what one partition packs at once, doubled after each round that saves nothing, up to 16 times
+    as much; ``fullness`` is the share of a bin above which it is left alone. Only numbers are shuffled, never texts or ids, and rows that repeat entirely are dealt apart. ``bins`` and
+    ``bound`` are the partition's bins and certified least number in the round that placed the
+    piece. Pieces longer than ``capacity`` are refused.
     """
-    pool = pieces.select(*[x.split()[0] for x in PIECE_SCHEMA.split(", ")])
-    left, done = pool.count(), []
-    for round_ in range(rounds):
-        parts = max(1, -(-left // items))
-        dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(round_)), F.lit(parts)))
-        too_long = F.raise_error(F.lit("a piece is longer than a sequence"))
-        dealt = dealt.withColumn("length", F.when(F.col("length") > capacity, too_long.cast("long")).otherwise(F.col("length")))
-        packed = materialize(dealt.groupBy("part").applyInPandas(_pack(capacity, round_), PACKED), "packed")
-        # a partition above its bound has a gap of its own; one that meets it may still hold a bin that
-        # others can fill, and both give away just their unfilled bins
-        open_ = F.col("fill") < F.lit(int(fullness * capacity))
-        room = packed.filter(open_).agg(F.count("*").alias("n"), F.countDistinct("sequence_id").alias("bins"), F.sum("length").alias("mass")).first()
-        # an exchange can save bins only if the open ones hold at least a bin's worth of room
-        if parts == 1 or round_ == rounds - 1 or not room.n or room.bins * capacity - room.mass < capacity:
-            done.append(packed)
+    names = [x.split()[0] for x in PIECE_SCHEMA.split(", ")]
+    pool, least = pieces.select(*names), _bound_of(pieces, capacity)
+    open_, gap = F.col("fill") < int(fullness * capacity), F.col("bins") > F.col("bound")
+    bins_of = lambda df: df.select("sequence_id").distinct().count()
+    done: list[DataFrame] = []
+    full, base, round_, size = 0, 0, 0, items
+    # sets of unfilled bins, as (bins, pieces as they are packed), that wait for the last exchange
+    waiting: list[tuple[int, DataFrame]] = []
+    before: tuple[int, DataFrame] | None = None  # how the pool was packed before the round
+    all_in = True  # whether the pool has all unfilled bins
+    while True:
+        parts = max(1, -(-pool.count() // size))
+        dealt = pool.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id(), F.lit(round_)), F.lit(parts)))
+        packed = materialize(dealt.groupBy("part").applyInPandas(_pack(capacity, base), PACKED), "packed")
+        base, round_ = base + (parts << 31), round_ + 1
+        gaps = (0, packed.limit(0))
+        saved = before is None or bins_of(packed) < before[0]
+        if saved:
+            done.append(packed.filter(~open_))
+            full += bins_of(done[-1])
+            sure, gaps = ((bins_of(x), x) for x in (packed.filter(open_ & ~gap), packed.filter(open_ & gap)))
+            waiting.append(sure)
+        else:
+            waiting.append(before)
+            size *= 2
+        if parts == 1:  # a pool of one partition would be packed in the same way again
+            waiting, gaps = [*waiting, gaps], (0, gaps[1].limit(0))
+        if not gaps[0] or gaps[0] <= _bound_of(gaps[1], capacity):
+            waiting, gaps = [*waiting, gaps], (0, gaps[1].limit(0))
+        if full + gaps[0] + sum(n for n, _ in waiting) <= least:
             break
-        done.append(packed.filter(~open_))
-        pool, left = packed.filter(open_).select(*pool.columns), room.n
+        if gaps[0]:
+            before, all_in = gaps, False
+        else:
+            union = waiting[0][1]
+            for _, df in waiting[1:]:
+                union = union.unionByName(df)
+            whole = sum(n for n, _ in waiting), union
+            if all_in and (parts == 1 or size > 16 * items) or whole[0] <= _bound_of(union, capacity):
+                break
+            waiting, before, all_in = [], whole, True
+        pool = before[1].select(*names)
     out = done[0]
-    for df in done[1:]:
+    for df in [*done[1:], *([gaps[1]] if gaps[0] else []), *(df for n, df in waiting if n)]:
         out = out.unionByName(df)
     return out.drop("part", "fill")
 
