@@ -92,9 +92,9 @@ def write_token_blocks(
             yield block()
 
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
-    key = ["id", F.xxhash64("text")]
-    rows.repartitionByRange(shards, *key).sortWithinPartitions(*key).mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.monotonically_increasing_id().alias("row"))
+    key = ["id", F.xxhash64("text"), "row"]  # rows that repeat entirely can so be dealt apart
+    rows.repartitionByRange(shards, *key).sortWithinPartitions(*key).select("id", "text").mapInArrow(blocks, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def read_token_index(spark: SparkSession, path: str) -> DataFrame:
