@@ -111,19 +111,18 @@ Rule = tuple[Literal, ...]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
-    """Statistics of at most ``bound`` labelled documents, as features, ``bad`` (label 0) and ``fold``.
+    """Statistics of at most ``bound`` rows of labelled documents, as features, ``bad`` (label 0) and ``fold``.
 
-    Labelled ids are chosen by the hash of the id; contradicting or null labels are left out, as are documents that
+    They are those of least hash of id and then of text, so that any run learns from the same ones
+    and ids that repeat do not pass the bound; contradicting or null labels are left out, as are documents that
     fail the base rules. The ids chosen are bounded by ``bound`` and so broadcast: the documents are read once, not shuffled.
     """
     once = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).dropna().groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most"))
-    once = once.filter("_label = _most").drop("_most")
-    n = once.count()
-    if n > bound:
-        once = once.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int((1 << 20) * bound / n)).limit(bound)
+    once = once.filter("_label = _most").drop("_most").withColumn("_order", F.xxhash64("_id")).orderBy("_order", "_id").limit(bound)
     found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(once), "_id")
     s = F.col("_s")
-    rows = materialize(found.select("_id", "_label", statistics("_text").alias("_s")).coalesce(8), "labelled-statistics").filter(~base_failed(s))
+    found = found.select("_id", "_label", statistics("_text").alias("_s"), "_order", F.xxhash64("_text").alias("_tie"))
+    rows = materialize(found.orderBy("_order", "_id", "_tie").limit(bound), "labelled-statistics").filter(~base_failed(s))
     return rows.select((F.col("_label") == 0).cast("int").alias("bad"), (F.pmod(F.xxhash64("_id"), F.lit(3)) == 0).cast("int").alias("fold"), *[c.alias(k) for k, c in features(s).items()])
 
 

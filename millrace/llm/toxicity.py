@@ -88,18 +88,18 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Terms and label of at most ``bound`` labelled documents that are not held out.
+    """Terms and label of at most ``bound`` labelled rows of documents that are not held out.
 
-    They are chosen by the hash of their id. Ids with null or contradicting labels are left out.
+    They are those of least hash of id and then of text, so that any run learns from the same ones
+    and ids that repeat do not pass the bound. Ids with null or contradicting labels are left out.
     The chosen ids are bounded and so broadcast: documents are read, not shuffled.
     """
     once = labels.select(F.col(id_col).cast("long").alias("_id"), F.col(label_col).alias("_label")).dropna().filter(~held_out(F.col("_id")))
     once = once.groupBy("_id").agg(F.min("_label").alias("_label"), F.max("_label").alias("_most")).filter("_label = _most").drop("_most")
-    n = once.count()
-    if n > bound:
-        once = once.filter(F.pmod(F.xxhash64("_id", F.lit("train")), F.lit(1 << 20)) < int((1 << 20) * bound / n)).limit(bound)
+    once = once.withColumn("_order", F.xxhash64("_id", F.lit("train"))).orderBy("_order", "_id").limit(bound)
     found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(once), "_id")
-    return found.select("_id", F.col("_label").cast("int").alias("label"), hashed_terms("_text"))
+    found = found.select("_id", F.col("_label").cast("int").alias("label"), hashed_terms("_text"), "_order", F.xxhash64("_text").alias("_tie"))
+    return found.orderBy("_order", "_id", "_tie").limit(bound).select("_id", "label", "terms", "_tie")
 
 
 def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.15, decay: float = 1e-3, min_rows: int = 8, balance: float = 0.5, association: float = 10.0, seed: int = 7) -> Machine:
@@ -109,7 +109,7 @@ def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, r
     under ``association`` have factors but no weight, as they may tell in pairs. Rows of label 1 count (rows of label 0 /
     rows of label 1) ** ``balance`` times. One label only, or no rows: the bias alone.
     """
-    table = rows.orderBy("_id", "label").toArrow()
+    table = rows.orderBy("_id", "_tie").toArrow()
     labels = table["label"].to_numpy().astype(np.float64)
     chunks = table["terms"].combine_chunks()
     values, offsets = all_terms(chunks.chunk(0) if isinstance(chunks, pa.ChunkedArray) else chunks) if len(labels) else (np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
