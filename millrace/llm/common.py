@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,13 +16,21 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 
 _own: list[str] = []
+#: Paths written inside ``scratch`` blocks that are open.
+_written: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one of our own only where none is set (tests)."""
+    """The cluster's shared folder, which ``spark.checkpoint.dir`` names.
+
+    Where none is named, a session on this machine alone gets a temporary one; a cluster's executors
+    could not see that, so there it is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.conf.get("spark.master", "local").startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -34,10 +44,34 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    if _written:
+        _written[-1].append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at the end; what is needed later is written outside, or as a result."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        paths = _written.pop()
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+            path.getFileSystem(conf).delete(path, True)
+
+
+def result(df: DataFrame, label: str) -> DataFrame:
+    """``materialize`` for a table that outlives the ``scratch`` block that it is made in."""
+    held, _written[:] = _written[:], []
+    try:
+        return materialize(df, label)
+    finally:
+        _written[:] = held
+
+
 def text_or_empty(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -47,6 +81,29 @@ def words(text: Column | str) -> Column:
     return F.filter(F.split(text_or_empty(text), GAP), lambda w: w != "")
 
 
+def text_key(text: Column | str) -> list[Column]:
+    """128 bits that stand for a text in joins: columns t0 and t1."""
+    text = text_or_empty(text)
+    return [F.xxhash64(text).alias("t0"), F.xxhash64(text, F.lit("t1")).alias("t1")]
+
+
+def one_of_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose (doc_id, t0, t1) is in ``gone``, and one of the rows that repeat both doc_id and text."""
+    names = docs.columns
+    # positional names keep the columns that are carried along apart from ours
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), *[F.col(c).alias(f"c{k}") for k, c in enumerate(names)])
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["t0"] == b["t0"]) & (a["t1"] == b["t1"])
+    left = rows.join(gone, same(rows, gone), "left_anti")
+    copies = left.groupBy("doc_id", "t0", "t1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    copies = materialize(copies, "repeated-rows")
+    if not copies.isEmpty():
+        # partial results leave one row of each a task, so copies do not gather
+        whole = F.struct(*[f"c{k}" for k in range(len(names))])
+        repeated = left.join(copies, same(left, copies), "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first(whole).alias("w")).select("w.*")
+        left = left.join(copies, same(left, copies), "left_anti").select(*[f"c{k}" for k in range(len(names))]).unionByName(repeated)
+    return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

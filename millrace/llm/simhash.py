@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, one_of_each, result, scratch, text_key, text_or_empty
 
 BITS = 64
 
@@ -54,15 +54,15 @@ def _fingerprint(text: bytes, shingle: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and fp (64 bits as a signed long) of whole texts. Null or wordless: 0; fewer words than a shingle: the whole sequence."""
+    """doc_id, the text's key t0, t1, and fp (64 bits as a signed long) of whole texts. Null or wordless: 0; fewer words than a shingle: the whole sequence."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_fingerprint(t, shingle, seed) for t in batch[1].cast(pa.binary()).to_pylist()]
+            found = [_fingerprint(t, shingle, seed) for t in batch[3].cast(pa.binary()).to_pylist()]
             fp = np.array(found, dtype=np.uint64).astype(np.int64)
-            yield pa.record_batch([batch[0], pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(fp)], names=["doc_id", "t0", "t1", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), text_or_empty(text_col).alias("text")).mapInArrow(run, "doc_id long, t0 long, t1 long, fp long")
 
 
 @dataclass(frozen=True)
@@ -110,7 +110,7 @@ def allocate(sample: np.ndarray, total: int, distance: int = 2, max_parts: int =
     A partition costs the probes it takes and the candidates they meet, estimated from the sample's
     own pairs, and not under what independent, even bits would give.
     """
-    sample = sample[:2000].astype(np.uint64)
+    sample = sample.astype(np.uint64)
     cross = sample[:, None] ^ sample[None, :]
     upper = np.triu_indices(len(sample), 1)
     best: tuple[float, list[Part]] | None = None
@@ -144,7 +144,7 @@ def _keys(parts: list[Part], probe: bool) -> Column:
     return F.explode(F.array(*out))
 
 
-def links(distinct: DataFrame, distance: int = 2, sample_rows: int = 4000, dense: int = 256) -> DataFrame:
+def links(distinct: DataFrame, distance: int = 2, sample_rows: int = 2000, dense: int = 256) -> DataFrame:
     """Edges a, b (a < b) that connect exactly the fingerprints within ``distance`` (1 or 2) of each other.
 
     ``distinct`` has a column ``fp`` without repeats. Every link is an edge or is implied by a path
@@ -176,15 +176,15 @@ def links(distinct: DataFrame, distance: int = 2, sample_rows: int = 4000, dense
     return sparse.unionByName(star).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, label: the least node that each node of an edge table (a, b) can reach.
 
-    Each round takes the least label among the neighbours, then the label's own label. Tables are
-    written every round, so lineage stays short and the joins can split a hub.
+    Each round takes the least label among the neighbours, then the label's own label, until none
+    changes. Tables are written every round, so lineage stays short and the joins can split a hub.
     """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         hooked = materialize(labels.join(near, labels["node"] == near["a"], "left").select("node", "label", F.least("label", "m").alias("next")), "hooked")
         far = hooked.select(F.col("node").alias("next"), F.col("next").alias("beyond"))
@@ -192,7 +192,22 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = jumped.select("node", "label")
         if jumped.filter("old <> label").isEmpty():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _grouped(docs: DataFrame, distance: int, shingle: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, t0, t1, fp and ``best`` of every row: the first of its component's (no doc_id, doc_id, t0, t1)."""
+    rows = materialize(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
+    distinct = materialize(rows.groupBy("fp").agg(F.min(_rank()).alias("first")), "distinct-fingerprints")
+    edges = materialize(links(distinct.select("fp"), distance), "links")
+    labels = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labelled = materialize(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
+    names = labelled.groupBy("label").agg(F.min("first").alias("best"))
+    named = materialize(labelled.join(names, "label").select("fp", "best"), "components")
+    return rows.join(named, "fp")
+
+
+def _rank() -> Column:
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,21 +218,17 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed:
     null doc_id is never a component's name unless all its members have none. An empty table gives
     no rows.
     """
-    rows = materialize(fingerprints(docs, shingle, seed, id_col, text_col), "fingerprints")
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    edges = materialize(links(distinct.select("fp"), distance), "links")
-    labels = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labelled = materialize(distinct.join(labels, distinct["fp"] == labels["node"], "left").select("fp", "first", F.coalesce("label", "fp").alias("label")), "labelled")
-    names = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
-    named = materialize(labelled.join(names, "label").select("fp", "component_id"), "components")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _grouped(docs, distance, shingle, seed, id_col, text_col)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("best.doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
-    """The document of least doc_id of each group, with all its columns.
+def keep_one(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each group, with all its columns: that of least doc_id, a null one last.
 
-    Rows that repeat a doc_id share its fate; rows without a doc_id stay, as none is the least.
+    Of rows that share that doc_id the one of least text key stays, and of rows that repeat both
+    doc_id and text a single one, whichever it is.
     """
-    found = near_duplicates(docs, distance, shingle)
-    drop = materialize(found.filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_drop")).distinct(), "duplicates")
-    return docs.join(drop, docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
+    with scratch(docs.sparkSession):
+        found = _grouped(docs, distance, shingle, seed, id_col, text_col)
+        gone = result(found.filter(_rank() != F.col("best")).select("doc_id", "t0", "t1").distinct(), "duplicates")
+    return one_of_each(docs, gone, id_col, text_col)
