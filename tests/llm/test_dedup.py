@@ -52,7 +52,40 @@ def test_texts_without_repeats_keep_their_columns(docs, rows):
         if gone:
             assert hashlib.sha256(r.text.encode()).hexdigest() == sha
         else:
-            assert r.text == (texts[r.doc_id] or "")
+            assert r.text == texts[r.doc_id]
+
+
+def test_thousands_of_equal_rows_are_one_document(spark):
+    r = random.Random(6)
+    text = " ".join(f"w{r.randint(0, 999)}" for _ in range(400))
+    rows = [(5, text)] * 3000 + [(None, text + " end")] * 1500 + [(4, "x " + text[:200]), (6, text), (6, text), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.monotonically_increasing_id()).repartition(5)
+    want = repeats(rows, 20)
+    got = Counter((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in substring.remove_repeats(df).collect())
+    assert got == Counter((d, *want[d]) for d, _ in rows)
+    out = substring.without_repeats(df)
+    assert out.columns == df.columns and out.select("n").distinct().count() == len(rows)
+    assert {x.doc_id: x.n for x in out.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == dict(Counter(d for d, _ in rows))
+    assert out.filter("doc_id = 7 AND text IS NULL").count() == 1
+
+
+def test_reducers_stream_over_batches():
+    """However a partition is cut into batches, the same runs and windows are found."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    n = 400
+    key, doc, at = np.sort(rng.integers(0, 150, n)), rng.integers(0, 9, n), rng.integers(0, 50, n)
+    state = rng.choice([0, 0, 0, 1, 2], n)
+    at = np.where(state == 2, 2, at)
+    total = {k: sum(2 if s == 2 else s == 0 for s in state[key == k]) for k in set(key.tolist())}
+    want = Counter((d, a) for k, d, a, s in zip(key.tolist(), doc.tolist(), at.tolist(), state.tolist()) if s == 1 or s == 0 and total[k] > 1)
+    for size in (1, 2, 7, 1000):
+        cols = [key, doc, np.zeros(n, dtype=np.int64), at.astype(np.int32), state.astype(np.int8)]
+        batches = [pa.record_batch([pa.array(c[k : k + size]) for c in cols], names=["key", "doc", "sub", "at", "state"]) for k in range(0, n, size)]
+        out = [r for b in substring._repeated(3)(iter(batches)) for r in b.to_pylist()]
+        assert Counter((r["doc"], r["at"]) for r in out if r["place"] is None) == want
+        assert any(r["place"] is not None for r in out) == (max(total.values()) > 3)
 
 
 def fingerprint(text):
@@ -97,7 +130,7 @@ def test_near_duplicates(docs, rows, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == {d for d, (_, c) in want.items() if d is None or d == c}
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=str) == sorted((d for d, (_, c) in want.items() if d == c), key=str)
 
 
 def test_links_of_crowded_and_sparse_values_agree(spark):
@@ -164,6 +197,58 @@ def test_greedy_tiles():
         assert sum(n for *_, n in decontam.greedy_tiles(a, b, 3)) == want
 
 
+def test_tiles_of_words_that_repeat():
+    import time
+
+    began = time.perf_counter()
+    same = np.zeros(20_000, dtype=np.uint64)
+    assert decontam.greedy_tiles(same, same[:1000], 5) == [(0, 0, 1000)]
+    r = random.Random(1)
+    item = np.array([r.randint(0, 1) for _ in range(1000)], dtype=np.uint64)
+    text = np.array([r.randint(0, 1) for _ in range(20_000)], dtype=np.uint64)
+    assert sum(n for *_, n in decontam.greedy_tiles(text, item, 5)) >= 900  # gaps between tiles are under five words
+    broken = np.tile(np.append(np.zeros(30), 1), 600).astype(np.uint64)
+    assert sum(n for *_, n in decontam.greedy_tiles(broken, same[:1000], 5)) == 1000
+    assert time.perf_counter() - began < 60
+
+
+def test_closed_places_are_not_covered():
+    words, closed = decontam._closed_words(np.arange(12), np.array([5, 12]))
+    assert words[~closed].tolist() == list(range(12)) and np.flatnonzero(closed).tolist() == [5, 13]
+    assert sorted(decontam.greedy_tiles(words, np.arange(12, dtype=np.uint64), 3, closed)) == [(0, 0, 5), (6, 5, 7)]
+
+
+def test_decontamination_equals_tiling_all_pairs(spark):
+    """Many documents and items that share common lines and one another's parts, against tiles of every pair."""
+    r = random.Random(12)
+    say = lambda k: [f"w{r.randint(0, 10**6)}" for _ in range(k)]
+    line, other = say(12), say(8)
+    items = [say(r.randint(6, 30)) + r.choice([line, [], other]) for _ in range(25)] + [line, other + line, ["buy"] * 40]
+    texts = []
+    for k in range(120):
+        parts = [say(r.randint(0, 30))]
+        for _ in range(r.randint(0, 3)):
+            own = r.choice(items)
+            a = r.randint(0, len(own) // 2)
+            parts += [own[a : a + r.randint(len(own) // 3, len(own))], say(r.randint(0, 3)), line if k % 3 == 0 else []]
+        texts.append([w for p in parts for w in p])
+    texts.append(["buy"] * 300)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(3, " ".join(texts[3]))], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    number = {w: k for k, w in enumerate({w for t in texts + items for w in t})}
+    code = lambda t: np.array([number[w] for w in t], dtype=np.uint64)
+    for coverage in (0.5, 0.8):
+        want = Counter()
+        for d, t in [*enumerate(texts), (3, texts[3])]:
+            for i, item in enumerate(items):
+                tiles = decontam.greedy_tiles(code(t), code(item), 5)
+                matched = sum(n for *_, n in tiles)
+                if matched and matched >= coverage * len(item):
+                    want[d, i, len(item), matched, len(tiles)] += 1
+        got = decontam.overlaps(docs, bench, coverage=coverage).collect()
+        assert Counter((x.doc_id, x.item_id, x.n_tokens, x.n_matched, x.n_tiles) for x in got) == want and len(want) > 40
+
+
 def test_decontamination(spark, docs, rows, no_docs):
     r = random.Random(8)
     say = lambda k: [f"w{r.randint(0, 10**6)}" for _ in range(k)]
@@ -180,9 +265,8 @@ def test_decontamination(spark, docs, rows, no_docs):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(None, None)], "item_id long, text string").withColumn("t", F.lit(1))
     both = docs.unionByName(extra, allowMissingColumns=True)
     want = {(2000, 0), (2001, 1), (2004, 0), (2004, 1)}
-    for block in (1 << 21, 30):
-        got = decontam.overlaps(both, bench, block_tokens=block).collect()
-        assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == 4
+    got = decontam.overlaps(both, bench).collect()
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == 4
     tiles = {x.doc_id: x.n_tiles for x in got if x.item_id == 1}
     assert tiles[2001] == 2 and all(x.coverage == 1.0 for x in got)
     kept = decontam.keep_clean(both, bench)

@@ -54,6 +54,75 @@ def test_quality_rules(spark, docs, rows, no_docs):
     assert quality.judge(no_docs, labels).count() == 0
 
 
+def test_rules_are_what_brute_force_covering_finds(spark):
+    """Two planted conjunctions of two thresholds each, over noise: no single threshold is enough."""
+    import math
+    import random
+
+    r = random.Random(4)
+    rows = []
+    for k in range(3000):
+        x, y, z = r.randint(0, 19), r.randint(0, 19), r.randint(0, 19)
+        rows.append((int(x > 11 and y <= 7 or y > 14 and z <= 4), int(k % 3 == 0), float(x), float(y), float(z)))
+    df = spark.createDataFrame(rows, "bad int, fold int, x double, y double, z double")
+    rules = quality.learn_rules(df, max_literals=2, min_covered=3)
+    holds = lambda rule, row: all((row[2 + "xyz".index(l.feature)] > l.cut) == l.above for l in rule)  # noqa: E731,E741
+
+    def grown(left):
+        """The best literal by FOIL's gain, then the best of those that go with it."""
+        found = []
+        for _ in range(2):
+            own = [t for t in left if t[1] == 0 and all((t[2 + f] > c) == above for f, above, c in found)]
+            p0 = sum(t[0] for t in own)
+            best = (0.0, None)
+            for f in range(3):
+                for above in (False, True):
+                    for c in range(19):
+                        q = [t[0] for t in own if (t[2 + f] > c) == above]
+                        if sum(q):
+                            gain = sum(q) * (math.log2(sum(q) / len(q)) - math.log2(p0 / len(own)))
+                            best = max(best, (gain, (f, above, float(c))), key=lambda v: v[0])
+            if best[1] is None:
+                break
+            found.append(best[1])
+        return found
+
+    left = rows
+    for rule in rules:
+        assert [("xyz".index(l.feature), l.above, l.cut) for l in rule] == grown(left)  # noqa: E741
+        left = [t for t in left if not holds(rule, t)]
+    assert len(rules) >= 2 and all(len(rule) == 2 for rule in rules[:2])
+    assert sum(t[0] for t in left) == 0 and not any(holds(rule, t) for rule in rules for t in rows if not t[0])
+
+
+def test_samples_are_bounded_in_rows_and_always_the_same(spark):
+    rows = [(k % 40, f"text {k % 400} " + " ".join(f"w{j}" for j in range(12))) for k in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int").withColumn("quality", F.col("toxic"))
+    taken = []
+    for parts in (2, 5):
+        sample = toxicity.training_rows(df.repartition(parts), labels, bound=25)
+        assert sample.count() == 25
+        taken.append(sorted((r._id, r._tie) for r in sample.collect()))
+        assert quality.labelled_sample(df.repartition(parts), labels, bound=30).count() == 30
+    assert taken[0] == taken[1]
+
+
+def test_scores_are_the_naive_sum_over_pairs(spark):
+    rng = np.random.default_rng(5)
+    buckets = np.sort(rng.choice(3 * toxicity.BUCKETS, 40, replace=False))
+    machine = toxicity.Machine(0.3, buckets, rng.normal(size=40).astype(np.float32), rng.normal(size=(40, 4)).astype(np.float32))
+    texts = [rng.choice(45, rng.integers(0, 20), replace=False) for _ in range(30)]  # 40 and more are unknown
+    values = np.concatenate([np.where(t < 40, np.append(buckets, [7] * 5)[t], 7) for t in texts]).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = machine.raw(machine.table()[values], offsets)
+    for t, raw in zip(texts, got):
+        own = [k for k in t if k < 40]
+        want = 0.3 + sum(float(machine.weights[k]) for k in own)
+        want += sum(float(machine.factors[a] @ machine.factors[b]) for i, a in enumerate(own) for b in own[:i])
+        assert abs(raw - want) < 1e-4
+
+
 def test_kd_tree_shards(spark, docs, rows, no_docs):
     got = sharding.kd_tree_shards(docs, 4).collect()
     want = Counter((r[0], len((r[1] or "").encode()) + 1, zlib.crc32((r[1] or "").encode())) for r in rows)
@@ -110,9 +179,14 @@ def test_archive(spark, tmp_path):
         assert got == want
     stored = spark.read.parquet(f"{path}/payloads")
     assert stored.count() == len({r[2] or "" for r in rows})
-    for r in warc.read_records(spark, path).filter("page_id = 10 OR page_id = 1").collect():
-        assert bytes(r.record).startswith(b"WARC/1.1\r\nWARC-Type: ") and bytes(r.record).endswith(b"\r\n\r\n")
-        assert f"sha1:{b32(bytes(r.payload))}".encode() in bytes(r.record)
+    whole = warc.read_records(spark, path).collect()
+    assert Counter((r.page_id, bytes(r.payload)) for r in whole) == Counter((p, (h or "").encode()) for p, _, h in rows)
+    for r in whole:
+        record, payload = bytes(r.record), bytes(r.payload)
+        head, _, block = record.partition(b"\r\n\r\n")
+        fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+        assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and fields["WARC-Payload-Digest"] == f"sha1:{b32(payload)}"
+        assert block[:-4] == (b"" if fields["WARC-Type"] == "revisit" else payload) and int(fields["Content-Length"]) == len(block) - 4
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 

@@ -6,7 +6,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from test_dedup import fingerprint, groups, repeats
+from test_dedup import repeats
+from test_jaccard import near_groups
 from test_others import stats
 
 import corpus_pipeline
@@ -53,9 +54,9 @@ def test_quality_stage(spark, stages):
 
 
 def test_near_dedup_stage(stages):
+    """A stage on word shingles takes five words and similarity 0.8, other than op10's contract."""
     before, after = (sorted(rows(x)) for x in stages["simhash_near_dedup"])
-    values = [fingerprint(r[1]) for r in before]
-    assert after == [r for k, (r, g) in enumerate(zip(before, groups(values, 2))) if g == k]
+    assert after == [r for k, (r, g) in enumerate(zip(before, near_groups([r[1] for r in before]))) if g == k]
 
 
 def test_substring_stage(stages):

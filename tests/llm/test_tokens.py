@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from millrace.llm import packing, tokenbin, tokencount
-from millrace.llm.tokens import Encoder, default_path
+from millrace.llm.tokens import Encoder, Kept, default_path
 from tokenizers import Tokenizer
 
 ALPHABET = "ab AB1'sStTdlrevm  \n\t\r\x0b\x0c.,!ééßſ \u0085\x1c　ΣσİǅK日本²½Ⅷ‍😀_-­\x00"
@@ -19,23 +19,45 @@ def samples(n: int, seed: int = 1) -> list[str]:
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_ids_equal_the_library(name):
-    library, own = Tokenizer.from_file(default_path(name)), Encoder(default_path(name), units=300, pretokens=200)
+    library, own = Tokenizer.from_file(default_path(name)), Encoder(default_path(name), units=30_000, pretokens=20_000)
     for text in samples(3000):
         assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_transducer_counts_and_chunk_maps_compose():
-    library, machine = Tokenizer.from_file(default_path("word_bpe_49k.json")), tokencount.CountTransducer(default_path("word_bpe_49k.json"), bound=200)
+    library = Tokenizer.from_file(default_path("word_bpe_49k.json"))
     r = random.Random(5)
-    for text in samples(2000, 2):
-        want = len(library.encode(text, add_special_tokens=False).ids)
-        assert machine.count(text) == want, repr(text)
-        size = r.randint(1, 6)
-        maps = [machine.chunk_map(text[k : k + size]) for k in range(0, len(text), size)]
-        assert machine.finish(machine.scan(maps)) == want, repr(text)
-
-
-@pytest.mark.parametrize("chunk", [1 << 18, 50])
+    # the second one has room for so few states that it forgets all the time
+    for bound, n in ((600_000, 3000), (50, 400)):
+        machine = tokencount.CountTransducer(default_path("word_bpe_49k.json"), bound=bound)
+        for text in samples(n, 2):
+            want = len(library.encode(text, add_special_tokens=False).ids)
+            assert machine.count(text) == want, repr(text)
+            assert machine.count(text, r.randint(1, 6), r.randint(1, 4)) == want, repr(text)
+
+
+def test_transducer_equals_the_library_on_words_of_few_letters():
+    """Long words of few letters have many overlapping merges, and runs of one letter the most."""
+    library, machine = Tokenizer.from_file(default_path("word_bpe_49k.json")), tokencount.transducer(default_path("word_bpe_49k.json"))
+    r = random.Random(11)
+    for letters in ("a", "ab", "the", "inga", "lolo!", "haxe", "=-", "eéè", "日本国", "".join(map(chr, range(97, 123)))):
+        for _ in range(250):
+            word = "".join(r.choice(letters) for _ in range(r.randint(1, 40)))
+            assert machine.count(word) == len(library.encode(word, add_special_tokens=False).ids), word
+    for length in (1000, 5000, 20_000):
+        word = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(length))
+        assert machine.count(word) == len(library.encode(word, add_special_tokens=False).ids)
+        assert len(machine.moves) + len(machine.pushes) <= machine.bound
+
+
+def test_caches_are_bounded_by_bytes():
+    kept = Kept(lambda k: bytes(50), 10_000, longest=20)
+    for k in range(1000):
+        assert kept[f"key{k}"] == bytes(50) and kept["x" * 21] == bytes(50)
+        assert kept.held <= 10_000 and len(kept) <= 10_000 // kept.ENTRY and "x" * 21 not in kept
+
+
+@pytest.mark.parametrize("chunk", [4096, 50])
 def test_count_tokens(docs, rows, no_docs, chunk):
     library = Tokenizer.from_file(default_path("word_bpe_49k.json"))
     got = Counter(map(tuple, tokencount.count_tokens(docs, limit=100, chunk_chars=chunk).collect()))
@@ -123,6 +145,37 @@ def test_pack_documents(docs, rows, no_docs):
     assert packing.pack_documents(no_docs).count() == 0
 
 
+def test_equal_rows_are_dealt_apart_and_bounds_steer(spark):
+    rows = [(1, 0, 0, 40, 7)] * 3000 + [(k, 0, 0, 1 + k * 37 % 90, k) for k in range(2, 1500)]
+    pieces = spark.createDataFrame(rows, packing.PIECE_SCHEMA)
+    packed = packing.pack_pieces(pieces, 100, items=400, fullness=0.99)
+    got = packed.collect()
+    assert Counter((r.doc_id, r.length) for r in got) == Counter((r[0], r[3]) for r in rows)
+    places = {}
+    for r in got:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in places.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 100
+    least = packing.lower_bound(np.array([r[3] for r in rows]), 100)
+    assert least <= len(places) <= least * 1.01 + 1 and all(r.bins >= r.bound for r in got)
+    with np.testing.assert_raises(ValueError):
+        packing.pack_pieces(pieces, 50)
+
+
+def test_archive_of_equal_rows_has_them_in_several_shards(spark, tmp_path):
+    path = str(tmp_path / "blocks")
+    df = spark.createDataFrame([(5, "the same text")] * 4000 + [(4, None), (6, "z")], "doc_id long, text string")
+    tokenbin.write_token_blocks(df, path, shards=4)
+    assert spark.read.parquet(path).select("shard").distinct().count() > 1
+    got = sorted(map(tuple, tokenbin.read_token_index(spark, path).collect()), key=lambda r: r[1])
+    n = got[1][2]
+    assert [r[1] for r in got] == [0, *range(1, 1 + 4000 * n, n), 1 + 4000 * n] and got[-1][0] == 6
+
+
 def test_sequences_hold_the_pieces(docs):
     pieces = packing.token_pieces(docs, 256, keep_ids=True)
     packed = packing.pack_pieces(pieces, 256)
