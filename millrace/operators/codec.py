@@ -126,27 +126,46 @@ def decompress(df: DataFrame, limits: Limits, payload: str = "payload", ordinal:
 def decompressed_batches(df: DataFrame, limits: Limits, payload: str = "payload", ordinal: str = "ordinal") -> DataFrame:
     """``decompress`` plus ``batch_no`` and ``is_last``: plain, then zstd, then gzip; the last batch carries the token.
 
-    ``df`` is one source batch, as ``foreachBatch`` hands it over. Plain payloads are one batch;
-    compressed ones are split after the record that passes the soft limit, going on from message to
-    message of a codec. An empty input has no rows: its token is acknowledged by the caller.
+    ``df`` is one source batch, as ``foreachBatch`` hands it over. An empty input has no rows: its
+    token is acknowledged by the caller.
     """
-    out = decompress(df, limits, payload, ordinal)
-    size = F.octet_length("payload").cast("long")
-    rank = F.when(F.col("codec") == "plain", 0).when(F.col("codec") == "zstd", 1).otherwise(2)
-    ranked = out.withColumn("codec_rank", rank).withColumn("_size", F.when(F.col("codec") == "plain", 0).otherwise(F.coalesce(size, F.lit(0))))
+    return with_batches(decompress(df, limits, payload, ordinal), limits)
+
+
+def with_batches(rows: DataFrame, limits: Limits) -> DataFrame:
+    """Number the batches of decompressed rows, which are read twice: persist them.
+
+    Plain payloads are one batch; compressed ones are split after the record that passes the soft
+    limit, going on from message to message of a codec. What is gone through in order is a row a
+    message with its records' sizes; payloads stay where they are, but for a join on the message.
+    """
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    packed = rows.filter("codec <> 'plain'")
+    sizes = packed.select("codec", "ordinal", F.struct("record", size.alias("size")).alias("s")).groupBy("codec", "ordinal").agg(F.array_sort(F.collect_list("s")).alias("sizes"))
 
     def step(state, row):
         total, batch = state or (0, 0)
-        if total + row[0] > limits.max_bytes_in_batch:
-            return (0, batch + 1), (batch,)
-        return (total + row[0], batch), (batch,)
-
-    folded = ordered_fold(ranked, ["codec_rank"], ["ordinal", "record"], ["_size"], step, "part long")
-    # one row a batch
-    parts = folded.select("codec_rank", "part").distinct()
-    numbered = parts.withColumn("batch_no", F.row_number().over(Window.orderBy("codec_rank", "part")) - 1)
-    last = F.max("batch_no").over(Window.partitionBy())
-    return folded.join(numbered.withColumn("is_last", F.col("batch_no") == last), ["codec_rank", "part"]).drop("codec_rank", "part", "_size")
+        first, ends, last = batch, [], batch
+        for s in row[0]:
+            last = batch
+            if total + s["size"] > limits.max_bytes_in_batch:
+                ends.append(s["record"])
+                total, batch = 0, batch + 1
+            else:
+                total += s["size"]
+        return (total, batch), (first, ends, last)
+
+    folded = ordered_fold(sizes, ["codec"], ["ordinal"], ["sizes"], step, "first long, ends array<int>, last long").drop("sizes")
+    inside = packed.join(folded.drop("last"), ["codec", "ordinal"])
+    inside = inside.withColumn("part", F.col("first") + F.size(F.filter("ends", lambda e: e < F.col("record")))).drop("first", "ends")
+    parted = rows.filter("codec = 'plain'").withColumn("part", F.lit(0).cast("long")).unionByName(inside)
+    # a row a codec
+    plain = rows.filter("codec = 'plain'").limit(1).select("codec", F.lit(1).cast("long").alias("n"))
+    counts = plain.unionByName(folded.groupBy("codec").agg((F.max("last") + 1).alias("n")))
+    rank = F.when(F.col("codec") == "plain", 0).when(F.col("codec") == "zstd", 1).otherwise(2)
+    bases = counts.select(F.col("codec").alias("_codec"), (F.sum("n").over(Window.orderBy(rank)) - F.col("n")).alias("_base"), F.sum("n").over(Window.partitionBy()).alias("_all"))
+    numbered = parted.join(F.broadcast(bases), F.col("codec") == F.col("_codec")).withColumn("batch_no", F.col("_base") + F.col("part"))
+    return numbered.withColumn("is_last", F.col("batch_no") == F.col("_all") - 1).drop("part", "_codec", "_base", "_all")
 
 
 class Packer:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.codec import Limits, decompressed_batches
+from ..operators.codec import Limits, decompress, with_batches
 from .health import SourceState
 
 Processor = Callable[[DataFrame, int], None]
@@ -54,7 +54,8 @@ def run(source: DataFrame, processor: Processor, checkpoint: str, source_ts: str
     """Start a processor on a streaming DataFrame.
 
     ``window`` (``"60 seconds"``) makes windows of processing time; without it batches follow each
-    other. ``source_ts`` names the column whose minimum is the batch's earliest source timestamp.
+    other. ``source_ts`` names the column whose minimum is the batch's earliest source timestamp;
+    the batch is then persisted while it is processed, so that the source is read once.
     """
     state = state or SourceState()
     stopping, between = threading.Event(), threading.Lock()
@@ -64,11 +65,16 @@ def run(source: DataFrame, processor: Processor, checkpoint: str, source_ts: str
             if stopping.is_set():
                 raise Stopping("the stream is stopping")
             earliest = None
-            if source_ts:
-                earliest = batch.agg(F.min(F.unix_micros(F.col(source_ts).cast("timestamp")))).first()[0]
-            state.received(earliest / 1e6 if earliest is not None else None)
-            processor(batch, batch_id)
-            state.finished()
+            try:
+                if source_ts:
+                    batch = batch.persist()
+                    earliest = batch.agg(F.min(F.unix_micros(F.col(source_ts).cast("timestamp")))).first()[0]
+                state.received(earliest / 1e6 if earliest is not None else None)
+                processor(batch, batch_id)
+                state.finished()
+            finally:
+                if source_ts:
+                    batch.unpersist()
 
     writer = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     if available_now:
@@ -82,8 +88,11 @@ def decompressing(processor: Callable[[DataFrame, int], None], limits: Limits, p
     """A processor that hands on decompressed payloads and bad rows, with batch numbers, in place of messages."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        numbered = batch.withColumn("ordinal", F.monotonically_increasing_id())
-        processor(decompressed_batches(numbered, limits, payload), batch_id)
+        rows = decompress(batch.withColumn("ordinal", F.monotonically_increasing_id()), limits, payload).persist()
+        try:
+            processor(with_batches(rows, limits), batch_id)
+        finally:
+            rows.unpersist()
 
     return one
 
