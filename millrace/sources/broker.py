@@ -3,18 +3,22 @@
 Spark owns the offsets: a batch is a range of sequence numbers of each shard, and one that was not
 committed is read again. Clients are made from a name, ``module:function``, as they are needed on the
 driver and on executors. No broker's library is used here; the tests run a broker in files.
+Options: ``maxRecordsPerShard``; ``parallelPullFactor``, by which the driver's cores are multiplied for the number of
+tasks a shard's batch is read by (without it one); ``deadlineSeconds``, within which a client's ``extend`` is called while a task reads;
+``commitDelaySeconds`` and ``commitAttempts`` of commits that the broker throttles.
 """
 
 from __future__ import annotations
 
 import importlib
-import json
+import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from typing import Protocol
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from . import leases
 from .limits import initial_position
 
 
@@ -31,7 +35,10 @@ class ShardClient(Protocol):
         """(sequence number, value, key, arrival in ms) from start up to, not including, end."""
 
     def committed(self, offsets: dict[str, int]) -> None:
-        """All before these numbers was processed."""
+        """All before these numbers was processed. May raise ``leases.Throttled`` or ``leases.LeaseLost``."""
+
+    def extend(self, shard: str, start: int, end: int) -> None:
+        """Keep these records for us; called only if ``deadlineSeconds`` is set."""
 
 
 def client_of(options: dict[str, str]) -> ShardClient:
@@ -69,14 +76,27 @@ class _Reader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.known = {s: max(self.known.get(s, 0), n) for s, n in end.items()}
         client = client_of(self.options)
-        return [_Range(s, start[s] if s in start else client.bounds(s)[0], n) for s, n in sorted(end.items()) if s not in start or n > start[s]]
+        factor = self.options.get("parallelpullfactor")
+        pulls = leases.parallel_pulls(float(factor)) if factor else 1
+        out = []
+        for s, n in sorted(end.items()):
+            at = start[s] if s in start else client.bounds(s)[0]
+            step = max(1, -(-(n - at) // pulls))
+            out += [_Range(s, k, min(k + step, n)) for k in range(at, n, step)]
+        return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        for n, value, key, ms in client_of(self.options).read(partition.shard, partition.start, partition.end):
+        client, deadline = client_of(self.options), self.options.get("deadlineseconds")
+        own = (partition.shard, partition.start, partition.end)
+        rows = client.read(*own)
+        if deadline:
+            rows = leases.kept_alive(rows, lambda: client.extend(*own), float(deadline))
+        for n, value, key, ms in rows:
             yield value, key, partition.shard, n, None if ms is None else datetime.fromtimestamp(ms / 1000, timezone.utc)
 
     def commit(self, end: dict) -> None:
-        client_of(self.options).committed(end)
+        # a lost lease is another consumer's business, as is its commit
+        leases.commit(lambda: client_of(self.options).committed(end), float(self.options.get("commitdelayseconds", 1)), int(self.options.get("commitattempts", 10)), time.sleep)
 
 
 class ShardedSource(DataSource):
@@ -91,42 +111,3 @@ class ShardedSource(DataSource):
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return _Reader(dict(self.options))
-
-
-class FileBroker:
-    """A broker in a shared folder, for tests and local runs: a JSON-lines file a shard."""
-
-    def __init__(self, folder: str):
-        self.folder = folder
-
-    def _lines(self, shard: str) -> list[dict]:
-        with open(f"{self.folder}/{shard}.jsonl") as f:
-            return [json.loads(x) for x in f if x.endswith("\n")]
-
-    def put(self, shard: str, value: bytes, key: str | None = None, ms: int | None = None) -> None:
-        with open(f"{self.folder}/{shard}.jsonl", "a") as f:
-            f.write(json.dumps({"v": value.hex(), "k": key, "t": ms}) + "\n")
-
-    def shards(self) -> list[str]:
-        import os
-
-        return sorted(f.removesuffix(".jsonl") for f in os.listdir(self.folder) if f.endswith(".jsonl"))
-
-    def bounds(self, shard: str) -> tuple[int, int]:
-        return 0, len(self._lines(shard))
-
-    def at_timestamp(self, shard: str, ms: int) -> int:
-        lines = self._lines(shard)
-        return next((k for k, x in enumerate(lines) if x["t"] is not None and x["t"] >= ms), len(lines))
-
-    def read(self, shard: str, start: int, end: int):
-        for k, x in enumerate(self._lines(shard)[start:end]):
-            yield start + k, bytes.fromhex(x["v"]), x["k"], x["t"]
-
-    def committed(self, offsets: dict[str, int]) -> None:
-        with open(f"{self.folder}/committed.json", "w") as f:
-            json.dump(offsets, f)
-
-
-def file_broker(options: dict[str, str]) -> FileBroker:
-    return FileBroker(options["folder"])

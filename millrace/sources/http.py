@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def serve(spool: str, port: int = 0) -> ThreadingHTTPServer:
+def serve(spool: str, port: int = 0, host: str = "0.0.0.0") -> ThreadingHTTPServer:
     """Take POST /input with octets as one payload (another type: 415) and answer GET / with 200.
 
-    ``spool`` is a folder that the cluster shares. A payload is there, whole, before the answer.
+    A post that does not tell its length, as chunked ones do, gets 411: nothing of it is taken. ``spool`` is a folder that the cluster shares. A payload is there, whole, before the answer.
     """
     os.makedirs(spool, exist_ok=True)
 
@@ -29,7 +29,11 @@ def serve(spool: str, port: int = 0) -> ThreadingHTTPServer:
             self._answer(200 if self.path == "/" else 404)
 
         def do_POST(self):
-            body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
+            length = self.headers.get("Content-Length") or ""
+            if not length.isdigit():
+                self.close_connection = True
+                return self._answer(411)
+            body = self.rfile.read(int(length))
             if self.path != "/input":
                 return self._answer(404)
             if (self.headers.get("Content-Type") or "").split(";")[0].strip() != "application/octet-stream":
@@ -44,12 +48,12 @@ def serve(spool: str, port: int = 0) -> ThreadingHTTPServer:
         def log_message(self, *args):
             pass
 
-    server = ThreadingHTTPServer(("127.0.0.1", port), Handler)
+    server = ThreadingHTTPServer((host, port), Handler)
     threading.Thread(target=server.serve_forever, daemon=True).start()
     return server
 
 
 def read_stream(spark: SparkSession, spool: str, max_files: int = 10_000) -> DataFrame:
-    """The spooled payloads as a stream: value, source_ts."""
-    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.payload").option("maxFilesPerTrigger", max_files).load(spool)
+    """The spooled payloads as a stream: value, source_ts. Files of committed batches are deleted as the stream goes on."""
+    stream = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.payload").option("maxFilesPerTrigger", max_files).option("cleanSource", "delete").load(spool)
     return stream.select(F.col("content").alias("value"), F.col("modificationTime").alias("source_ts"))

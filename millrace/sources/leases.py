@@ -1,33 +1,27 @@
-"""Keeping messages that are being processed: deadlines of pulled batches, pull parallelism, commit retries."""
+"""Keeping messages that are being processed: deadlines, parallel pulls, and commits that are tried again."""
 
 from __future__ import annotations
 
 import math
 import os
-from collections.abc import Callable
-from dataclasses import dataclass
+import time
+from collections.abc import Callable, Iterable, Iterator
+from typing import TypeVar
 
 from ..runtime.retry import full_jitter
 
+T = TypeVar("T")
 
-@dataclass(frozen=True)
-class Pulled:
-    """A batch of a broker that takes unacknowledged messages back at a deadline (seconds)."""
 
-    ids: tuple[str, ...]
-    deadline: float
-
-
-def due_extensions(batches: list[Pulled], now: float, duration: float, min_remaining: float = 0.1) -> tuple[list[Pulled], float]:
-    """Batches whose deadline is nearer than ``min_remaining * duration``, soonest first, and how long to sleep if there are none."""
-    edge = now + min_remaining * duration
-    due = sorted((b for b in batches if b.deadline < edge), key=lambda b: b.deadline)
-    return due, 0.0 if due else min_remaining * duration / 2
-
-
-def chunks(ids: list[str], size: int = 1000) -> list[list[str]]:
-    """Ids in requests of at most ``size``."""
-    return [ids[k : k + size] for k in range(0, len(ids), size)]
+def kept_alive(rows: Iterable[T], extend: Callable[[], None], duration: float, min_remaining: float = 0.1, clock: Callable[[], float] = time.monotonic) -> Iterator[T]:
+    """The rows as they are, and ``extend`` called whenever less than ``min_remaining`` of the deadline's ``duration`` is left."""
+    deadline = clock() + duration
+    for row in rows:
+        now = clock()
+        if deadline - now < min_remaining * duration:
+            extend()
+            deadline = now + duration
+        yield row
 
 
 def parallel_pulls(factor: float, cores: int | None = None) -> int:

@@ -48,10 +48,10 @@ class KafkaSource:
     bootstrap_servers: str
     topic: str
     consumer: tuple[tuple[str, str], ...] = ()
-    starting: str = "earliest"
+    starting: str = "latest"
 
     def options(self) -> dict[str, str]:
-        return {"kafka.bootstrap.servers": self.bootstrap_servers, "subscribe": self.topic, "startingOffsets": self.starting, "failOnDataLoss": "false"} | {f"kafka.{k}": v for k, v in self.consumer}
+        return {"kafka.bootstrap.servers": self.bootstrap_servers, "subscribe": self.topic, "startingOffsets": self.starting} | {f"kafka.{k}": v for k, v in self.consumer}
 
 
 @dataclass(frozen=True)

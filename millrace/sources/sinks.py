@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime.retry import fibonacci
-from .limits import RequestLimits
+from .limits import KafkaSink, RequestLimits
 
 
 def sinkable(value: Column, key: Column | None = None, headers: Column | None = None) -> list[Column]:
@@ -32,6 +32,15 @@ def for_kafka(df: DataFrame) -> DataFrame:
     return df.select(F.coalesce("key", F.uuid()).alias("key"), "value", headers.alias("headers"))
 
 
+def write_kafka(df: DataFrame, sink: KafkaSink) -> None:
+    """Write ``sinkable`` columns to a topic by Spark's own writer; its connector must be on the class path."""
+    for_kafka(df).write.format("kafka").options(**sink.options()).save()
+
+
+class RecordTooLarge(ValueError):
+    """A record that the broker would never take, however often it is sent."""
+
+
 @dataclass(frozen=True)
 class Record:
     value: bytes
@@ -48,11 +57,16 @@ class Client(Protocol):
 
 
 def requests(records: Iterable[Record], limits: RequestLimits) -> Iterator[list[Record]]:
-    """Records in requests: a new one opens before the record that would pass a limit; an oversize record goes alone."""
+    """Records in requests: a new one opens before the record that would pass a limit.
+
+    A record over the limit of a request goes alone; one over the limit of a record is an error.
+    """
     held: list[Record] = []
     size = 0
     for r in records:
         n = r.size(limits.counts_key)
+        if limits.max_record_bytes is not None and n > limits.max_record_bytes:
+            raise RecordTooLarge(f"a record has {n} bytes; the broker takes {limits.max_record_bytes}")
         if held and (len(held) + 1 > limits.max_records or size + n > limits.max_bytes):
             yield held
             held, size = [], 0

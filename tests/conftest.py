@@ -1,10 +1,11 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONPATH", "")])
+os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.path.dirname(os.path.abspath(__file__)), os.environ.get("PYTHONPATH", "")])
 
 
 @pytest.fixture(scope="session")
@@ -13,7 +14,7 @@ def spark():
 
     conf = {
         "spark.sql.shuffle.partitions": "4", "spark.sql.session.timeZone": "UTC", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
-        "spark.driver.memory": "3g", "spark.sql.warehouse.dir": "/tmp/millrace-warehouse",
+        "spark.driver.memory": "3g", "spark.sql.warehouse.dir": "/tmp/millrace-warehouse", "spark.checkpoint.dir": tempfile.mkdtemp(prefix="millrace-tests-"),
     }
     session = SparkSession.builder.master("local[4]").appName("millrace-tests").config(map=conf).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")

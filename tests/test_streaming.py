@@ -5,12 +5,14 @@ import urllib.request
 
 import pytest
 from millrace.operators.codec import Limits
-from millrace.sources import broker, http, limits, registry, sinks
+from millrace.sources import broker, http, leases, limits, registry, sinks
 from millrace.streaming import runner
 from millrace.streaming.batching import batch_up_stream
 from millrace.streaming.health import SourceState
 from pyspark.sql import functions as F
 
+from file_broker import FileBroker
+
 
 class Clock:
     def __init__(self):
@@ -48,6 +50,9 @@ def test_runner_commits_after_success_and_replays_after_failure(spark, tmp_path)
     with pytest.raises(urllib.error.HTTPError) as e:
         urllib.request.urlopen(urllib.request.Request(base + "/input", b"x", {"Content-Type": "text/plain"}))
     assert e.value.code == 415
+    with pytest.raises(urllib.error.HTTPError) as e:  # without a length, as a chunked post
+        urllib.request.urlopen(urllib.request.Request(base + "/input", iter([b"a", b"b"]), {"Content-Type": "application/octet-stream"}, method="POST"))
+    assert e.value.code == 411
     out = spark.createDataFrame([(bytearray(b"one"),), (bytearray(b"two"),)], "v binary").select(*sinks.sinkable(F.col("v")))
     address = limits.HttpSink(base + "/").address()
     sinks.write(out, lambda: sinks.HttpClient(address), limits.RequestLimits(10, 1000), attempts=2)
@@ -95,13 +100,13 @@ def test_eager_finish_keeps_order_and_gives_up_after_a_failure():
     assert "late" not in done
 
 
-def test_sharded_source(spark, tmp_path):
+def test_sharded_source(spark, tmp_path, monkeypatch):
     folder, checkpoint = str(tmp_path / "broker"), str(tmp_path / "checkpoint")
     (tmp_path / "broker").mkdir()
-    b = broker.FileBroker(folder)
+    b = FileBroker(folder)
     for k in range(25):
         b.put(f"s{k % 2}", f"v{k}".encode(), f"k{k}", 1000 * k)
-    config = {"client": "millrace.sources.broker:file_broker", "folder": folder, "maxRecordsPerShard": "5"}
+    config = {"client": "file_broker:file_broker", "folder": folder, "maxRecordsPerShard": "5"}
     got = []
 
     def start(available=True):
@@ -122,6 +127,22 @@ def test_sharded_source(spark, tmp_path):
     assert reader.initialOffset()["s0"] == 10
     with pytest.raises(ValueError):
         registry.open_source(spark, {"kinesis": {}})
+    # several tasks a shard, and commits that are tried again
+    ranges = broker._Reader({"client": config["client"], "folder": folder, "parallelpullfactor": "0.01"}).partitions({"s0": 2}, {"s0": 9})
+    assert [(r.start, r.end) for r in ranges] == [(2, 9)]
+    ranges = broker._Reader({"client": config["client"], "folder": folder, "parallelpullfactor": "100"}).partitions({"s0": 2}, {"s0": 9})
+    assert [(r.start, r.end) for r in ranges] == [(k, k + 1) for k in range(2, 9)]
+    tries = []
+
+    class Busy(FileBroker):
+        def committed(self, offsets):
+            tries.append(offsets)
+            if len(tries) < 3:
+                raise leases.Throttled
+
+    monkeypatch.setattr(broker, "client_of", lambda options: Busy(folder))
+    broker._Reader({"client": "", "commitdelayseconds": "0.001"}).commit({"s0": 5})
+    assert tries == [{"s0": 5}] * 3
 
 
 def test_kafka_records_and_options(spark):
@@ -129,6 +150,7 @@ def test_kafka_records_and_options(spark):
     rows = {bytes(r.value): r for r in sinks.for_kafka(df).collect()}
     assert rows[b"y"].key == "k" and len(rows[b"x"].key) == 36 and bytes(rows[b"x"].headers[0].value) == "é".encode()
     assert limits.KafkaSource("h:1", "t", (("group.id", "g"),)).options()["kafka.group.id"] == "g"
+    assert limits.KafkaSource("h:1", "t").options() == {"kafka.bootstrap.servers": "h:1", "subscribe": "t", "startingOffsets": "latest"}
 
 
 class Flaky:
@@ -158,6 +180,8 @@ def test_requests_and_retries():
 
     with pytest.raises(OSError, match="2 records failed: no"):
         sinks.send(Never(), unique[:2], limits.NSQ, attempts=3, sleep=slept.append)
+    with pytest.raises(sinks.RecordTooLarge):
+        sinks.send(Never(), [sinks.Record(bytes(1_000_001))], limits.KINESIS, sleep=slept.append)
     whole = Flaky(3)
     sinks.send(whole, unique[:5], limits.RequestLimits(5, 10**6), only_failed=False, sleep=slept.append)
     assert set(whole.calls) == {5}
@@ -203,14 +227,18 @@ def test_stateful_batches(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
-def test_deadlines_chunks_and_commits():
+def test_deadlines_and_commits():
     from millrace.sources import leases
 
-    batches = [leases.Pulled(("a",), 105.0), leases.Pulled(("b",), 101.0), leases.Pulled(("c",), 200.0)]
-    due, sleep = leases.due_extensions(batches, 100.0, 60.0)
-    assert [b.ids for b in due] == [("b",), ("a",)] and sleep == 0
-    assert leases.due_extensions(batches[2:], 100.0, 60.0) == ([], 3.0)
-    assert [len(c) for c in leases.chunks(["x"] * 2001)] == [1000, 1000, 1] and leases.chunks([]) == []
+    clock, extended = Clock(), []
+
+    def slow_rows():
+        for k in range(60):
+            clock.now += 1
+            yield k
+
+    assert list(leases.kept_alive(slow_rows(), lambda: extended.append(clock.now), 20.0, clock=clock)) == list(range(60))
+    assert extended == [1019.0, 1038.0, 1057.0]
     assert leases.parallel_pulls(0.5, 3) == 2 and leases.parallel_pulls(0.1, 1) == 1
     tries = []
 
