@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.keys import Criterion, schema_key, version
@@ -200,6 +198,48 @@ def entity_column_null_when_absent(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.col("event_id").cast("long").alias("event_id"), F.col("unstruct_event_com_acme_click_1.k").alias("k"), F.size(contexts).alias("_n"), contexts).select("event_id", "k", F.when(contexts.isNotNull(), F.col("_n")).alias("n_contexts"), F.get(contexts, 0)["k"].alias("context_k"))
 
 
+_PROPERTY = lambda kind: {"type": "object", "properties": {"k": {"type": kind}}, "required": ["k"]}
+
+
+@query(f"""
+WITH {_ENV}, j AS (SELECT *, json_type(props, '$.k') IN ('BIGINT','UBIGINT') AS whole, json_type(props, '$.k') IN ('BIGINT','UBIGINT','DOUBLE') AS number, json_extract_string(props, '$.k') AS k FROM env),
+o AS (SELECT *, event_type = 'click' AND addition <> 1 AS c, event_type = 'click' AND addition = 1 AS r, event_type = 'view' AND addition < 2 AS v FROM j)
+SELECT event_id, CASE WHEN {_MONEY('value')} THEN TRY_CAST(value AS DECIMAL(18,2)) END::VARCHAR AS total,
+  CASE WHEN c AND whole THEN k::BIGINT END AS click_k, CASE WHEN r AND number THEN k::DOUBLE END AS recovered_k, CASE WHEN v AND whole THEN k::BIGINT END AS view_k,
+  CASE WHEN event_type = 'click' AND user_id % 5 <> 0 AND whole THEN k::BIGINT END AS context_k,
+  CASE WHEN event_type NOT IN ('click', 'view') THEN 1
+    ELSE (NOT {_MONEY('value')})::INT + ((c OR v) AND NOT coalesce(whole, false))::INT + (r AND NOT coalesce(number, false))::INT
+      + (event_type = 'click' AND (user_id % 5 = 0 OR NOT coalesce(whole, false)))::INT END AS n_errors,
+  CASE WHEN event_type NOT IN ('click', 'view') THEN 'no schema com.acme/' || event_type || '/1-0-' || (SELECT max(e.addition) FROM env e WHERE e.event_type = o.event_type)::VARCHAR END AS failure
+FROM o
+""")
+def transform_batch(spark: SparkSession, d: str) -> DataFrame:
+    """Events through the whole transformation, their families taken from the batch itself.
+
+    Clicks have a version that does not merge and so a recovery column, and a context that is at times of a wrong type;
+    views have a version without a schema that is skipped; other types have no schema and fail.
+    """
+    registry = Registry({("com.acme", "click", 1, 0, a): _PROPERTY("number" if a == 1 else "integer") for a in range(3)} | {("com.acme", "view", 1, 0, a): _PROPERTY("integer") for a in range(2)})
+    skip = [Criterion.parse("schema:com.acme/view/jsonschema/1-0-2")]
+    context = F.when(F.col("event_type") == "click", F.array(F.struct(F.lit("schema:com.acme/click/jsonschema/1-0-0").alias("schema"), F.when(F.col("user_id") % 5 == 0, F.lit('{"k":"x"}')).otherwise(F.col("data")).alias("data"))))
+    df = _envelopes(spark, d).select(F.col("event_id").cast("string").alias("event_id"), F.col("value").alias("tr_total"), F.struct("schema", "data").alias("unstruct_event"), context.alias("contexts"))
+    held = {}
+    for kind, column in (("unstruct_event", "unstruct_event"), ("contexts", "contexts")):
+        # as many rows as a batch has families
+        for f in entities.families(entities.entity_uris(df, [column])).collect():
+            held[Family(kind, f.vendor, f.name, f.model)] = [(v.revision, v.addition) for v in f.versions]
+    out = transform_events(df, resolve(held, registry, skip), skip)
+    recovered = [c for c in out.columns if "_recovered_1_0_1_" in c and c.startswith("unstruct_event")]
+    own = lambda c: F.col(c)["k"] if c in out.columns else F.lit(None)
+    context_k = F.get("contexts_com_acme_click_1", 0)["k"] if "contexts_com_acme_click_1" in out.columns else F.lit(None)
+    failure = F.get(F.filter(F.transform("errors", lambda e: e["message"]), lambda m: m.startswith("no schema")), 0)
+    return out.select(
+        F.col("event_id").cast("long").alias("event_id"), F.col("tr_total").cast("string").alias("total"),
+        own("unstruct_event_com_acme_click_1").cast("long").alias("click_k"), (own(recovered[0]) if recovered else F.lit(None)).cast("double").alias("recovered_k"),
+        own("unstruct_event_com_acme_view_1").cast("long").alias("view_k"), context_k.cast("long").alias("context_k"), F.size("errors").alias("n_errors"), failure.alias("failure"),
+    )
+
+
 @query("""
 SELECT user_id, count(*) FILTER (WHERE event_type = 'click') + count(*) FILTER (WHERE event_type = 'view') AS n_concat,
   CASE WHEN count(*) FILTER (WHERE event_type = 'view') > 0 THEN count(*) FILTER (WHERE event_type = 'view') ELSE count(*) FILTER (WHERE event_type = 'click') END AS n_overwrite
@@ -337,12 +377,8 @@ SELECT stream, at_ms, count(*) AS n, sum(floor((until - at_ms) / {4 * _HOUR}) +
 """)
 def repeat_periodically(spark: SparkSession, d: str) -> DataFrame:
     # rows of one instant follow each other at once, so their number and what the last of them repeats are compared
-    rows = _arrivals(spark, d)
-    once = rows.groupBy("stream", "at_ms").agg(F.count("*").alias("n"))
-    last = F.max("at_ms").over(Window.partitionBy("stream"))
-    ends = once.withColumn("_last", last)
-    # the last row of a stream is not repeated: the period ends with it
-    out = folds.repeat_periodically(ends, ["stream"], "at_ms", 4 * _HOUR, 0)
+    once = _arrivals(spark, d).groupBy("stream", "at_ms").agg(F.count("*").alias("n"))
+    out = folds.repeat_periodically(once, ["stream"], "at_ms", 4 * _HOUR, 0)
     return out.groupBy("stream", "at_ms", "n").agg(F.count("*").alias("e")).select("stream", "at_ms", "n", (F.col("e") + F.col("n") - 1).alias("emissions"))
 
 
@@ -421,7 +457,9 @@ def sniff_codec(spark: SparkSession, d: str) -> DataFrame:
     return _table(spark, d, "documents").select("doc_id", codec(F.concat(head, F.encode("text", "UTF-8"))).alias("codec"))
 
 
-@query("SELECT source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS n_bytes, md5(string_agg(md5(text), '' ORDER BY md5(text))) AS digest FROM documents GROUP BY source")
+@query("""
+SELECT source, count(*) AS n, sum(octet_length(encode(text)))::BIGINT AS n_bytes, sum(('0x' || substr(md5(text), 1, 12))::BIGINT::HUGEINT)::VARCHAR AS digest FROM documents GROUP BY source
+""")
 def compress_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("source", "doc_id", F.encode("text", "UTF-8").alias("body"))
     # null texts have no payload to pack, and a payload over the target goes on as it is
@@ -433,42 +471,56 @@ def compress_roundtrip(spark: SparkSession, d: str) -> DataFrame:
         read = codecs.decompress(packed.filter("rejected IS NULL"), codecs.Limits(10**6, (1 << 31) - 1), "message", "ordinal")
         each = each.unionByName(read.join(packed.select("ordinal", "source"), "ordinal").select("source", "payload"))
         each = each.unionByName(packed.filter("rejected IS NOT NULL").select("source", F.col("rejected").alias("payload")))
-    return _digests(each.select("source", F.octet_length("payload").alias("b"), F.md5("payload").alias("m")))
-
+    # a sum has no order, so partial ones are made before the shuffle
+    word = F.conv(F.substring(F.md5("payload"), 1, 12), 16, 10).cast("decimal(20,0)")
+    return each.groupBy("source").agg(F.count("*").alias("n"), F.sum(F.octet_length("payload")).cast("long").alias("n_bytes"), F.sum(word).cast("string").alias("digest"))
 
-def _digests(each: DataFrame) -> DataFrame:
-    """n, n_bytes and the digest of the sorted ``m`` of each source; rows stream through, as md5 has an order."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state = None, None
-        out = lambda: pa.record_batch([pa.array([current], pa.string()), pa.array([state[0]], pa.int64()), pa.array([state[1]], pa.int64()), pa.array([state[2] and state[2].hexdigest()], pa.string())], names=["source", "n", "n_bytes", "digest"])
-        for batch in batches:
-            for source, b, m in zip(*(c.to_pylist() for c in batch.columns)):
-                if state and source != current:
-                    yield out()
-                    state = None
-                current, state = source, state or [0, None, None]
-                state[0] += 1
-                if m is not None:
-                    state[1], state[2] = (state[1] or 0) + b, state[2] or hashlib.md5()
-                    state[2].update(m.encode())
-        if state:
-            yield out()
+def _packed_tens(spark: SparkSession, d: str, kind: str, rows: F.Column) -> DataFrame:
+    """Messages of up to ten documents each: tenth, message."""
+    docs = _table(spark, d, "documents").filter(rows).select((F.floor(F.col("doc_id") / 10)).cast("long").alias("tenth"), "doc_id", F.encode("text", "UTF-8").alias("body"))
+    return codecs.compress(docs, ["tenth"], ["doc_id"], "body", kind, 1 << 30).select("tenth", "message")
 
-    return each.repartition("source").sortWithinPartitions("source", "m").mapInArrow(run, "source string, n long, n_bytes long, digest string")
 
-
-@query()
+@query("""
+WITH d AS (SELECT doc_id // 10 AS tenth, octet_length(encode(coalesce(text, ''))) AS b FROM documents)
+SELECT 'gzip' AS codec, CASE WHEN b > 5000 THEN 'Payload will exceed maximum allowed size of 5000 after gzip decompression' ELSE 'none' END AS error, count(*) AS n FROM d GROUP BY ALL
+UNION ALL SELECT 'gzip', 'corrupt gzip-compressed payload', count(DISTINCT tenth) FROM d WHERE tenth % 4 IN (1, 2) HAVING count(*) > 0
+""")
 def decompress_errors(spark: SparkSession, d: str) -> DataFrame:
-    """Broken messages made from documents: one payload too large, a wrong version, a cut stream, junk at the end."""
-    docs = _table(spark, d, "documents").select("doc_id", F.encode("text", "UTF-8").alias("body"))
-    packed = codecs.compress(docs.withColumn("g", F.col("doc_id") % 20), ["g"], ["doc_id"], "body", "gzip", 1 << 22)
+    """Broken messages made from documents: payloads too large, a cut stream, junk at the end; records before a break are kept."""
+    packed = _packed_tens(spark, d, "gzip", F.lit(True))
     n = F.octet_length("message")
-    broken = F.when(F.col("g") % 4 == 1, F.substring("message", F.lit(1), n - 9)).when(F.col("g") % 4 == 2, F.concat("message", F.lit(b"junk!"))).otherwise(F.col("message"))
-    out = codecs.decompress(packed.select(F.xxhash64("g", "message_no").alias("ordinal"), broken.alias("payload")), codecs.Limits(10**5, 5000))
+    broken = F.when(F.col("tenth") % 4 == 1, F.substring("message", F.lit(1), n - 9)).when(F.col("tenth") % 4 == 2, F.concat("message", F.lit(b"junk!"))).otherwise(F.col("message"))
+    out = codecs.decompress(packed.select(F.col("tenth").alias("ordinal"), broken.alias("payload")), codecs.Limits(10**5, 5000))
     return out.groupBy("codec", F.coalesce("error", F.lit("none")).alias("error")).agg(F.count("*").alias("n"))
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id % 3 AS kind, doc_id, octet_length(encode(coalesce(text, ''))) AS b, row_number() OVER (PARTITION BY doc_id % 3 ORDER BY doc_id) AS k FROM documents),
+w AS (SELECT *, CASE WHEN b > 30000 THEN 0 ELSE b END AS s FROM d WHERE kind < 2),
+f AS (
+  SELECT kind, k, b, s, 0::BIGINT AS part, CASE WHEN s > 20000 THEN 0 ELSE s END::BIGINT AS total, (s > 20000)::BIGINT AS after FROM w WHERE k = 1
+  UNION ALL
+  SELECT w.kind, w.k, w.b, w.s, f.after, CASE WHEN f.total + w.s > 20000 THEN 0 ELSE f.total + w.s END, f.after + (f.total + w.s > 20000)::BIGINT
+  FROM f JOIN w ON w.kind = f.kind AND w.k = f.k + 1),
+p AS (
+  SELECT kind, part, count(*) AS n, sum((b > 30000)::BIGINT) AS errors, sum(s) AS bytes FROM f GROUP BY ALL
+  UNION ALL SELECT -1, 0, count(*), 0, sum(b) FROM d WHERE kind = 2 HAVING count(*) > 0),
+q AS (SELECT *, row_number() OVER (ORDER BY kind, part) - 1 AS batch_no, count(*) OVER () - 1 AS last FROM p)
+SELECT CASE kind WHEN -1 THEN 'plain' WHEN 0 THEN 'zstd' ELSE 'gzip' END AS codec, batch_no::BIGINT AS batch_no, batch_no = last AS is_last, n::BIGINT AS n_records, errors::BIGINT AS n_errors, bytes::BIGINT AS n_bytes FROM q
+""")
+def decompressed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """A source batch of plain and compressed messages, decompressed and split into batches by the soft limit."""
+    rest = F.pmod(F.col("doc_id"), F.lit(3))
+    messages = _table(spark, d, "documents").filter(rest == 2).select(F.col("doc_id").alias("ordinal"), F.encode("text", "UTF-8").alias("payload"))
+    for kind, k in (("zstd", 0), ("gzip", 1)):
+        messages = messages.unionByName(_packed_tens(spark, d, kind, rest == k).select(F.col("tenth").alias("ordinal"), F.col("message").alias("payload")))
+    out = codecs.decompressed_batches(messages, codecs.Limits(20_000, 30_000))
+    size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
+    return out.groupBy("codec", "batch_no", "is_last").agg(F.count("*").alias("n_records"), F.count("error").alias("n_errors"), F.sum(size).alias("n_bytes"))
+
+
 @query("""
 SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props WHEN event_id % 3 = 1 THEN '{"k":' || json_extract_string(props, '$.k') || ',"_schema_version":"1-0-2"}' ELSE '[1]' END AS data FROM events
 """)
