@@ -9,27 +9,34 @@ from millrace.plans.transform import strict, transform_events, transform_unstruc
 from pyspark.sql import functions as F
 
 OBJ = lambda required=(), **p: {"type": "object", "properties": {k: {"type": t} if isinstance(t, str) else t for k, t in p.items()}, "required": list(required)}
+DATE = {"type": "string", "format": "date"}
 REGISTRY = S.Registry({
-    ("acme", "thing", 7, 0, 0): OBJ(["a"], a="string"),
-    ("acme", "thing", 7, 0, 1): OBJ(["a", "b"], a="string", b="string"),
-    ("acme", "thing", 7, 1, 0): OBJ(["a", "c"], a="string", c="string"),
-    ("acme", "moving", 1, 0, 0): OBJ(["a"], a="string"),
-    ("acme", "moving", 1, 0, 1): OBJ(["a"], a="number"),
-    ("acme", "moving", 1, 0, 2): OBJ(["a"], a="boolean"),
-    ("acme", "moving", 1, 0, 3): OBJ(["a"], a="string", b="integer"),
-    ("acme", "ordered", 10, 0, 0): OBJ(m="string", n="string"),
-    ("acme", "ordered", 10, 0, 1): OBJ(a="string", m="string", z="string"),
-    ("acme", "digit", 1, 0, 0): OBJ(["1colA"], **{"1colA": "string"}),
-    ("acme", "empty", 1, 0, 0): {"type": "object", "additionalProperties": False},
-    ("acme", "empty", 1, 0, 1): OBJ(myString="string"),
-    ("acme", "open", 1, 0, 0): {"type": "object"},
-    ("acme", "broken", 1, 0, 0): {"type": "object", "properties": "text"},
-    ("a.b", "c", 1, 0, 0): OBJ(a="string"),
-    ("a_b", "c", 1, 0, 0): OBJ(a="string"),
+    # an orchard's pickings: every version adds, one of them two properties and a list
+    ("orchard", "picking", 2, 0, 0): OBJ(["row", "weight"], row="integer", weight="number"),
+    ("orchard", "picking", 2, 0, 3): OBJ(["row", "weight", "picker"], row="integer", weight="number", picker="string"),
+    ("orchard", "picking", 2, 4, 0): OBJ(["row", "weight"], row="integer", weight="number", day=DATE, baskets={"type": "array", "items": {"type": "integer"}}),
+    ("orchard", "picking", 2, 4, 2): OBJ(["row"], row="integer", weight="number", ripe="boolean"),
+    # a press whose pressure changes its type twice and then comes back
+    ("orchard", "press", 3, 0, 0): OBJ(["pressure", "litres"], pressure="integer", litres="number"),
+    ("orchard", "press", 3, 1, 0): OBJ(["pressure"], pressure="string"),
+    ("orchard", "press", 3, 1, 1): OBJ(["pressure", "litres"], pressure={"type": "array", "items": {"type": "number"}}, litres="number"),
+    ("orchard", "press", 3, 2, 0): OBJ(["litres"], litres="number", press_date=DATE),
+    # properties in another order than their names, and nested ones that both versions add to
+    ("orchard", "label", 5, 2, 0): OBJ(["zone"], zone="string", bottle=OBJ(["size"], size="integer"), acid="number"),
+    ("orchard", "label", 5, 2, 7): OBJ(["zone"], zone="string", bottle=OBJ(["size", "glass"], size="integer", glass="string"), batchNo="integer"),
+    ("orchard", "odd-names", 1, 0, 0): OBJ(["2ndPress"], **{"2ndPress": "boolean", "pHValue": "number"}),
+    ("orchard", "sealed", 4, 0, 0): {"type": "object", "additionalProperties": False},
+    ("orchard", "sealed", 4, 0, 1): {"type": "object", "properties": {}, "additionalProperties": False},
+    ("orchard", "sealed", 4, 1, 0): OBJ(sealDate=DATE),
+    ("orchard", "note", 9, 0, 0): {"type": "object"},
+    ("orchard", "torn", 6, 0, 0): {"type": "object", "properties": [1, 2]},
+    ("cider-mill", "tank", 1, 1, 0): OBJ(level="number"),
+    ("cider_mill", "tank", 1, 0, 4): OBJ(level="number"),
+    ("cider.mill", "tank", 2, 0, 0): OBJ(level="number"),
 })
 
 
-def one(name, model, versions, kind="unstruct_event", vendor="acme", skip=()):
+def one(name, model, versions, kind="unstruct_event", vendor="orchard", skip=()):
     return S.resolve({S.Family(kind, vendor, name, model): versions}, REGISTRY, skip)
 
 
@@ -39,45 +46,56 @@ def shape(field):
 
 
 def test_merged_versions():
-    c = one("thing", 7, [(0, 0)]).columns[0]
-    assert shape(c.field) == [("a", "string", False)] and c.versions == {(0, 0)}
-    c = one("thing", 7, [(1, 0)]).columns[0]
-    assert shape(c.field) == [("a", "string", False), ("b", "string", True), ("c", "string", True)]
-    assert c.versions == {(0, 0), (0, 1), (1, 0)} and c.field.name == "unstruct_event_acme_thing_7" and c.field.nullable
-    c = one("ordered", 10, [(0, 0), (0, 1)]).columns[0]
-    assert [f[0] for f in shape(c.field)] == ["m", "n", "a", "z"]
+    """Versions up to the latest of the batch; what any of them lacks or leaves free is nullable, and new fields follow by name."""
+    c = one("picking", 2, [(0, 0)]).columns[0]
+    assert shape(c.field) == [("row", "long", False), ("weight", "double", False)] and c.versions == {(0, 0)}
+    # the batch holds just the third version: those between are merged as well, the later one is not
+    c = one("picking", 2, [(4, 0)]).columns[0]
+    assert shape(c.field) == [("row", "long", False), ("weight", "double", False), ("picker", "string", True), ("baskets", S.Array("long", False), True), ("day", "date", True)]
+    assert c.versions == {(0, 0), (0, 3), (4, 0)} and c.field.name == "unstruct_event_orchard_picking_2" and c.field.nullable
+    c = one("picking", 2, [(0, 3), (4, 2)]).columns[0]
+    assert [f[0] for f in shape(c.field)] == ["row", "weight", "picker", "baskets", "day", "ripe"] and [f[2] for f in shape(c.field)] == [False, True, True, True, True, True]
+    # nested properties merge in the same way
+    c = one("label", 5, [(2, 7)]).columns[0]
+    assert [f[0] for f in shape(c.field)] == ["zone", "acid", "bottle", "batch_no"]
+    bottle = shape(c.field)[2][1]
+    assert [(f.name, f.type, f.nullable) for f in bottle.fields] == [("size", "long", False), ("glass", "string", True)]
 
 
 def test_recovery_columns():
-    c = one("moving", 1, [(0, 0), (0, 1), (0, 2)]).columns[0]
-    assert shape(c.field) == [("a", "string", False)] and c.versions == {(0, 0)}
-    assert [(v, shape(f)[0][1]) for v, f in c.recoveries] == [((0, 1), "double"), ((0, 2), "boolean")]
-    assert all(re.fullmatch(r"unstruct_event_acme_moving_1_recovered_1_0_[12]_[0-9a-f]{8}", f.name) for _, f in c.recoveries)
-    c = one("moving", 1, [(0, 0), (0, 1), (0, 2), (0, 3)]).columns[0]
-    assert shape(c.field) == [("a", "string", False), ("b", "long", True)] and c.versions == {(0, 0), (0, 3)} and len(c.recoveries) == 2
-    # versions that the batch lacks have no recovery column
-    assert one("moving", 1, [(0, 3)]).columns[0].recoveries == ()
+    """A version whose types do not merge has a column of its own, if the batch holds it."""
+    c = one("press", 3, [(0, 0), (1, 0), (1, 1), (2, 0)]).columns[0]
+    assert shape(c.field) == [("litres", "double", False), ("pressure", "long", True), ("press_date", "date", True)] and c.versions == {(0, 0), (2, 0)}
+    assert [(v, shape(f)) for v, f in c.recoveries] == [((1, 0), [("pressure", "string", False)]), ((1, 1), [("litres", "double", False), ("pressure", S.Array("double", False), False)])]
+    assert all(re.fullmatch(r"unstruct_event_orchard_press_3_recovered_3_1_[01]_[0-9a-f]{8}", f.name) for _, f in c.recoveries)
+    c = one("press", 3, [(1, 1)]).columns[0]
+    assert [v for v, _ in c.recoveries] == [(1, 1)] and c.versions == {(0, 0)}
+    assert one("press", 3, [(2, 0)]).columns[0].recoveries == ()
 
 
 def test_names_empty_open_and_context_columns():
-    f = one("digit", 1, [(0, 0)]).columns[0].field.type.fields[0]
-    assert (f.name, f.source) == ("_1col_a", "1colA")
-    assert one("empty", 1, [(0, 0)]).columns == ()
-    assert one("empty", 1, [(0, 1)]).columns[0].versions == {(0, 1)}
-    assert one("open", 1, [(0, 0)]).columns[0].field.type == "json"
-    assert one("open", 1, [(0, 0)], "contexts").columns[0].field.type == S.Array("json", True)
-    t = one("thing", 7, [(0, 0)], "contexts").columns[0].field.type
-    assert t == S.Array(S.Struct((S.Field("_schema_version", "string", False, "_schema_version"), S.Field("a", "string", False, "a"))), False)
+    fields = one("odd-names", 1, [(0, 0)]).columns[0].field.type.fields
+    assert [(f.name, f.source) for f in fields] == [("_2nd_press", "2ndPress"), ("p_hvalue", "pHValue")]
+    # nothing can be held until the third version
+    assert one("sealed", 4, [(0, 0), (0, 1)]).columns == ()
+    c = one("sealed", 4, [(1, 0)]).columns[0]
+    assert c.versions == {(1, 0)} and shape(c.field) == [("seal_date", "date", True)]
+    assert one("note", 9, [(0, 0)]).columns[0].field.type == "json"
+    assert one("note", 9, [(0, 0)], "contexts").columns[0].field.type == S.Array("json", True)
+    t = one("picking", 2, [(0, 0)], "contexts").columns[0].field.type
+    assert t.element.fields[0] == S.Field("_schema_version", "string", False, "_schema_version") and not t.element_nullable
+    assert [f.name for f in t.element.fields] == ["_schema_version", "row", "weight"]
 
 
 def test_failures_clashes_and_skipping():
-    assert "no schema acme/thing/7-0-9" in one("thing", 7, [(0, 9)]).failures[0].message
-    assert one("broken", 1, [(0, 0)]).failures[0].message.startswith("invalid schema")
-    with pytest.raises(S.ClashingColumnNames):
-        S.resolve({S.Family("contexts", v, "c", 1): [(0, 0)] for v in ("a.b", "a_b")}, REGISTRY)
-    skip = [Criterion.parse("schema:acme/thing/jsonschema/7-0-*")]
-    assert one("thing", 7, [(0, 0)], skip=skip).columns == ()
-    assert one("thing", 7, [(0, 0), (1, 0)], skip=skip).columns[0].versions == {(1, 0)}
+    assert "no schema orchard/picking/2-4-1" in one("picking", 2, [(0, 0), (4, 1)]).failures[0].message
+    assert one("torn", 6, [(0, 0)]).failures[0].message.startswith("invalid schema")
+    with pytest.raises(S.ClashingColumnNames) as e:
+        S.resolve({S.Family("contexts", "cider-mill", "tank", 1): [(1, 0)], S.Family("contexts", "cider_mill", "tank", 1): [(0, 4)], S.Family("contexts", "cider.mill", "tank", 2): [(0, 0)]}, REGISTRY)
+    assert [{f.vendor for f in c} for c in e.value.clashes] == [{"cider-mill", "cider_mill"}]
+    skip = [Criterion.parse("schema:orchard/picking/jsonschema/2-0-*")]
+    assert one("picking", 2, [(0, 0), (0, 3)], skip=skip).columns == ()
+    assert one("picking", 2, [(0, 3), (4, 0)], skip=skip).columns[0].versions == {(4, 0)}
 
 
 def test_atomic_columns():
@@ -87,10 +105,10 @@ def test_atomic_columns():
 
 
 ALL = S.Struct(tuple(S.Field(k, t, False) for k, t in {
-    "my_string": "string", "my_int": "int", "my_long": "long", "my_decimal": S.Decimal(9, 2), "my_double": "double", "my_boolean": "boolean", "my_date": "date",
-    "my_timestamp": "timestamp", "my_array": S.Array("int", False), "my_object": S.Struct((S.Field("abc", "string", False),)),
-}.items()) + (S.Field("my_null", "string", True),))
-GOOD = {"my_string": "abc", "my_int": 42, "my_long": 42000000000, "my_decimal": 1.23, "my_double": 1.2323, "my_boolean": True, "my_date": "2024-03-19", "my_timestamp": "2024-03-19T20:20:39Z", "my_array": [1, 2, 3], "my_object": {"abc": "xyz"}, "my_null": None}
+    "sort": "string", "trees": "int", "drops": "long", "price": S.Decimal(7, 3), "sugar": "double", "organic": "boolean", "planted": "date",
+    "watered": "timestamp", "yields": S.Array("double", False), "owner": S.Struct((S.Field("name", "string", False), S.Field("acres", "long", True))),
+}.items()) + (S.Field("remark", "string", True),))
+GOOD = {"sort": "Boskoop", "trees": 310, "drops": 9876543210987, "price": 41.125, "sugar": 0.0625, "organic": False, "planted": "1987-11-02", "watered": "2021-06-30T05:15:00Z", "yields": [1.5, 2, 0.25], "owner": {"name": "Ines", "acres": 12}, "remark": None}
 
 
 def cast(spark, data, t):
@@ -101,50 +119,52 @@ def cast(spark, data, t):
 
 def test_strict_values(spark):
     value, errors = cast(spark, json.dumps(GOOD), ALL)
-    assert errors == [] and (value.my_long, str(value.my_decimal), value.my_array, value.my_object.abc, value.my_null) == (42000000000, "1.23", [1, 2, 3], "xyz", None)
-    string = S.Struct((S.Field("a", "string", False),))
-    assert cast(spark, "{}", string)[1] == ["WrongType(null,String)"]
-    assert cast(spark, '{"a":null}', string)[1] == ["WrongType(null,String)"]
-    assert cast(spark, '{"a":123}', string)[1] == ["WrongType(123,String)"]
-    for k, bad in {"my_string": 1, "my_int": 2**31, "my_long": 1.5, "my_decimal": 1.234, "my_double": "1", "my_boolean": "true", "my_date": "soon", "my_timestamp": 5, "my_array": [1, "x"], "my_object": {"abc": 1}}.items():
-        assert len(cast(spark, json.dumps(GOOD | {k: bad}), ALL)[1]) == 1, k
-    assert len(cast(spark, json.dumps(GOOD | {"my_int": "x", "my_boolean": 0}), ALL)[1]) == 2
+    assert errors == [] and (value.drops, str(value.price), value.yields, value.owner.name, value.owner.acres, value.remark) == (9876543210987, "41.125", [1.5, 2.0, 0.25], "Ines", 12, None)
+    flag = S.Struct((S.Field("ripe", "boolean", False),))
+    assert cast(spark, "{}", flag)[1] == ["WrongType(null,Boolean)"]
+    assert cast(spark, '{"ripe":null}', flag)[1] == ["WrongType(null,Boolean)"]
+    assert cast(spark, '{"ripe":"yes"}', flag)[1] == ['WrongType("yes",Boolean)']
+    wrong = {"sort": ["a"], "trees": -(2**31) - 1, "drops": 0.5, "price": 1.0625, "sugar": True, "organic": 1, "planted": "autumn", "watered": {}, "yields": [1, None, "x"], "owner": {"acres": 3}}
+    for k, bad in wrong.items():
+        assert len(cast(spark, json.dumps(GOOD | {k: bad}), ALL)[1]) == (2 if k == "yields" else 1), k
+    assert len(cast(spark, json.dumps(GOOD | {"trees": "many", "organic": 0, "owner": {"name": 5, "acres": "x"}}), ALL)[1]) == 4
 
 
 EVENT = "event_id string, tr_total double, unstruct_event struct<schema:string,data:string>, contexts array<struct<schema:string,data:string>>, derived_contexts array<struct<schema:string,data:string>>"
-U = lambda n, v, d: (f"schema:acme/{n}/jsonschema/{v}", json.dumps(d))
+U = lambda n, v, d: (f"schema:orchard/{n}/jsonschema/{v}", json.dumps(d))
 
 
 def test_transform_events(spark):
-    families = {S.Family("unstruct_event", "acme", "moving", 1): [(0, 0), (0, 1)], S.Family("contexts", "acme", "thing", 7): [(0, 0), (1, 0)], S.Family("contexts", "acme", "gone", 1): [(0, 0)]}
+    families = {S.Family("unstruct_event", "orchard", "press", 3): [(0, 0), (1, 0)], S.Family("contexts", "orchard", "picking", 2): [(0, 0), (4, 0)], S.Family("contexts", "orchard", "lost", 1): [(0, 0)]}
     resolved = S.resolve(families, REGISTRY)
     rows = [
-        ("e0", 12.34, U("moving", "1-0-0", {"a": "x"}), [U("thing", "7-0-0", {"a": "p"})], [U("thing", "7-1-0", {"a": "q", "c": "r"})]),
-        ("e1", 12.3456, U("moving", "1-0-0", {"a": 5}), [U("thing", "7-0-0", {})], None),
-        ("e2", None, U("moving", "1-0-1", {"a": 1.5}), [], None),
-        ("e3", 12.3456, None, [U("gone", "1-0-0", {})], None),
-        ("e4", None, U("moving", "1-0-9", {"a": 1}), [U("other", "1-0-0", {})], []),
+        ("good", 80.05, U("press", "3-0-0", {"pressure": 7, "litres": 30.5}), [U("picking", "2-0-0", {"row": 4, "weight": 1.25})], [U("picking", "2-4-0", {"row": 5, "weight": 2, "day": "2020-09-01"})]),
+        ("bad", 80.055, U("press", "3-0-0", {"pressure": "high", "litres": 1}), [U("picking", "2-0-0", {"row": 1})], None),
+        ("recovered", None, U("press", "3-1-0", {"pressure": "low"}), [], None),
+        ("failed", 80.055, None, [U("lost", "1-0-0", {})], None),
+        ("unknown", None, U("press", "3-7-0", {"pressure": 1}), [U("other", "1-0-0", {})], []),
     ]
     out = transform_events(spark.createDataFrame(rows, EVENT), resolved, load_tstamp=F.current_timestamp())
     recovered = next(c for c in out.columns if "_recovered_" in c)
     got = {r.event_id: r for r in out.collect()}
     assert len(out.columns) == 129 + 3 + 1
-    e0 = got["e0"]
-    assert e0.errors == [] and str(e0.tr_total) == "12.34" and e0.unstruct_event_acme_moving_1.a == "x" and e0[recovered] is None
-    assert [(x._schema_version, x.a, x.b, x.c) for x in e0.contexts_acme_thing_7] == [("7-0-0", "p", None, None), ("7-1-0", "q", None, "r")]
-    assert len(got["e1"].errors) == 3
-    assert got["e2"].errors == [] and got["e2"][recovered].a == 1.5 and got["e2"].unstruct_event_acme_moving_1 is None and got["e2"].contexts_acme_thing_7 is None
-    assert [e.message.split()[0] for e in got["e3"].errors] == ["no"]
-    assert got["e4"].errors == [] and got["e4"].unstruct_event_acme_moving_1 is None
+    good = got["good"]
+    assert good.errors == [] and str(good.tr_total) == "80.05" and good.unstruct_event_orchard_press_3.pressure == 7 and good[recovered] is None
+    assert [(x._schema_version, x.row, x.weight, x.picker, str(x.day)) for x in good.contexts_orchard_picking_2] == [("2-0-0", 4, 1.25, None, "None"), ("2-4-0", 5, 2.0, None, "2020-09-01")]
+    # money, the pressure and the missing weight
+    assert len(got["bad"].errors) == 3
+    assert got["recovered"].errors == [] and got["recovered"][recovered].pressure == "low" and got["recovered"].unstruct_event_orchard_press_3 is None and got["recovered"].contexts_orchard_picking_2 is None
+    assert [e.message for e in got["failed"].errors] == ["no schema orchard/lost/1-0-0"]
+    assert got["unknown"].errors == [] and got["unknown"].unstruct_event_orchard_press_3 is None
 
 
 def test_transform_unstructured(spark):
-    rows = [("e0", 1.0, U("myThing", "1-0-0", {"a": 1}), [U("x", "1-0-0", {"k": 1}), U("x", "1-0-1", {"k": 2}), U("y", "1-0-0", 5)], [U("x", "1-0-2", {"k": 3})]), ("e1", None, None, None, None)]
-    got = {r.event_id: r.entities for r in transform_unstructured(spark.createDataFrame(rows, EVENT), [Criterion.parse("schema:acme/y/jsonschema/2-*-*")]).collect()}
-    assert json.loads(got["e0"]["unstruct_event_acme_my_thing_1"]) == {"a": 1}
-    assert json.loads(got["e0"]["contexts_acme_x_1"]) == [{"k": 3, "_schema_version": "1-0-2"}]
-    assert json.loads(got["e0"]["contexts_acme_y_1"]) == [5]
-    assert got["e1"] == {}
+    rows = [("one", 1.0, U("lateFrost", "4-0-0", {"night": 3}), [U("tree", "2-0-0", {"age": 9}), U("tree", "2-1-0", {"age": 8}), U("bird", "1-0-0", "owl")], [U("tree", "2-0-5", {"age": 7})]), ("two", None, None, None, None)]
+    got = {r.event_id: r.entities for r in transform_unstructured(spark.createDataFrame(rows, EVENT), [Criterion.parse("schema:orchard/bird/jsonschema/3-*-*")]).collect()}
+    assert json.loads(got["one"]["unstruct_event_orchard_late_frost_4"]) == {"night": 3}
+    assert json.loads(got["one"]["contexts_orchard_tree_2"]) == [{"age": 7, "_schema_version": "2-0-5"}]
+    assert json.loads(got["one"]["contexts_orchard_bird_1"]) == ["owl"]
+    assert got["two"] == {}
 
 
 def test_schema_version_is_set_on_objects_only(spark):
