@@ -102,11 +102,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_co
     return found.orderBy("_order", "_id", "_tie").limit(bound).select("_id", "label", "terms", "_tie")
 
 
-def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.15, decay: float = 1e-3, min_rows: int = 8, balance: float = 0.5, association: float = 10.0, seed: int = 7) -> Machine:
+def fit(
+    rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, rate: float = 0.15, decay: float = 1e-3, min_rows: int = 8, balance: float = 0.5, association: float = 10.0, folds: int = 5, seed: int = 7
+) -> Machine:
     """AdaGrad on the logistic loss over bounded training rows.
 
     Buckets in fewer than ``min_rows`` rows are left out. Those whose chi-square with the label is
-    under ``association`` have factors but no weight, as they may tell in pairs. Rows of label 1 count (rows of label 0 /
+    under ``association`` get no weight. They may tell in pairs, but their factors also add noise: whether they
+    have any is settled by the loss on one row in ``folds``, which is then trained on as well. Rows of label 1 count (rows of label 0 /
     rows of label 1) ** ``balance`` times. One label only, or no rows: the bias alone.
     """
     table = rows.orderBy("_id", "_tie").toArrow()
@@ -114,6 +117,28 @@ def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, r
     chunks = table["terms"].combine_chunks()
     values, offsets = all_terms(chunks.chunk(0) if isinstance(chunks, pa.ChunkedArray) else chunks) if len(labels) else (np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
     share = (labels.sum() + 0.5) / (len(labels) + 1)
+    heavier = np.where(labels == 1, ((1 - share) / share) ** balance, 1.0)
+    how = {"factors": factors, "epochs": epochs, "batch": batch, "rate": rate, "decay": decay, "min_rows": min_rows, "association": association, "seed": seed}
+
+    def only(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.diff(offsets)
+        return values[np.repeat(chosen, sizes)], np.concatenate(([0], np.cumsum(sizes[chosen]))), labels[chosen], heavier[chosen]
+
+    all_rows = np.ones(len(labels), dtype=bool)
+    late = np.arange(len(labels)) % folds == 0
+
+    def loss(machine: Machine) -> float:
+        v, at, y, w = only(late)
+        raw = machine.raw(machine.table()[v], at)
+        return float((w * (np.logaddexp(0, raw) - y * raw)).sum())
+
+    losses = [loss(_train(*only(~late), few, **how)) for few in (True, False)] if late.any() and association > 0 else [1, 0]
+    return _train(*only(all_rows), losses[0] <= losses[1], **how)
+
+
+def _train(values: np.ndarray, offsets: np.ndarray, labels: np.ndarray, heavier: np.ndarray, few: bool, factors: int, epochs: int, batch: int, rate: float, decay: float, min_rows: int, association: float, seed: int) -> Machine:
+    """A machine for texts of terms ``values[offsets[k]:offsets[k + 1]]``; with ``few`` only terms that tell alone have factors."""
+    share = (labels.sum() + 0.5) / (len(labels) + 1)
     machine = Machine(float(np.log(share / (1 - share))), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32), np.zeros((0, factors), dtype=np.float32))
     if len(set(labels.tolist())) < 2:
         return machine
@@ -122,14 +147,14 @@ def fit(rows: DataFrame, factors: int = 8, epochs: int = 20, batch: int = 256, r
     toxic = np.bincount(places, weights=np.repeat(labels, np.diff(offsets)), minlength=len(buckets))
     expected = counts * labels.mean()
     spread = expected * (1 - labels.mean()) * (1 - counts / len(labels))
-    common = counts >= min_rows
-    alone = ((toxic - expected) ** 2 > association * np.maximum(spread, 1e-9))[common]
+    tells = (toxic - expected) ** 2 > association * np.maximum(spread, 1e-9)
+    common = (counts >= min_rows) & (tells | (not few))
+    alone = tells[common]
     position = np.where(common, np.cumsum(common) - 1, -1)[places]
     offsets = np.concatenate(([0], np.cumsum(position >= 0)))[offsets]
     position = position[position >= 0]
     rng = np.random.default_rng(seed)
     n = int(common.sum())
-    heavier = np.where(labels == 1, ((1 - share) / share) ** balance, 1.0)
     w, v, b = np.zeros(n), rng.normal(0, 0.01, (n, factors)), machine.bias
     gw, gv, gb = np.full(n, 1e-3), np.full((n, factors), 1e-3), 1e-3
     for _ in range(epochs):
