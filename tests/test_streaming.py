@@ -114,7 +114,7 @@ def test_sharded_source(spark, tmp_path, monkeypatch):
 
     for n in (25, 27):
         stream = start()
-        for _ in range(300):
+        for _ in range(900):
             if sum(map(len, got)) >= n:
                 break
             time.sleep(0.1)
@@ -211,13 +211,13 @@ def test_stateful_batches(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(src))
     q = batch_up_stream(stream, 5, 2000).writeStream.foreachBatch(lambda df, i: out.extend(df.collect())).outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="500 milliseconds").start()
     try:
-        for _ in range(300):
+        for _ in range(900):
             if len(out) >= 5:
                 break
             time.sleep(0.1)
         assert [("".join(r["items"]), r.weight) for r in out] == [("ab", 3), ("cd", 5), ("e", 5), ("f", 1), ("g", 10)]
         spark.createDataFrame([("k", 0, "h", 1)], schema).coalesce(1).write.mode("append").parquet(str(src))
-        for _ in range(300):
+        for _ in range(900):
             if len(out) >= 6:
                 break
             time.sleep(0.1)
