@@ -76,6 +76,7 @@ class CountTransducer:
         self.parts: list[tuple[int, int] | None] = [None] * (len(symbols) + 1)
         self.born = [-1] * len(self.parts)
         self.rank: dict[tuple[int, int], int] = {}
+        self.spines: tuple[dict, dict] = ({}, {})  # no more than the vocabulary has
         for k, m in enumerate(model["merges"]):
             a, b = map(spell, m if isinstance(m, list) else m.split(" ", 1))
             if a + b in self.tokens:
@@ -91,6 +92,7 @@ class CountTransducer:
             a, b = self.parts[token]
             made[token] = made[a] and made[b] and self._stays(a, b, self.born[token])
         self.tokens = {t: k for t, k in self.tokens.items() if made[k]}
+        self.spines = ({}, {})
         self.begins = {t[:k] for t in self.tokens for k in range(len(t))}
         self.bound = bound
         self.classes: dict[str, str] = {}
@@ -130,19 +132,23 @@ class CountTransducer:
 
     def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """(token, when it is made, when it is merged) along one edge of a token's merges."""
-        out, until = [], 1 << 60
-        while True:
-            out.append((token, self.born[token], until))
-            if self.parts[token] is None:
-                return out
-            until, token = self.born[token], self.parts[token][side]
+        out = self.spines[side].get(token)
+        if out is None:
+            out, at, until = [], token, 1 << 60
+            while True:
+                out.append((at, self.born[at], until))
+                if self.parts[at] is None:
+                    break
+                until, at = self.born[at], self.parts[at][side]
+            self.spines[side][token] = out
+        return out
 
     def _stays(self, a: int, b: int, before: int = 1 << 60) -> bool:
         """Whether no merge learned before ``before`` crosses from token a's text to token b's: none of their edges meet while both exist."""
-        right = self._spine(b, 0)
+        right, rank = self._spine(b, 0), self.rank
         for x, made, until in self._spine(a, 1):
             for y, y_made, y_until in right:
-                r = self.rank.get((x, y))
+                r = rank.get((x, y))
                 # of equal pairs side by side the left one merges first
                 if r is not None and r < before and made < r < until and y_made < r <= y_until:
                     return False

@@ -44,8 +44,8 @@ def _ids(ids: list[int]) -> bytes:
 class Kept(dict):
     """What ``make`` gives for a key, kept for keys of up to ``longest`` characters.
 
-    Once keys and values hold ``most`` bytes all are dropped, so that a worker's memory is bounded
-    whatever the texts hold.
+    Once keys and values hold half of ``most`` bytes they become the old generation, and the one before is
+    dropped; what is asked for again moves back. So a worker's memory is bounded whatever the texts hold.
     """
 
     #: Bytes of an entry besides its key's and its value's (a rough figure).
@@ -54,14 +54,19 @@ class Kept(dict):
     def __init__(self, make, most: int, longest: int = 100):
         super().__init__()
         self.make, self.most, self.longest, self.held = make, most, longest, 0
+        self.old: dict = {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
-            self.held += sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
-            if self.held > self.most:
+            size = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+            if 2 * (self.held + size) > self.most:
+                self.old = dict(self)
                 self.clear()
-                self.held = sys.getsizeof(key) + sys.getsizeof(value) + self.ENTRY
+                self.held = 0
+            self.held += size
             self[key] = value
         return value
 
@@ -106,7 +111,9 @@ class Encoder:
         return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _pretoken(self, word: str) -> bytes:
-        found = self.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
+        # an ASCII character is its byte
+        text = word if word.isascii() else word.encode().decode("latin-1")
+        found = self.model.tokenize(text.translate(self.symbols))
         return _ids([t.id for t in found])
 
     def _unit(self, unit: str) -> bytes:
