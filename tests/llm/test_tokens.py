@@ -51,10 +51,17 @@ def test_transducer_equals_the_library_on_words_of_few_letters():
 
 
 def test_caches_are_bounded_by_bytes():
-    kept = Kept(lambda k: bytes(50), 10_000, longest=20)
+    made = Counter()
+
+    def make(key):
+        made[key] += 1
+        return bytes(50)
+
+    kept = Kept(make, 20_000, longest=20)
     for k in range(1000):
-        assert kept[f"key{k}"] == bytes(50) and kept["x" * 21] == bytes(50)
-        assert kept.held <= 10_000 and len(kept) <= 10_000 // kept.ENTRY and "x" * 21 not in kept
+        assert kept[f"key{k}"] == bytes(50) and kept["often"] == bytes(50) and kept["x" * 21] == bytes(50)
+        assert 2 * kept.held <= 20_000 and len(kept) + len(kept.old) <= 20_000 // kept.ENTRY and "x" * 21 not in kept
+    assert made["often"] == 1 and made["key5"] == 1 and kept["key5"] and made["key5"] == 2
 
 
 @pytest.mark.parametrize("chunk", [4096, 50])
