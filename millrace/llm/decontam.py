@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_key, text_or_empty
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bits of the Bloom filter of seeds, as a power of two, and how many of them stand for a seed.
@@ -154,14 +154,14 @@ def _item_seeds(items: DataFrame, min_match: int) -> DataFrame:
 
 
 def _stretches(rows: DataFrame, bloom: np.ndarray, min_match: int) -> DataFrame:
-    """doc_id, words and ends: of each document its stretches under seeds that pass the filter, if any; ``ends`` cuts the words into these."""
+    """doc_id, the text's key t0, t1, words and ends: of each document its stretches under seeds that pass the filter, if any; ``ends`` cuts the words into these."""
     shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bloom))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(shared.value).view(bool)
         for batch in batches:
-            offsets = np.asarray(batch[1].offsets)
-            values = batch[1].values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+            offsets = np.asarray(batch[3].offsets)
+            values = batch[3].values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
             offsets = (offsets - offsets[0]).astype(np.int64)
             hashes = _seed_hashes(values, min_match)
             at = np.arange(len(hashes))
@@ -183,10 +183,10 @@ def _stretches(rows: DataFrame, bloom: np.ndarray, min_match: int) -> DataFrame:
             bounds = np.append(first, len(owner)).astype(np.int32)
             total = np.concatenate(([0], np.cumsum(size)))
             ends = total[1:] - np.repeat(total[bounds[:-1]], np.diff(bounds))
-            cols = [batch[0].take(pa.array(docs)), pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(values[index].view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends.astype(np.int32)))]
-            yield pa.record_batch(cols, names=["doc_id", "words", "ends"])
+            cols = [*(c.take(pa.array(docs)) for c in batch.columns[:3]), pa.ListArray.from_arrays(pa.array(total[bounds].astype(np.int32)), pa.array(values[index].view(np.int64))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ends.astype(np.int32)))]
+            yield pa.record_batch(cols, names=["doc_id", "t0", "t1", "words", "ends"])
 
-    return rows.mapInArrow(run, "doc_id long, words array<long>, ends array<int>")
+    return rows.mapInArrow(run, "doc_id long, t0 long, t1 long, words array<long>, ends array<int>")
 
 
 def _closed_words(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -209,9 +209,14 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage
     nothing. Whole texts are read once. Repeated rows on either side each give their pairs. Words
     and seeds are told apart by 64-bit hashes.
     """
+    return _contaminated(docs, benchmark, min_match, coverage, id_col, text_col, item_id_col, item_text_col).drop("t0", "t1")
+
+
+def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``overlaps`` with the key t0, t1 of the document's text."""
     items = materialize(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), tokens(item_text_col).alias("t")).withColumn("item", F.monotonically_increasing_id()), "benchmark")
     seeds = materialize(_item_seeds(items, min_match), "benchmark-seeds")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), tokens(text_col).alias("t"))
     found = materialize(_stretches(rows, _bloom(seeds), min_match).withColumn("doc", F.monotonically_increasing_id()), "seeded-documents")
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +246,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, item_id, w, e, t in zip(batch[0].to_pylist(), batch[1].to_pylist(), *batch.columns[2:]):
+            for doc_id, t0, t1, item_id, w, e, t in zip(*(c.to_pylist() for c in batch.columns[:4]), *batch.columns[4:]):
                 item = _numbers(t).view(np.uint64)
                 words, closed = _closed_words(_numbers(w), _numbers(e))
                 # what the pair's own seeds do not cover, no tile does
@@ -252,23 +257,26 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage
                 tiles = greedy_tiles(words, item, min_match, closed)
                 matched = sum(n for _, _, n in tiles)
                 if matched >= coverage * len(item):
-                    out.append((doc_id, item_id, len(item), matched, len(tiles), matched / len(item)))
-            kinds = [pa.int64()] * 5 + [pa.float64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 6, kinds)], names=["doc_id", "item_id", "n_tokens", "n_matched", "n_tiles", "coverage"])
+                    out.append((doc_id, t0, t1, item_id, len(item), matched, len(tiles), matched / len(item)))
+            kinds = [pa.int64()] * 7 + [pa.float64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 8, kinds)], names=["doc_id", "t0", "t1", "item_id", "n_tokens", "n_matched", "n_tiles", "coverage"])
 
     hits = materialize(found.select("doc", "words", "ends").mapInArrow(doc_seeds, "h long, doc long"), "document-seeds")
     often = hits.groupBy("h").agg(F.count("*").alias("n"))
     met = seeds.join(often, "h").groupBy("item").agg(F.collect_list(F.struct("h", "at", "n")).alias("own"))
     offered = materialize(met.join(items.select("item", F.size("t").alias("size")), "item").select("item", "size", "own").mapInArrow(rarest, "h long, item long"), "offered-seeds")
     pairs = materialize(hits.join(offered, "h").select("doc", "item").distinct(), "seeded-pairs")
-    both = pairs.join(items, "item").join(found, "doc").select("doc_id", "item_id", "words", "ends", "t")
-    return both.mapInArrow(tile, "doc_id long, item_id long, n_tokens long, n_matched long, n_tiles long, coverage double")
+    both = pairs.join(items, "item").join(found, "doc").select("doc_id", "t0", "t1", "item_id", "words", "ends", "t")
+    return both.mapInArrow(tile, "doc_id long, t0 long, t1 long, item_id long, n_tokens long, n_matched long, n_tiles long, coverage double")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns.
 
-    Rows that repeat a doc_id share its fate; rows without a doc_id stay.
+    What holds one is told by doc_id and text, so rows without a doc_id go as well.
     """
-    hits = materialize(overlaps(docs, benchmark, min_match, coverage).select(F.col("doc_id").alias("_hit")).dropna().distinct(), "contaminated")
-    return docs.join(hits, docs["doc_id"].cast("long") == hits["_hit"], "left_anti")
+    hits = materialize(_contaminated(docs, benchmark, min_match, coverage).select("doc_id", "t0", "t1").distinct(), "contaminated")
+    # positional names keep the columns that are carried along apart from ours
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    same = rows["doc_id"].eqNullSafe(hits["doc_id"]) & (rows["t0"] == hits["t0"]) & (rows["t1"] == hits["t1"])
+    return rows.join(hits, same, "left_anti").select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])

@@ -260,16 +260,17 @@ def test_decontamination(spark, docs, rows, no_docs):
         (2002, " ".join(items[0][:12] + say(30))),
         (2003, " ".join(items[2] + say(10))),
         (2004, " ".join(items[0] + items[1])),
+        (None, " ".join(say(3) + items[1])),
     ]
     extra = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)] + [(None, None)], "item_id long, text string").withColumn("t", F.lit(1))
     both = docs.unionByName(extra, allowMissingColumns=True)
-    want = {(2000, 0), (2001, 1), (2004, 0), (2004, 1)}
+    want = {(2000, 0), (2001, 1), (2004, 0), (2004, 1), (None, 1)}
     got = decontam.overlaps(both, bench).collect()
-    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == 4
+    assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == 5
     tiles = {x.doc_id: x.n_tiles for x in got if x.item_id == 1}
     assert tiles[2001] == 2 and all(x.coverage == 1.0 for x in got)
     kept = decontam.keep_clean(both, bench)
-    assert kept.columns == both.columns and kept.count() == both.count() - 3
+    assert kept.columns == both.columns and kept.count() == both.count() - 4
     assert decontam.overlaps(no_docs, bench).count() == 0
     assert decontam.overlaps(docs, bench.limit(0)).count() == 0

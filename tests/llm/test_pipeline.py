@@ -94,6 +94,18 @@ def test_packing_stage(stages):
     assert fill.count() == -(-total // 4096)
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_take_odd_rows(spark, docs, no_docs, empty, tmp_path):
+    """Nulls, empty and long texts, rows that repeat, columns of clashing names; and no rows at all."""
+    own, seen = no_docs if empty else docs, []
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, own, SF).write.parquet(str(tmp_path / name))
+        own = spark.read.parquet(str(tmp_path / name))
+        seen.append(own.count())
+        assert name == "best_fit_packing" or own.columns == list(corpus_pipeline.COLUMNS)
+    assert seen == [0] * 5 if empty else seen[0] >= seen[1] >= seen[2] >= seen[3] > 0
+
+
 def test_run_equals_the_stages(spark, stages):
     got = {(r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.run(spark, SF).collect()}
     assert got == {(r.doc_id, r.piece, r.ids_crc32) for r in stages["best_fit_packing"][1].collect()}
