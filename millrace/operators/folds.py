@@ -7,6 +7,7 @@ state, never a group, so that a group of any length needs no memory. Groups run
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -120,22 +121,28 @@ def first_window_ms(duration_ms: int, scaling: float) -> int:
     return int(duration_ms * scaling)
 
 
-def timed_windows(df: DataFrame, group: list[str], order: list[str], arrival_ms: str, duration_ms: int, first_scaling: float = 1.0, start_ms: str | None = None, boundary: str | None = None) -> DataFrame:
+def random_scaling(draw: Callable[[], float] = random.random) -> float:
+    """A first window's share of the duration, from a quarter up to a half, so that applications started together do not commit together."""
+    return 0.25 + 0.25 * draw()
+
+
+def timed_windows(df: DataFrame, group: list[str], order: list[str], arrival_ms: str, duration_ms: int, first_scaling: float | None = 1.0, start_ms: str | None = None, boundary: str | None = None) -> DataFrame:
     """Append ``window_no`` and ``window_start_ms`` of tumbling windows over arrival time.
 
     The first window opens with the stream (``start_ms``, or the first row where that is not given)
-    and lasts ``duration_ms * first_scaling``; each later one opens with its first row and lasts
+    and lasts ``duration_ms * first_scaling`` (None: ``random_scaling``, drawn once); each later one opens with its first row and lasts
     twice its predecessor, ``duration_ms`` at most. A row that arrives as a window ends is outside
     it. A change of ``boundary`` (a rebalance, the end of a shard) closes the window and starts
     the scaling anew.
     """
     columns = [arrival_ms, start_ms or arrival_ms, boundary or arrival_ms]
+    scaling = random_scaling() if first_scaling is None else first_scaling
 
     def step(state, row):
         t, start, bound = row[0], row[1], row[2] if boundary else None
         if state is None or state[4] != bound:
             number = 0 if state is None else state[0] + 1
-            length = first_window_ms(duration_ms, first_scaling)
+            length = first_window_ms(duration_ms, scaling)
             opened = start if state is None else t
             state = (number, opened, length, opened + length, bound)
         number, opened, length, end, _ = state

@@ -83,3 +83,11 @@ def test_folds_keep_groups_apart(spark):
 def test_chunks(spark):
     got = column(folds.chunk_numbers(numbered(spark, [(1,)] * 2001, "x int"), ["g"], ["k"]), "chunk_no")
     assert [got.count(c) for c in range(3)] == [1000, 1000, 1]
+
+
+def test_random_first_window(spark):
+    assert folds.random_scaling(lambda: 0.0) == 0.25 and folds.random_scaling(lambda: 0.5) == 0.375 and 0.25 <= folds.random_scaling() < 0.5
+    df = spark.createDataFrame([(1, 10 * k) for k in range(100)], "g int, t long")
+    got = [r.window_no for r in folds.timed_windows(df, ["g"], ["t"], "t", 1000, None).orderBy("t").collect()]
+    first = got.count(0)
+    assert 25 <= first <= 50 and got.count(1) >= min(2 * first - 1, 100 - first)
