@@ -97,7 +97,7 @@ class CountTransducer:
         self.bound = bound
         self.classes: dict[str, str] = {}
         self.utf8: dict[str, tuple[str, str]] = {}
-        self.pieces = Kept(self._piece, 48 << 20, longest=40)
+        self.pieces = Kept(self._piece, 128 << 20, longest=40)
         self._forget()
 
     def _forget(self, state: int | None = None) -> int | None:

@@ -78,7 +78,7 @@ class Encoder:
     them. Files of another make than the two known ones are encoded by the library text by text.
     """
 
-    def __init__(self, path: str, units: int = 64 << 20, pretokens: int = 48 << 20):
+    def __init__(self, path: str, units: int = 144 << 20, pretokens: int = 72 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
