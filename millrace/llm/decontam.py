@@ -15,7 +15,7 @@ items share makes pairs only where nothing rarer can.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,9 +120,9 @@ def covered(n: int, starts: np.ndarray, length: int) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def _bloom_places(hashes: np.ndarray) -> list[np.ndarray]:
-    """The bits that stand for hashes."""
-    return [((hashes * np.uint64(2 * k + 0x9E3779B1)) >> np.uint64(64 - _BLOOM_LOG2)).astype(np.int64) for k in range(_BLOOM_HASHES)]
+def _bloom_places(k: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which bits are the ``k``-th that stand for hashes."""
+    return lambda hashes: ((hashes * np.uint64(2 * k + 0x9E3779B1)) >> np.uint64(64 - _BLOOM_LOG2)).astype(np.int64)
 
 
 def _bloom(seeds: DataFrame) -> np.ndarray:
@@ -130,7 +130,8 @@ def _bloom(seeds: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(np.unique(np.concatenate(_bloom_places(batch[0].to_numpy(zero_copy_only=False).view(np.uint64)))))], names=["bit"])
+            hashes = batch[0].to_numpy(zero_copy_only=False).view(np.uint64)
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([_bloom_places(k)(hashes) for k in range(_BLOOM_HASHES)])))], names=["bit"])
 
     bits = seeds.select("h").mapInArrow(run, "bit long")
     # buckets begin at 1 and hold 32,768 numbers from 1 on
@@ -165,8 +166,8 @@ def _stretches(rows: DataFrame, bloom: np.ndarray, min_match: int) -> DataFrame:
             offsets = (offsets - offsets[0]).astype(np.int64)
             hashes = _seed_hashes(values, min_match)
             at = np.arange(len(hashes))
-            for k in range(_BLOOM_HASHES):
-                at = at[bits[_bloom_places(hashes[at])[k]]]
+            for places in map(_bloom_places, range(_BLOOM_HASHES)):
+                at = at[bits[places(hashes[at])]]
             text = np.searchsorted(offsets, at, side="right") - 1
             inside = at + min_match <= offsets[text + 1]
             at, text = at[inside], text[inside]
@@ -233,14 +234,14 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverag
                 places: dict[int, list[int]] = {}
                 for s in own:
                     places.setdefault(s["h"], []).append(s["at"])
-                often = sorted({(s["n"], s["h"]) for s in own}, reverse=True)
-                left, offered = np.zeros(0, dtype=np.int64), []
-                for _, h in often:
-                    more = np.append(left, places[h])
-                    if offered or covered(n, more, min_match) >= coverage * n:
-                        offered.append(h)
-                    else:
-                        left = more
+                often = [h for _, h in sorted({(s["n"], s["h"]) for s in own}, reverse=True)]
+                # the most frequent ones are left out, as many as cover too little without the others
+                low, high = 0, len(often)
+                while low < high:
+                    middle = (low + high + 1) // 2
+                    left = np.array([at for h in often[:middle] for at in places[h]], dtype=np.int64)
+                    low, high = (middle, high) if covered(n, left, min_match) < coverage * n else (low, middle - 1)
+                offered = often[low:]
                 yield pa.record_batch([pa.array(offered, pa.int64()), pa.array([item] * len(offered), pa.int64())], names=["h", "item"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
