@@ -219,3 +219,23 @@ def keep_good(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFr
     """The documents that base rules and learned rules keep, with all their columns."""
     rules = learn_rules(labelled_sample(docs, labels, bound))
     return docs.filter(judged(rules)["kept"])
+
+
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """doc_id, the STATISTICS that SQL can follow, and base_failed of every document."""
+    names = [k for k in STATISTICS if k not in ("n_upper", "n_marks")]
+    rows = docs.select("doc_id", _let(statistics(), lambda s: F.struct(*[s[k].alias(k) for k in names], base_failed(s).alias("base_failed"))).alias("_s"))
+    return rows.select("doc_id", "_s.*")
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (SELECT doc_id, k, words[k : k + 4] AS win FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS k FROM d)),
+r AS (SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, win) AS c FROM s) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + 5)) AS p FROM r) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda w: length(w))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+  len(words) < 10 OR 100 * coalesce(c.n, 0) > 20 * len(words) AS base_failed
+FROM d LEFT JOIN c ON d.doc_id = c.doc_id LEFT JOIN l ON d.doc_id = l.doc_id
+"""

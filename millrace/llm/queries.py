@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontam import overlaps
 from .packing import pack_documents
-from .quality import judge
+from .quality import ORACLE as STATISTICS_SQL
+from .quality import judge, text_statistics
 from .sharding import kd_tree_shards
 from .simhash import near_duplicates
 from .substring import ORACLE as SUBSTRING_SQL
@@ -37,6 +38,11 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rules of op4 go by, without what is learned, so that SQL can follow."""
+    return text_statistics(table(spark, sf_dir, "documents"))
+
+
 def op5_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_tree_shards(table(spark, sf_dir, "documents"), shards=8)
 
@@ -73,7 +79,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_substring_dedup,
         op10_simhash_near_dedup,
+        quality_statistics,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL, "quality_statistics": STATISTICS_SQL}

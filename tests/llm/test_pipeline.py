@@ -119,7 +119,7 @@ def test_registered():
     assert os.path.exists(f"{SF}/documents.parquet")
 
 
-@pytest.mark.parametrize("name", ["op3_warc_archive", "op9_substring_dedup"])
+@pytest.mark.parametrize("name", ["op3_warc_archive", "op9_substring_dedup", "quality_statistics"])
 def test_query_equals_its_sql(spark, name):
     import duckdb
     from millrace.llm.queries import ORACLE_SQL, QUERIES
