@@ -18,6 +18,7 @@ from functools import lru_cache
 _PLAIN_UNIT = re.compile("[ \n]?[\x21-\x7e\u00a1-\u024f]+")
 #: Blanks other than space and line feed, and the separators that only Python takes for blanks.
 _ODD_BLANK = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARKS = ",.!?:;"
 _PYTHON_BLANK = re.compile("[\x1c-\x1f]")
 
 
@@ -78,7 +79,7 @@ class Encoder:
     them. Files of another make than the two known ones are encoded by the library text by text.
     """
 
-    def __init__(self, path: str, units: int = 144 << 20, pretokens: int = 72 << 20):
+    def __init__(self, path: str, units: int = 176 << 20, pretokens: int = 40 << 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import regex
         from tokenizers import Tokenizer
@@ -101,11 +102,11 @@ class Encoder:
             self.kind = "blank"
             self.split = regex.compile(pre["pretokenizers"][0]["pattern"]["Regex"]).findall
         self.pretokens = Kept(self._pretoken, pretokens)
-        self.units = Kept(self._unit, units)
+        self.units = Kept(self._word, units)
         # what follows a space, or a line feed, which is kept at the unit's start; the first unit of a
         # text follows neither and is marked by a null character, which no plain unit has
-        mark = {"\n": lambda u: u, "\0": lambda u: u[1:]}
-        self.later = Kept(lambda unit: self._unit(mark.get(unit[0], " ".__add__)(unit)), units)
+        self.mark = {"\n": lambda u: u, "\0": lambda u: u[1:]}
+        self.later = Kept(self._later, units)
 
     def _whole(self, text: str) -> bytes:
         return _ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -116,16 +117,34 @@ class Encoder:
         found = self.model.tokenize(text.translate(self.symbols))
         return _ids([t.id for t in found])
 
+    def _later(self, unit: str) -> bytes:
+        # most units are a word, or a word and one mark: the word alone is kept
+        if unit.isascii():
+            if unit.isalpha():
+                return self._pretoken(" " + unit)
+            if unit[-1] in _MARKS and unit[:-1].isalpha():
+                return self.later[unit[:-1]] + self.pretokens[unit[-1]]
+        return self._unit(self.mark.get(unit[0], " ".__add__)(unit))
+
+    def _word(self, unit: str) -> bytes:
+        """A unit of a file that drops blanks."""
+        if unit.isascii():
+            if unit.isalpha():
+                return self._pretoken(unit.lower())
+            if unit[-1] in _MARKS and unit[:-1].isalpha():
+                return self.units[unit[:-1]] + self.pretokens[unit[-1]]
+        return self._unit(unit)
+
     def _unit(self, unit: str) -> bytes:
         if not _PLAIN_UNIT.fullmatch(unit):
             return self._whole(unit)
         if self.kind == "blank":
             unit = unit.lower()
-        # most units are a word, or a word and one mark; the pattern cuts the others
+        # the pattern cuts what is more than a word and a mark
         start = 1 if unit[0] == " " else 0
         if unit[start:].isalpha():
             return self.pretokens[unit]
-        if unit[-1] in ",.!?:;" and unit[start:-1].isalpha():
+        if unit[-1] in _MARKS and unit[start:-1].isalpha():
             return self.pretokens[unit[:-1]] + self.pretokens[unit[-1]]
         return b"".join(map(self.pretokens.__getitem__, self.split(unit)))
 
