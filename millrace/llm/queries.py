@@ -13,6 +13,7 @@ from .quality import ORACLE as STATISTICS_SQL
 from .quality import judge, text_statistics
 from .sharding import kd_tree_shards
 from .simhash import near_duplicates
+from .spfp import pack_by_histogram
 from .substring import ORACLE as SUBSTRING_SQL
 from .substring import remove_repeats
 from .tokenbin import token_archive
@@ -67,6 +68,10 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
+def op11_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_by_histogram(table(spark, sf_dir, "documents"), capacity=2048)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_benchmark_decontamination,
         op9_substring_dedup,
         op10_simhash_near_dedup,
+        op11_shortest_pack_first,
         quality_statistics,
     )
 }
