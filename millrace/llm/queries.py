@@ -19,6 +19,8 @@ from .substring import remove_repeats
 from .tokenbin import token_archive
 from .tokencount import count_tokens
 from .toxicity import score_toxicity
+from .treaps import ORACLE as SEARCH_SQL
+from .treaps import ranked_search
 from .warc import ORACLE as WARC_SQL
 from .warc import archive_pages
 
@@ -72,6 +74,10 @@ def op11_shortest_pack_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_by_histogram(table(spark, sf_dir, "documents"), capacity=2048)
 
 
+def op12_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity,
@@ -85,8 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_substring_dedup,
         op10_simhash_near_dedup,
         op11_shortest_pack_first,
+        op12_inverted_treaps,
         quality_statistics,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL, "quality_statistics": STATISTICS_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op12_inverted_treaps": SEARCH_SQL, "quality_statistics": STATISTICS_SQL}
