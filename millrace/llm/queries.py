@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .bitslices import ORACLE as NEGATIVES_SQL
+from .bitslices import hard_negatives
 from .common import table
 from .decontam import overlaps
 from .packing import pack_documents
@@ -78,6 +80,10 @@ def op12_inverted_treaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
 
 
+def op13_bit_sliced_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity,
@@ -92,8 +98,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash_near_dedup,
         op11_shortest_pack_first,
         op12_inverted_treaps,
+        op13_bit_sliced_negatives,
         quality_statistics,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op12_inverted_treaps": SEARCH_SQL, "quality_statistics": STATISTICS_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_warc_archive": WARC_SQL, "op9_substring_dedup": SUBSTRING_SQL, "op12_inverted_treaps": SEARCH_SQL, "op13_bit_sliced_negatives": NEGATIVES_SQL, "quality_statistics": STATISTICS_SQL}

@@ -15,10 +15,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import best_of_each, materialize
 
 #: ASCII letters and digits are kept, capitals made small, other ASCII characters part terms; bytes above belong to terms.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -262,12 +262,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20, item_col: str
         search = lambda batches, sent=sent: _search(batches, *sent.value, k, block_rows, block_postings)
         own = forward.mapInArrow(search, "item long, item_id long, doc_id long, score long")
         found = own if found is None else found.unionByName(own)
-    # a task's best are cut among some tasks first, so that an item's last step does not grow with their number
-    order = [F.desc("score"), F.asc_nulls_last("doc_id")]
-    found = found.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
-    some = found.withColumn("rank", F.row_number().over(Window.partitionBy("item", "part").orderBy(*order))).filter(F.col("rank") <= k)
-    last = some.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*order))).filter(F.col("rank") <= k)
-    return last.select("item_id", "rank", "doc_id", "score")
+    return best_of_each(found, ["item"], [F.desc("score"), F.asc_nulls_last("doc_id")], k).select("item_id", "rank", "doc_id", "score")
 
 
 ORACLE = r"""
