@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_of_each, materialize
+from .common import best_of_each, materialize, tidied
 
 #: Components as large as this in size would let products leave 64 bits.
 _LARGEST = 1 << 24
@@ -167,6 +167,7 @@ def _compare(rows: DataFrame, blocks: list[Anchors], dimension: int, bits: int,
     return rows.mapInArrow(compare, "anchor long, t long, score long, vec_id long")
 
 
+@tidied
 def hard_negatives(vectors: DataFrame, positives: int = 5, negatives: int = 10, least: int = 30, most: int = 90, every: int = 100, anchors_per_pass: int = 8192, tile: int = 4096, block: int = 256, **columns) -> DataFrame:
     """Per anchor (vec_id divisible by ``every``) and positive its hard negatives: anchor_id, positive_id, rank, negative_id, positive_score, negative_score.
 

@@ -6,8 +6,10 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 GAP = r"[\x20\x09-\x0D]+"
 
 _own: list[str] = []
-#: Paths written inside ``scratch`` blocks that are open.
-_written: list[list[str]] = []
+#: Paths written inside each of the ``scratch`` blocks that are open in this thread, the innermost last.
+_written: ContextVar[tuple[list[str], ...]] = ContextVar("written", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,34 +44,54 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFra
 
     Lineage ends here: a lost executor re-reads the files instead of repeating the work before.
     """
+    return _write(df, label, compression, (_written.get() or (None,))[-1])
+
+
+def _write(df: DataFrame, label: str, compression: str, listed: list[str] | None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    if _written:
-        _written[-1].append(path)
+    if listed is not None:
+        listed.append(path)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in map(jvm.org.apache.hadoop.fs.Path, paths):
+        path.getFileSystem(conf).delete(path, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialized inside are deleted at the end; what is needed later is written outside, or as a result."""
-    _written.append([])
+    """Tables that this thread materializes inside are deleted at the end; what is needed later is written as a result."""
+    paths: list[str] = []
+    token = _written.set((*_written.get(), paths))
     try:
         yield
     finally:
-        paths = _written.pop()
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in map(jvm.org.apache.hadoop.fs.Path, paths):
-            path.getFileSystem(conf).delete(path, True)
+        _written.reset(token)
+        remove(spark, paths)
 
 
-def result(df: DataFrame, label: str) -> DataFrame:
-    """``materialize`` for a table that outlives the ``scratch`` block that it is made in."""
-    held, _written[:] = _written[:], []
-    try:
-        return materialize(df, label)
-    finally:
-        _written[:] = held
+def result(df: DataFrame, label: str, paths: list[str] | None = None) -> DataFrame:
+    """``materialize`` for a table that outlives the ``scratch`` block that it is made in.
+
+    It belongs to the block around that one, if there is any, or to ``paths``, for the caller to remove.
+    """
+    around = _written.get()[:-1]
+    return _write(df, label, "zstd", paths if paths is not None else around[-1] if around else None)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose tables go when it returns, but for its result, which is written as one."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        with scratch(docs.sparkSession):
+            return result(operator(docs, *args, **kwargs), operator.__name__)
+
+    return run
 
 
 def text_or_empty(text: Column | str) -> Column:
@@ -97,9 +119,9 @@ def one_of_each(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_c
     copies = left.groupBy("doc_id", "t0", "t1").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     copies = materialize(copies, "repeated-rows")
     if not copies.isEmpty():
-        # partial results leave one row of each a task, so copies do not gather
+        # partial results leave one row of each a task, so copies do not gather; the least row, so that each evaluation has the same
         whole = F.struct(*[f"c{k}" for k in range(len(names))])
-        repeated = left.join(copies, same(left, copies), "left_semi").groupBy("doc_id", "t0", "t1").agg(F.first(whole).alias("w")).select("w.*")
+        repeated = left.join(copies, same(left, copies), "left_semi").groupBy("doc_id", "t0", "t1").agg(F.min_by(whole, F.to_json(whole)).alias("w")).select("w.*")
         left = left.join(copies, same(left, copies), "left_anti").select(*[f"c{k}" for k in range(len(names))]).unionByName(repeated)
     return left.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)])
 

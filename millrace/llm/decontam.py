@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_key, text_or_empty
+from .common import materialize, result, scratch, text_key, text_or_empty, tidied
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 #: Bits of the Bloom filter of seeds, as a power of two, and how many of them stand for a seed.
@@ -202,6 +202,7 @@ def _numbers(column: pa.ListScalar | None) -> np.ndarray:
     return column.values.to_numpy(zero_copy_only=False)
 
 
+@tidied
 def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """doc_id, item_id, n_tokens (of the item), n_matched, n_tiles and coverage of contaminated pairs.
 
@@ -274,9 +275,11 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverag
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns.
 
-    What holds one is told by doc_id and text, so rows without a doc_id go as well.
+    What holds one is told by doc_id and text, so rows without a doc_id go as well, and so do all rows that repeat a contaminated
+    one. Null and empty texts hold nothing and stay, an empty benchmark keeps every row, and an empty table gives no rows.
     """
-    hits = materialize(_contaminated(docs, benchmark, min_match, coverage).select("doc_id", "t0", "t1").distinct(), "contaminated")
+    with scratch(docs.sparkSession):
+        hits = result(_contaminated(docs, benchmark, min_match, coverage).select("doc_id", "t0", "t1").distinct(), "contaminated")
     # positional names keep the columns that are carried along apart from ours
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *text_key("text"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
     same = rows["doc_id"].eqNullSafe(hits["doc_id"]) & (rows["t0"] == hits["t0"]) & (rows["t1"] == hits["t1"])

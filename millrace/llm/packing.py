@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, tidied
 from .tokens import default_path, encoder
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -191,6 +191,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = 4096, items: int = 40_000, fu
     return out.drop("part", "fill")
 
 
+@tidied
 def pack_documents(docs: DataFrame, capacity: int = 4096, tokenizer: str | None = None, end_id: int | None = 1) -> DataFrame:
     """Encode, cut and pack documents; one row a piece, placed gapless in its sequence.
 

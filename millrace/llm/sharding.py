@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, tidied
 
 #: Bins of a histogram, as a power of two.
 _BINS_LOG2 = 12
@@ -30,6 +30,7 @@ def _number(c: Column) -> Column:
     return F.greatest(F.lit(-_MASK), F.least(F.lit(_MASK), F.coalesce(c.cast("long"), F.lit(-_MASK))))
 
 
+@tidied
 def kd_tree_shards(docs: DataFrame, shards: int = 8, numeric: tuple[str, ...] = ("doc_id", "n_chars"), textual: tuple[str, ...] = ("source", "lang"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, size, text_crc32, law ("bytes"), shard, slot and grown_shard (null).
 

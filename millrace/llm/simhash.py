@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, one_of_each, result, scratch, text_key, text_or_empty
+from .common import materialize, one_of_each, result, scratch, text_key, text_or_empty, tidied
 
 BITS = 64
 
@@ -210,6 +210,7 @@ def _rank() -> Column:
     return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")
 
 
+@tidied
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 lowercase hex digits) and component_id of every row.
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
+from .common import materialize, text_or_empty, tidied
 from .tokens import default_path, encoder
 
 #: Bits of a rank within its length in the keys of the plan.
@@ -179,6 +179,7 @@ def place(pieces: DataFrame, capacity: int) -> DataFrame:
     return ranked.mapInArrow(look_up, schema + ", sequence_id long, offset long")
 
 
+@tidied
 def pack_by_histogram(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None, end_id: int | None = 1) -> DataFrame:
     """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 

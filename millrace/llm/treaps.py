@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import best_of_each, materialize
+from .common import best_of_each, materialize, tidied
 
 #: ASCII letters and digits are kept, capitals made small, other ASCII characters part terms; bytes above belong to terms.
 _TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -230,6 +230,7 @@ def _search(batches: Iterator[pa.RecordBatch], queries: list[tuple[int, int | No
         )
 
 
+@tidied
 def ranked_search(docs: DataFrame, items: DataFrame, k: int = 20, item_col: str = "item_id", item_text: str = "text", id_col: str = "doc_id", text_col: str = "text", terms_per_pass: int = 1_000_000, block_rows: int = 32_768, block_postings: int = 2_000_000) -> DataFrame:
     """Per item its ``k`` best documents of score above 0: item_id, rank, doc_id, score.
 
