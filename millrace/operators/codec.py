@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.values import codec
 from .deadletters import too_large_message
-from .folds import ordered_fold
+from .folds import split_by_bytes
 
 FORMAT_VERSION = 1
 
@@ -136,32 +136,17 @@ def with_batches(rows: DataFrame, limits: Limits) -> DataFrame:
     """Number the batches of decompressed rows, which are read twice: persist them.
 
     Plain payloads are one batch; compressed ones are split after the record that passes the soft
-    limit, going on from message to message of a codec. What is gone through in order is a row a
-    message with its records' sizes; payloads stay where they are, but for a join on the message.
+    limit, going on from message to message of a codec. What is gone through in order are the records' sizes, a codec's in as many tasks as they
+    need; payloads stay where they are, but for a join on the record.
     """
     size = F.coalesce(F.octet_length("payload"), F.lit(0)).cast("long")
     packed = rows.filter("codec <> 'plain'")
-    sizes = packed.select("codec", "ordinal", F.struct("record", size.alias("size")).alias("s")).groupBy("codec", "ordinal").agg(F.array_sort(F.collect_list("s")).alias("sizes"))
-
-    def step(state, row):
-        total, batch = state or (0, 0)
-        first, ends, last = batch, [], batch
-        for s in row[0]:
-            last = batch
-            if total + s["size"] > limits.max_bytes_in_batch:
-                ends.append(s["record"])
-                total, batch = 0, batch + 1
-            else:
-                total += s["size"]
-        return (total, batch), (first, ends, last)
-
-    folded = ordered_fold(sizes, ["codec"], ["ordinal"], ["sizes"], step, "first long, ends array<int>, last long").drop("sizes")
-    inside = packed.join(folded.drop("last"), ["codec", "ordinal"])
-    inside = inside.withColumn("part", F.col("first") + F.size(F.filter("ends", lambda e: e < F.col("record")))).drop("first", "ends")
-    parted = rows.filter("codec = 'plain'").withColumn("part", F.lit(0).cast("long")).unionByName(inside)
+    cut = split_by_bytes(packed.select("codec", "ordinal", "record", size.alias("size")), ["codec"], ["ordinal", "record"], "size", limits.max_bytes_in_batch)
+    cut = cut.select("codec", "ordinal", "record", F.col("batch_no").alias("part"))
+    parted = rows.filter("codec = 'plain'").withColumn("part", F.lit(0).cast("long")).unionByName(packed.join(cut, ["codec", "ordinal", "record"]))
     # a row a codec
     plain = rows.filter("codec = 'plain'").limit(1).select("codec", F.lit(1).cast("long").alias("n"))
-    counts = plain.unionByName(folded.groupBy("codec").agg((F.max("last") + 1).alias("n")))
+    counts = plain.unionByName(cut.groupBy("codec").agg((F.max("part") + 1).alias("n")))
     rank = F.when(F.col("codec") == "plain", 0).when(F.col("codec") == "zstd", 1).otherwise(2)
     bases = counts.select(F.col("codec").alias("_codec"), (F.sum("n").over(Window.orderBy(rank)) - F.col("n")).alias("_base"), F.sum("n").over(Window.partitionBy()).alias("_all"))
     numbered = parted.join(F.broadcast(bases), F.col("codec") == F.col("_codec")).withColumn("batch_no", F.col("_base") + F.col("part"))

@@ -1,53 +1,17 @@
 """Operators that go through rows in order: batching, arrival-time windows, debounced commits.
 
-Each is a fold with a small state over the rows of a group in a mandatory order. Groups are dealt
-by hash and sorted by Spark; a task streams through its sorted rows in Arrow batches and keeps one
-state, never a group, so that a group of any length needs no memory. Groups run in parallel.
+Each says by what rule a run of rows ends after its first row; ``cuts`` finds the runs, a group of any length in many tasks.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
-#: step(state, row values) -> (state, output values of this row); state None opens a group.
-Step = Callable[[Any, tuple], tuple[Any, tuple]]
-
-
-def ordered_fold(df: DataFrame, group: list[str], order: list[str], inputs: list[str], step: Step, outputs: str) -> DataFrame:
-    """Append columns ``outputs`` (a DDL string) that a fold gives each row.
-
-    Rows of a group are taken in ``order``, which should have no ties; nulls come first in it and
-    a null group is a group. ``inputs`` are the columns that ``step`` sees.
-    """
-    added = T._parse_datatype_string(outputs)
-    schema = T.StructType(df.schema.fields + added.fields)
-    names = df.columns
-    arrow_added = to_arrow_schema(added)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, current = None, object()
-        for batch in batches:
-            groups = list(zip(*(batch.column(names.index(g)).to_pylist() for g in group))) if group else [()] * batch.num_rows
-            rows = zip(*(batch.column(names.index(c)).to_pylist() for c in inputs)) if inputs else iter([()] * batch.num_rows)
-            out = []
-            for own, row in zip(groups, rows):
-                if own != current:
-                    state, current = None, own
-                state, values = step(state, row)
-                out.append(values)
-            cols = [pa.array(c, f.type) for c, f in zip(zip(*out), arrow_added)] if out else [pa.array([], f.type) for f in arrow_added]
-            yield pa.record_batch([*batch.columns, *cols], names=[*names, *added.names])
-
-    dealt = df.repartition(*group) if group else df.repartition(1)
-    return dealt.sortWithinPartitions(*group, *order).mapInArrow(run, schema)
+from .cuts import Rule, cut_rows
 
 
 def group_by_limits(df: DataFrame, group: list[str], order: list[str], size: str, max_records: int, max_bytes: int) -> DataFrame:
@@ -56,15 +20,7 @@ def group_by_limits(df: DataFrame, group: list[str], order: list[str], size: str
     At exactly a limit the batch stays open until the next record. A record over the byte limit
     has a batch of its own.
     """
-
-    def step(state, row):
-        n, total, batch = state or (0, 0, -1)
-        w = row[0] or 0
-        if batch < 0 or n + 1 > max_records or total + w > max_bytes:
-            return (1, w, batch + 1), (batch + 1,)
-        return (n + 1, total + w, batch), (batch,)
-
-    return ordered_fold(df, group, order, [size], step, "batch_no long")
+    return cut_rows(df, group, order, Rule(max_bytes, "before", max_records), "batch_no", F.col(size))
 
 
 def batch_up(df: DataFrame, group: list[str], order: list[str], weight: str, max_weight: int) -> DataFrame:
@@ -72,49 +28,21 @@ def batch_up(df: DataFrame, group: list[str], order: list[str], weight: str, max
 
     An item of at least the maximum goes alone, after what was pending.
     """
-
-    def step(state, row):
-        pending, batch = state or (None, -1)
-        w = row[0] or 0
-        if w >= max_weight:
-            return (None, batch + 1), (batch + 1,)
-        if pending is None or pending + w > max_weight:
-            return (w, batch + 1), (batch + 1,)
-        return (None if pending + w == max_weight else pending + w, batch), (batch,)
-
-    return ordered_fold(df, group, order, [weight], step, "batch_no long")
+    return cut_rows(df, group, order, Rule(max_weight, "reach"), "batch_no", F.col(weight))
 
 
 def batch_up_with_timeout(df: DataFrame, group: list[str], order: list[str], weight: str, arrival_ms: str, max_weight: int, max_delay_ms: int) -> DataFrame:
     """Append ``batch_no`` of ``batch_up`` where a pending batch also closes ``max_delay_ms`` after it was opened.
 
-    A replay over arrival times in milliseconds: the timer starts when a batch becomes pending,
+    A replay over arrival times in milliseconds, in their order and then in ``order``: the timer starts when a batch becomes pending,
     not when it grows; an item that arrives as the timer ends finds the batch closed.
     """
-
-    def step(state, row):
-        pending, opened, batch = state or (None, 0, -1)
-        w, t = row[0] or 0, row[1]
-        if pending is not None and t >= opened + max_delay_ms:
-            pending = None
-        if w >= max_weight:
-            return (None, 0, batch + 1), (batch + 1,)
-        if pending is None or pending + w > max_weight:
-            return (w, t, batch + 1), (batch + 1,)
-        return ((None, 0, batch) if pending + w == max_weight else (pending + w, opened, batch)), (batch,)
-
-    return ordered_fold(df, group, order, [weight, arrival_ms], step, "batch_no long")
+    return cut_rows(df, group, order, Rule(max_weight, "reach", lengths=(max_delay_ms,)), "batch_no", F.col(weight), F.col(arrival_ms))
 
 
 def split_by_bytes(df: DataFrame, group: list[str], order: list[str], size: str, max_bytes: int) -> DataFrame:
     """Append ``batch_no``: a batch closes after the record with which it passes ``max_bytes``."""
-
-    def step(state, row):
-        total, batch = state or (0, 0)
-        w = row[0] or 0
-        return ((0, batch + 1) if total + w > max_bytes else (total + w, batch)), (batch,)
-
-    return ordered_fold(df, group, order, [size], step, "batch_no long")
+    return cut_rows(df, group, order, Rule(max_bytes, "after"), "batch_no", F.col(size))
 
 
 def first_window_ms(duration_ms: int, scaling: float) -> int:
@@ -126,6 +54,14 @@ def random_scaling(draw: Callable[[], float] = random.random) -> float:
     return 0.25 + 0.25 * draw()
 
 
+def window_lengths(duration_ms: int, first_ms: int) -> tuple[int, ...]:
+    """The lengths of a stream's windows: each twice the one before, up to the duration."""
+    out = [first_ms]
+    while out[-1] != (longer := min(2 * out[-1], duration_ms)):
+        out.append(longer)
+    return tuple(out)
+
+
 def timed_windows(df: DataFrame, group: list[str], order: list[str], arrival_ms: str, duration_ms: int, first_scaling: float | None = 1.0, start_ms: str | None = None, boundary: str | None = None) -> DataFrame:
     """Append ``window_no`` and ``window_start_ms`` of tumbling windows over arrival time.
 
@@ -133,38 +69,19 @@ def timed_windows(df: DataFrame, group: list[str], order: list[str], arrival_ms:
     and lasts ``duration_ms * first_scaling`` (None: ``random_scaling``, drawn once); each later one opens with its first row and lasts
     twice its predecessor, ``duration_ms`` at most. A row that arrives as a window ends is outside
     it. A change of ``boundary`` (a rebalance, the end of a shard) closes the window and starts
-    the scaling anew.
+    the scaling anew. Rows are taken in order of arrival and then of ``order``.
     """
-    columns = [arrival_ms, start_ms or arrival_ms, boundary or arrival_ms]
     scaling = random_scaling() if first_scaling is None else first_scaling
-
-    def step(state, row):
-        t, start, bound = row[0], row[1], row[2] if boundary else None
-        if state is None or state[4] != bound:
-            number = 0 if state is None else state[0] + 1
-            length = first_window_ms(duration_ms, scaling)
-            opened = start if state is None else t
-            state = (number, opened, length, opened + length, bound)
-        number, opened, length, end, _ = state
-        if t >= end:
-            length = min(2 * length, duration_ms)
-            number, opened, end = number + 1, t, t + length
-        return (number, opened, length, end, bound), (number, opened)
-
-    return ordered_fold(df, group, order, columns, step, "window_no long, window_start_ms long")
+    rule = Rule(lengths=window_lengths(duration_ms, first_window_ms(duration_ms, scaling)), growing=True)
+    return cut_rows(df, group, order, rule, "window_no", time=F.col(arrival_ms), start=F.col(start_ms) if start_ms else None, boundary=boundary, opened="window_start_ms")
 
 
 def debounce(df: DataFrame, group: list[str], order: list[str], arrival_ms: str, delay_ms: int) -> DataFrame:
-    """Append ``commit_no``: acknowledgements merge until ``delay_ms`` after the first pending one; 0 commits each."""
+    """Append ``commit_no``: acknowledgements merge until ``delay_ms`` after the first pending one; 0 commits each.
 
-    def step(state, row):
-        first, number = state or (None, -1)
-        t = row[0]
-        if first is None or delay_ms == 0 or t >= first + delay_ms:
-            return (t, number + 1), (number + 1,)
-        return (first, number), (number,)
-
-    return ordered_fold(df, group, order, [arrival_ms], step, "commit_no long")
+    Rows are taken in order of arrival and then of ``order``.
+    """
+    return cut_rows(df, group, order, Rule(lengths=(delay_ms,)), "commit_no", time=F.col(arrival_ms))
 
 
 def repeat_periodically(df: DataFrame, group: list[str], at_ms: str, period_ms: int, until_ms: int) -> DataFrame:
