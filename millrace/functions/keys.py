@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -12,14 +13,20 @@ from pyspark.sql import functions as F
 _KEY = r"^[a-z][a-z0-9+.-]*:([a-zA-Z0-9-_.]+)/([a-zA-Z0-9-_]+)/([a-zA-Z0-9-_]+)/([0-9]+)-([0-9]+)-([0-9]+)$"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def schema_key(uri: Column) -> Column:
     """Struct (vendor, name, format, model, revision, addition) of ``scheme:vendor/name/format/M-R-A``; null if it is no key."""
-    part = lambda k: F.regexp_extract(uri, _KEY, k)
-    found = F.struct(
-        part(1).alias("vendor"), part(2).alias("name"), part(3).alias("format"),
-        F.try_to_number(part(4), F.lit("999999999")).cast("int").alias("model"), F.try_to_number(part(5), F.lit("999999999")).cast("int").alias("revision"), F.try_to_number(part(6), F.lit("999999999")).cast("int").alias("addition"),
+    number = lambda n: F.try_to_number(n, F.lit("999999999")).cast("int")
+    made = lambda p, v: F.struct(
+        F.get(p, 1).alias("vendor"), F.get(p, 2).alias("name"), F.get(p, 3).alias("format"),
+        number(F.get(v, 0)).alias("model"), number(F.get(v, 1)).alias("revision"), number(F.get(v, 2)).alias("addition"),
     )
-    return F.when(uri.rlike(_KEY), found)
+    # no part has a colon or a slash
+    return F.when(uri.rlike(_KEY), bound(F.split(uri, "[:/]"), lambda p: bound(F.split(F.get(p, 4), "-"), lambda v: made(p, v))))
 
 
 def version(key: Column) -> Column:

@@ -14,7 +14,8 @@ def families(df: DataFrame, uri: str = "schema") -> DataFrame:
     Families and versions are few, so this is a small result whatever the batch. Values that are
     no key belong to no family.
     """
-    keyed = df.select(schema_key(F.col(uri)).alias("k")).filter("k IS NOT NULL")
+    # texts are few as well, and only theirs are taken apart
+    keyed = df.select(F.col(uri).alias("uri")).distinct().select(schema_key(F.col("uri")).alias("k")).filter("k IS NOT NULL")
     once = keyed.select("k.vendor", "k.name", "k.model", version(F.col("k")).alias("v")).distinct()
     return once.groupBy("vendor", "name", "model").agg(F.array_sort(F.collect_list("v")).alias("versions")).withColumn("latest", F.array_max("versions"))
 

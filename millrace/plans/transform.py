@@ -6,16 +6,17 @@ VARIANT and every leaf's own type is checked before it is cast, as casts alone w
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import Criterion, key_matches, schema_key, version_text, without_skipped
+from ..functions.keys import Criterion, bound, schema_key, skipped, version_text, without_skipped
 from ..functions.values import money, money_ok
 from .atomic import atomic_fields
-from .schemas import Array, Decimal, EntityColumn, Failure, Field, Resolved, Struct, spark_type
+from .schemas import Array, Decimal, Failure, Family, Field, Resolved, Struct, spark_type
 
 ERROR = "struct<source string, message string>"
 _NO_ERRORS = f"array<{ERROR}>"
@@ -49,83 +50,141 @@ def _wrong(source: Column | str, v: Column, t: object) -> Column:
     return _error(source, F.concat(F.lit("WrongType("), F.coalesce(F.to_json(v), F.lit("null")), F.lit(f",{_name(t)})")))
 
 
-def strict(v: Column, t: object, nullable: bool, source: Column | str, known: dict[str, Column] | None = None) -> tuple[Column, Column]:
-    """(value, errors) of a variant as a type, without conversions; missing and JSON null are null.
+def strict(v: Column, t: object, nullable: bool, source: Column | str) -> tuple[Column, Column]:
+    """(value, errors) of a variant as a type, without conversions; missing and JSON null are null."""
+    if isinstance(t, Struct | Array):
+        both = _checked(v, t, nullable, source)
+        return both["value"], both["errors"]
+    return _leaf(v, F.schema_of_variant(v), t, nullable, source)
 
-    ``known`` gives fields of a struct that are not taken from the variant.
+
+def _checked(v: Column, t: object, nullable: bool, source: Column | str, known: dict[str, Column] | None = None, is_object: Column | None = None) -> Column:
+    """Struct (value, errors) of a variant, each part of which is looked up once.
+
+    ``known`` gives fields of a struct that are not taken from the variant, ``is_object`` whether it is an object, where that is known.
     """
+    # arguments that later steps use are worked out before: an expression in a lambda is run wherever it is named
+    if not isinstance(t, Struct | Array):
+        both = lambda x: bound(F.schema_of_variant(x), lambda kind: _pair(*_leaf(x, kind, t, nullable, source)))
+        return bound(v, both)
+    return bound(v, lambda x: _nested(x, t, nullable, source, known, is_object))
+
+
+def _pair(value: Column, errors: Column) -> Column:
+    return F.struct(value.alias("value"), errors.alias("errors"))
+
+
+def _nested(v: Column, t: Struct | Array, nullable: bool, source: Column | str, known: dict[str, Column] | None, is_object: Column | None) -> Column:
     target = spark_type(t)
-    gone = absent(v)
-    none = errors_none() if nullable else F.array(_wrong(source, v, t))
-    kind = F.schema_of_variant(v)
     if isinstance(t, Struct):
-        parts = []
-        for f in t.fields:
-            if known and f.name in known:
-                parts.append((f, known[f.name], errors_none()))
-                continue
-            # by the property's own name, or by the column's
-            paths = [f.source or f.name, f.name] if f.source not in ("", f.name) else [f.name]
-            child = F.coalesce(*[F.try_variant_get(v, f"$['{p}']", "variant") for p in paths])
-            parts.append((f, *strict(child, f.type, f.nullable, source)))
-        value = F.struct(*[x.alias(f.name) for f, x, _ in parts])
-        inner, fits = F.concat(*[e for _, _, e in parts]), kind.startswith("OBJECT")
-    elif isinstance(t, Array):
-        items = F.try_variant_get(v, "$", "array<variant>")
-        value = F.transform(items, lambda x: strict(x, t.element, t.element_nullable, source)[0])
-        inner, fits = F.flatten(F.transform(items, lambda x: strict(x, t.element, t.element_nullable, source)[1])), kind.startswith("ARRAY")
-    elif t == "json":
-        value, inner, fits = F.to_json(v), errors_none(), F.lit(True)
+        taken = [f for f in t.fields if not (known and f.name in known)]
+        # by the property's own name, or by the column's
+        paths = [[f.source or f.name, f.name] if f.source not in ("", f.name) else [f.name] for f in taken]
+        child = [F.coalesce(*[F.try_variant_get(v, f"$['{p}']", "variant") for p in own]) for own in paths]
+        parts = F.struct(F.lit(0).alias("_"), *[_checked(c, f.type, f.nullable, source).alias(f.name) for c, f in zip(child, taken)])
+        value = lambda x: F.struct(*[(known[f.name] if known and f.name in known else x[f.name]["value"]).alias(f.name) for f in t.fields])
+        errors = lambda x: F.concat(errors_none(), *[x[f.name]["errors"] for f in taken])
+        fits = F.coalesce(is_object if is_object is not None else F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+    else:
+        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _checked(x, t.element, t.element_nullable, source))
+        value, errors = lambda x: F.transform(x, lambda y: y["value"]), lambda x: F.flatten(F.transform(x, lambda y: y["errors"]))
+        fits = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+    none = F.lit(None).cast(target)
+    wrong = F.array(_wrong(source, v, t)).cast(_NO_ERRORS)
+    good = bound(parts, lambda x: _pair(value(x), errors(x)))
+    return F.when(absent(v), _pair(none, errors_none() if nullable else wrong)).when(fits, good).otherwise(_pair(none, wrong))
+
+
+def _leaf(v: Column, kind: Column, t: object, nullable: bool, source: Column | str) -> tuple[Column, Column]:
+    target = spark_type(t)
+    if t == "json":
+        value, fits = F.to_json(v), F.lit(True)
     elif isinstance(t, Decimal):
         number = F.try_variant_get(v, "$", "double")
-        value, inner = money(number, t.precision, t.scale), errors_none()
+        value = money(number, t.precision, t.scale)
         fits = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & money_ok(number, t.precision, t.scale)
     else:
-        value, inner = F.try_variant_get(v, "$", target.simpleString()), errors_none()
-        fits = kind.rlike(f"^{_TAKES[t]}$") & value.isNotNull()
-    ok = F.coalesce(fits, F.lit(False))
-    errors = F.when(gone, none).when(ok, inner).otherwise(F.array(_wrong(source, v, t)))
-    return F.when(~gone & ok, value).otherwise(F.lit(None).cast(target)), errors.cast(_NO_ERRORS)
+        value = F.try_variant_get(v, "$", target.simpleString())
+        takes = _TAKES[t]
+        fits = (kind.rlike(f"^{takes}$") if "(" in takes else kind == takes) & value.isNotNull()
+    ok, gone = F.coalesce(fits, F.lit(False)), absent(v)
+    wrong = F.array(_wrong(source, v, t)).cast(_NO_ERRORS)
+    errors = F.when(gone, errors_none() if nullable else wrong).when(ok, errors_none()).otherwise(wrong)
+    return F.when(~gone & ok, value).otherwise(F.lit(None).cast(target)), errors
 
 
 def with_schema_version(data: Column, key: Column) -> Column:
     """An entity's JSON text with ``_schema_version`` set, over one it may have; what is no object stays."""
-    variant = F.try_parse_json(data)
-    fields = F.coalesce(F.try_variant_get(variant, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    return bound(F.try_parse_json(data), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), _versioned(v, version_text(key))).otherwise(data))
+
+
+def _versioned(v: Column, text: Column) -> Column:
+    """JSON text of an object with ``_schema_version``."""
+    fields = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     own = F.map_filter(fields, lambda k, _: k != "_schema_version")
-    text = F.to_json(F.map_concat(own, F.create_map(F.lit("_schema_version"), F.try_parse_json(F.concat(F.lit('"'), version_text(key), F.lit('"'))))))
-    return F.when(F.schema_of_variant(variant).startswith("OBJECT"), text).otherwise(data)
+    return F.to_json(F.map_concat(own, F.create_map(F.lit("_schema_version"), F.try_parse_json(F.concat(F.lit('"'), text, F.lit('"'))))))
 
 
-def _entities(df: DataFrame, skip: list[Criterion]) -> Column:
-    empty = F.array().cast("array<struct<schema:string,data:string>>")
-    both = [without_skipped(F.coalesce(F.col(c).cast("array<struct<schema:string,data:string>>"), empty), skip) for c in ("contexts", "derived_contexts") if c in df.columns]
-    return F.concat(*both) if both else empty
+_ENVELOPES = "array<struct<schema:string,data:string>>"
 
 
-def _of_family(e: Column, c: EntityColumn, versions) -> Column:
-    return key_matches(schema_key(e["schema"]), c.family.vendor, c.family.name, c.family.model, sorted(versions))
+@dataclass(frozen=True)
+class _Target:
+    """A column of the result: what it is made of, and by which versions."""
 
+    field: Field
+    family: Family
+    versions: tuple[tuple[int, int], ...]
 
-def _entity_value(c: EntityColumn, field: Field, versions) -> tuple[Column, Column]:
-    latest = max(versions) if versions else (0, 0)
-    source = f"{c.family.vendor}/{c.family.name}/{c.family.model}-{latest[0]}-{latest[1]}"
-    if c.family.kind == "unstruct_event":
-        e = F.col("unstruct_event")
-        mine = e.isNotNull() & _of_family(e, c, versions)
-        value, errors = strict(F.try_parse_json(e["data"]), field.type, False, source)
-        return F.when(mine, value), F.when(mine, errors).otherwise(errors_none())
-    mine = F.filter(F.col("_entities"), lambda e: _of_family(e, c, versions))
-    element: Array = field.type
-    kind, nullable = element.element, element.element_nullable
-    if isinstance(kind, Struct):
-        # the version is the key's, whatever the entity has under that name
-        one = lambda e: strict(F.try_parse_json(e["data"]), kind, nullable, source, {"_schema_version": version_text(schema_key(e["schema"]))})
+    @property
+    def source(self) -> str:
+        latest = max(self.versions, default=(0, 0))
+        return f"{self.family.vendor}/{self.family.name}/{self.family.model}-{latest[0]}-{latest[1]}"
+
+    def names(self) -> list[str]:
+        return [f"{self.family.vendor}/{self.family.name}/{self.family.model}-{r}-{a}" for r, a in self.versions]
+
+
+def _numbers(named: list[list[str]], name: Column) -> Column:
+    """The number of the list that holds a name, by a literal map."""
+    pairs = [x for k, names in enumerate(named) for n in names for x in (F.lit(n), F.lit(k))]
+    return F.try_element_at(F.create_map(*pairs), name) if pairs else F.lit(None).cast("int")
+
+
+def _dispatched(envelopes: Column, skip: list[Criterion], targets: list[_Target], failures: list[Failure]) -> Column:
+    """Array of (target, failure, version, data) of the envelopes that no criterion skips; a key is taken apart once."""
+    keyed = F.transform(envelopes, lambda e: F.struct(schema_key(e["schema"]).alias("key"), e["data"].alias("data")))
+    kept = F.filter(keyed, lambda e: ~skipped(e["key"], skip)) if skip else keyed
+    name = lambda k: F.concat(k["vendor"], F.lit("/"), k["name"], F.lit("/"), version_text(k))
+    named = F.transform(kept, lambda e: F.struct(name(e["key"]).alias("name"), version_text(e["key"]).alias("version"), e["data"].alias("data")))
+    failed = [_Target(None, f.family, tuple(f.versions)).names() for f in failures]
+    target, failure = ((lambda n, x=x: _numbers(x, n)) for x in ([t.names() for t in targets], failed))
+    return F.transform(named, lambda e: F.struct(target(e["name"]).alias("target"), failure(e["name"]).alias("failure"), e["version"].alias("version"), e["data"].alias("data")))
+
+
+def _parsed(dispatched: Column) -> Column:
+    """Array of (target, version, variant, is_object) of the envelopes that have a target; their JSON is parsed here and nowhere else."""
+    own = F.filter(dispatched, lambda e: e["target"].isNotNull())
+    # parsed JSON is an object if its text begins as one
+    begins = lambda d: F.coalesce(d.rlike(r"^\s*\{"), F.lit(False))
+    return F.transform(own, lambda e: F.struct(e["target"].alias("target"), e["version"].alias("version"), F.try_parse_json(e["data"]).alias("variant"), begins(e["data"]).alias("is_object")))
+
+
+def _values(parsed: Column, k: int, target: _Target) -> Column:
+    """Array of (value, errors) of the entities of a target."""
+    if target.family.kind == "unstruct_event":
+        kind, nullable, known = target.field.type, False, None
     else:
-        one = lambda e: strict(F.try_parse_json(with_schema_version(e["data"], schema_key(e["schema"]))), kind, nullable, source)
-    both = F.transform(mine, lambda e: F.struct(*[c.alias(k) for k, c in zip(("value", "errors"), one(e))]))
-    # no entity gives null, not an empty array
-    return F.when(F.size(mine) > 0, F.transform(both, lambda x: x["value"])), F.flatten(F.transform(both, lambda x: x["errors"]))
+        kind, nullable, known = target.field.type.element, target.field.type.element_nullable, "_schema_version"
+
+    def one(e: Column) -> Column:
+        if known and kind == "json":
+            text = F.when(e["is_object"] & ~absent(e["variant"]), _versioned(e["variant"], e["version"])).otherwise(F.to_json(e["variant"]))
+            return F.when(absent(e["variant"]), _checked(e["variant"], kind, nullable, target.source)).otherwise(_pair(text, errors_none()))
+        # the version is the key's, whatever the entity has under that name
+        return _checked(e["variant"], kind, nullable, target.source, {known: e["version"]} if known else None, e["is_object"])
+
+    return F.transform(F.filter(parsed, lambda e: e["target"] == k), one)
 
 
 def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
@@ -144,10 +203,6 @@ def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
     return columns, F.concat(*errors) if errors else errors_none()
 
 
-def _matcher(f: Failure):
-    return lambda e: key_matches(schema_key(e["schema"]), f.family.vendor, f.family.name, f.family.model, sorted(f.versions))
-
-
 def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] | None = None, load_tstamp: Column | None = None) -> DataFrame:
     """Wide rows: the atomic columns, a column for each resolved family and its recoveries, and ``errors``.
 
@@ -155,25 +210,44 @@ def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] |
     and ``derived_contexts`` of such; data is JSON text. A row is good if ``errors`` is empty. An
     event that holds a family or version that failed to resolve has just those failures; others
     accumulate all their errors. A version that a family does not take leaves its column null.
+
+    Keys are taken apart and JSON is parsed once an entity: each step is a column that the next one reads.
     """
-    df = df if "unstruct_event" in df.columns else df.withColumn("unstruct_event", F.lit(None).cast("struct<schema:string,data:string>"))
-    df = df.withColumn("_entities", _entities(df, skip or []))
-    columns, errors = atomic_columns(df)
-    if load_tstamp is not None:
-        columns.append(load_tstamp.cast("timestamp").alias("load_tstamp"))
-    all_errors = [errors]
+    kinds = ("unstruct_event", "contexts")
+    targets = {kind: [] for kind in kinds}
+    placed = []  # (kind, number) of each column in order
     for c in resolved.columns:
-        for field, versions in [(c.field, c.versions), *((f, [v]) for v, f in c.recoveries)]:
-            value, errors = _entity_value(c, field, versions)
-            columns.append(value.alias(field.name))
-            all_errors.append(errors)
+        for field, versions in [(c.field, sorted(c.versions)), *((f, [v]) for v, f in c.recoveries)]:
+            placed.append((c.family.kind, len(targets[c.family.kind])))
+            targets[c.family.kind].append(_Target(field, c.family, tuple(versions)))
+    failures = {kind: [f for f in resolved.failures if f.family.kind == kind] for kind in kinds}
+
+    one = F.col("unstruct_event").cast("struct<schema:string,data:string>") if "unstruct_event" in df.columns else F.lit(None).cast("struct<schema:string,data:string>")
+    single = F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast(_ENVELOPES))
+    several = [F.coalesce(F.col(c).cast(_ENVELOPES), F.array().cast(_ENVELOPES)) for c in ("contexts", "derived_contexts") if c in df.columns]
+    envelopes = {"unstruct_event": single, "contexts": F.concat(*several) if several else F.array().cast(_ENVELOPES)}
+    atomic, errors = atomic_columns(df)
+    if load_tstamp is not None:
+        atomic.append(load_tstamp.cast("timestamp").alias("load_tstamp"))
+    names = [f.name for f in atomic_fields()] + ["load_tstamp"] * (load_tstamp is not None)
+    # a criterion never hides an event of its own: its versions are not resolved
+    out = df.select(*atomic, errors.alias("_errors"), *[_dispatched(envelopes[k], (skip or []) if k == "contexts" else [], targets[k], failures[k]).alias(f"_{k}") for k in kinds])
+    out = out.withColumns({f"_{k}_parsed": _parsed(F.col(f"_{k}")) for k in kinds})
+    out = out.withColumns({f"_values_{k}_{n}": _values(F.col(f"_{k}_parsed"), n, t) for k in kinds for n, t in enumerate(targets[k])})
+    columns, all_errors = [], [F.col("_errors")]
+    for kind, n in placed:
+        own = F.col(f"_values_{kind}_{n}")
+        # no entity gives null, not an empty array
+        value = F.get(own, 0)["value"] if kind == "unstruct_event" else F.when(F.size(own) > 0, F.transform(own, lambda x: x["value"]))
+        columns.append(value.alias(targets[kind][n].field.name))
+        all_errors.append(F.flatten(F.transform(own, lambda x: x["errors"])))
     failed = []
-    for f in resolved.failures:
-        match = _matcher(f)
-        held = F.coalesce(match(F.col("unstruct_event")), F.lit(False)) if f.family.kind == "unstruct_event" else F.exists(F.col("_entities"), match)
-        failed.append(F.when(held, F.array(_error(f.family.column, F.lit(f.message))).cast(_NO_ERRORS)).otherwise(errors_none()))
+    for kind in kinds:
+        for n, f in enumerate(failures[kind]):
+            held = F.exists(f"_{kind}", lambda e: F.coalesce(e["failure"] == n, F.lit(False)))
+            failed.append(F.when(held, F.array(_error(f.family.column, F.lit(f.message))).cast(_NO_ERRORS)).otherwise(errors_none()))
     missing = F.concat(*failed) if failed else errors_none()
-    return df.select(*columns, F.when(F.size(missing) > 0, missing).otherwise(F.concat(*all_errors)).alias("errors"))
+    return out.select(*names, *columns, F.when(F.size(missing) > 0, missing).otherwise(F.concat(*all_errors)).alias("errors"))
 
 
 def transform_unstructured(df: DataFrame, skip: list[Criterion] | None = None) -> DataFrame:
