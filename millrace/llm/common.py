@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from functools import wraps
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,10 +53,32 @@ def _write(df: DataFrame, label: str, compression: str, listed: list[str] | None
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if listed is not None:
         listed.append(path)
-    df.write.option("compression", compression).parquet(path)
+    with _shuffles_removed(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_removing: dict = {"lock": Lock(), "open": 0, "before": None}
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of a write go when it ends; else they stay until the driver's heap happens to be collected."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    with _removing["lock"]:  # writes of several threads share the session's setting
+        if not _removing["open"]:
+            _removing["before"] = spark.conf.get(name, "false")
+            spark.conf.set(name, "true")
+        _removing["open"] += 1
+    try:
+        yield
+    finally:
+        with _removing["lock"]:
+            _removing["open"] -= 1
+            if not _removing["open"]:
+                spark.conf.set(name, _removing["before"])
+
+
 def remove(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in map(jvm.org.apache.hadoop.fs.Path, paths):

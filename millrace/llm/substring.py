@@ -300,29 +300,25 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
     carried = [F.col(c).alias(f"c{k}") for k, c in enumerate(c for c in docs.columns if c != text_col)] if keep_text else [F.col(id_col).alias("c0")]
     rest = F.struct(*carried, F.col(text_col).isNull().alias("none")).alias("rest")
     rows = docs.select(doc, text_or_empty(text_col).alias("text"), rest).withColumn("sub", F.xxhash64("text"))
-    copied = _much_copied(rows)
-    judged = rows
-    if copied is not None:
-        # partial results leave one row of each a task, so copies do not gather
-        once = rows.join(F.broadcast(copied), ["doc", "sub"], "left_semi").groupBy("doc", "sub").agg(F.first("text").alias("text"), F.first("rest").alias("rest"))
-        judged = rows.join(F.broadcast(copied), ["doc", "sub"], "left_anti").select("doc", "sub", "text", "rest").unionByName(once)
-    # dealt once for the last two steps, which read the same shuffle files as they ask for the same columns
-    dealt = judged.repartition(parts, "doc", "sub")
+    # rows that repeat are judged once; partial results leave one row of each a task, so copies do not gather. dealt
+    # once for the last two steps, which read the same shuffle files
+    dealt = rows.groupBy("doc", "sub").agg(F.first("text").alias("text"))
     hashed = F.transform(words("text"), lambda w: F.xxhash64(w))
 
     repeated = None
     for level in levels[:-1]:
         if repeated is None:
-            source = judged.select("doc", "sub", hashed.alias("w"))
+            # runs only say where to look, so copies may report them again
+            source = rows.select("doc", "sub", hashed.alias("w"))
         else:
-            source = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
+            source = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at")
         runs = source.mapInArrow(_emit_runs(level, window, repeated is not None), "key long, doc long, sub long, at int, state byte")
         counted = materialize(runs.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_repeated(crowd), "doc long, sub long, at int, place int"), "repeated-runs")
         repeated = counted.filter("place IS NULL").select("doc", "sub", "at")
     crowded = np.zeros(1 << _PLACES_LOG2, dtype=bool)
     for r in counted.filter("place IS NOT NULL").select("place").distinct().collect():  # at most 2**20
         crowded[r.place] = True
-    windows = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at", "rest")
+    windows = _with_lists(dealt, repeated, "at", "inner").select("doc", "sub", hashed.alias("w"), "at")
     windows = windows.mapInArrow(_emit_windows(levels[-2], window, crowded), "key long, doc long, sub long, start int, mask long, known long, hashes array<long>")
     later = windows.repartition(parts, "key").sortWithinPartitions("key", "doc", "sub", "start").mapInArrow(_later, "doc long, sub long, start int, mask long")
     marked = later.select("doc", "sub", F.struct("start", "mask").alias("place"))
@@ -330,7 +326,7 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n_words, removed, out = [], [], []
-            for text, places in zip(batch[3].cast(pa.binary()).to_pylist(), batch[4].to_pylist()):
+            for text, places in zip(batch[2].cast(pa.binary()).to_pylist(), batch[3].to_pylist()):
                 own = text.split()
                 kept = own
                 if places:
@@ -351,31 +347,18 @@ def _cut_repeats(docs: DataFrame, id_col: str, text_col: str, window: int, seed:
                     out.append((text if len(kept) == len(own) else b" ".join(kept)).decode())
                 else:
                     out.append(hashlib.sha256(b" ".join(kept)).hexdigest())
-            cols = [*batch.columns[:3], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
-            yield pa.record_batch(cols, names=["doc", "sub", "rest", "n_words", "n_removed", result])
+            cols = [*batch.columns[:2], pa.array(n_words, pa.int64()), pa.array(removed, pa.int64()), pa.array(out, pa.string())]
+            yield pa.record_batch(cols, names=["doc", "sub", "n_words", "n_removed", result])
 
     result = "kept_text" if keep_text else "kept_sha256"
-    schema = f"doc long, sub long, rest {rows.schema['rest'].dataType.simpleString()}, n_words long, n_removed long, {result} string"
-    found = _with_lists(dealt, marked, "place", "left").select("doc", "sub", "rest", "text", "place").mapInArrow(cut, schema)
-    if copied is not None:
-        found = materialize(found, "cut-texts")
-        few = found.join(F.broadcast(copied), ["doc", "sub"], "left_anti")
-        # an ordinary join, which can split the copies of one document
-        many = rows.join(F.broadcast(copied), ["doc", "sub"], "left_semi").select("doc", "sub", "rest")
-        many = many.join(found.join(F.broadcast(copied), ["doc", "sub"], "left_semi").drop("rest"), ["doc", "sub"])
-        found = few.unionByName(many)
+    cuts = _with_lists(dealt, marked, "place", "left").select("doc", "sub", "text", "place").mapInArrow(cut, f"doc long, sub long, n_words long, n_removed long, {result} string")
+    # an ordinary join, which can split the copies of one document
+    found = rows.select("doc", "sub", "rest").join(cuts, ["doc", "sub"])
     if keep_text:
         return found.select("rest", F.when(~F.col("rest.none"), F.col(result)).alias(result))
     return found.select(F.col("rest.c0").alias("doc_id"), "n_words", "n_removed", result)
 
 
-def _much_copied(rows: DataFrame, least: int = 1000, most: int = 10_000) -> DataFrame | None:
-    """The pairs (doc, sub) that over ``least`` rows and over one in ``most`` of all have: fewer than ``most`` pairs."""
-    bound = max(least, rows.count() // most)
-    found = rows.groupBy("doc", "sub").agg(F.count("*").alias("n")).filter(F.col("n") > bound).select("doc", "sub").collect()
-    return rows.sparkSession.createDataFrame(found, "doc long, sub long") if found else None
-
-
 def _with_lists(dealt: DataFrame, places: DataFrame, column: str, how: str) -> DataFrame:
     """Join each text with the list of its places; a text's list is at most as long as the text."""
     lists = places.groupBy("doc", "sub").agg(F.collect_set(column).alias(column))
