@@ -8,25 +8,29 @@ from pyspark.sql import functions as F
 from ..functions.keys import Criterion, schema_key, skipped, version
 
 
-def families(df: DataFrame, uri: str = "schema") -> DataFrame:
-    """The schema families of a batch: vendor, name, model, versions (sorted) and their latest.
+def families(df: DataFrame, uri: str = "schema", by: list[str] | None = None) -> DataFrame:
+    """The schema families of a batch: vendor, name, model, versions (sorted) and their latest, apart for each value of ``by``.
 
     Families and versions are few, so this is a small result whatever the batch. Values that are
     no key belong to no family.
     """
+    by = by or []
     # texts are few as well, and only theirs are taken apart
-    keyed = df.select(F.col(uri).alias("uri")).distinct().select(schema_key(F.col("uri")).alias("k")).filter("k IS NOT NULL")
-    once = keyed.select("k.vendor", "k.name", "k.model", version(F.col("k")).alias("v")).distinct()
-    return once.groupBy("vendor", "name", "model").agg(F.array_sort(F.collect_list("v")).alias("versions")).withColumn("latest", F.array_max("versions"))
+    keyed = df.select(*by, F.col(uri).alias("uri")).distinct().select(*by, schema_key(F.col("uri")).alias("k")).filter("k IS NOT NULL")
+    once = keyed.select(*by, "k.vendor", "k.name", "k.model", version(F.col("k")).alias("v")).distinct()
+    return once.groupBy(*by, "vendor", "name", "model").agg(F.array_sort(F.collect_list("v")).alias("versions")).withColumn("latest", F.array_max("versions"))
 
 
 def entity_uris(df: DataFrame, columns: list[str]) -> DataFrame:
-    """All schema URIs of events: of single envelopes and of arrays of envelopes, as column ``schema``."""
-    parts = []
-    for c in columns:
-        kind = df.schema[c].dataType.typeName()
-        parts.append(F.col(c)["schema"] if kind == "array" else F.array(F.col(c)["schema"]))
-    return df.select(F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<string>")) for p in parts])).alias("schema")).filter("schema IS NOT NULL")
+    """All schema URIs of events as column ``schema``, and in ``kind`` whether they are of single envelopes (unstruct_event) or of arrays of them (contexts)."""
+
+    def marked(c: str) -> Column:
+        several = df.schema[c].dataType.typeName() == "array"
+        uris = F.col(c)["schema"] if several else F.array(F.col(c)["schema"])
+        kind = F.lit("contexts" if several else "unstruct_event").alias("kind")
+        return F.transform(F.coalesce(uris, F.array().cast("array<string>")), lambda u: F.struct(kind, u.alias("schema")))
+
+    return df.select(F.inline(F.concat(*map(marked, columns)))).filter("schema IS NOT NULL")
 
 
 def skip_entities(df: DataFrame, criteria: list[Criterion], uri: str = "schema") -> DataFrame:

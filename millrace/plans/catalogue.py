@@ -223,11 +223,9 @@ def transform_batch(spark: SparkSession, d: str) -> DataFrame:
     skip = [Criterion.parse("schema:com.acme/view/jsonschema/1-0-2")]
     context = F.when(F.col("event_type") == "click", F.array(F.struct(F.lit("schema:com.acme/click/jsonschema/1-0-0").alias("schema"), F.when(F.col("user_id") % 5 == 0, F.lit('{"k":"x"}')).otherwise(F.col("data")).alias("data"))))
     df = _envelopes(spark, d).select(F.col("event_id").cast("string").alias("event_id"), F.col("value").alias("tr_total"), F.struct("schema", "data").alias("unstruct_event"), context.alias("contexts"))
-    held = {}
-    for kind, column in (("unstruct_event", "unstruct_event"), ("contexts", "contexts")):
-        # as many rows as a batch has families
-        for f in entities.families(entities.entity_uris(df, [column])).collect():
-            held[Family(kind, f.vendor, f.name, f.model)] = [(v.revision, v.addition) for v in f.versions]
+    # as many rows as a batch has families
+    found = entities.families(entities.entity_uris(df, ["unstruct_event", "contexts"]), by=["kind"]).collect()
+    held = {Family(f.kind, f.vendor, f.name, f.model): [(v.revision, v.addition) for v in f.versions] for f in found}
     out = transform_events(df, resolve(held, registry, skip), skip)
     recovered = [c for c in out.columns if "_recovered_1_0_1_" in c and c.startswith("unstruct_event")]
     own = lambda c: F.col(c)["k"] if c in out.columns else F.lit(None)

@@ -23,7 +23,7 @@ _NO_ERRORS = f"array<{ERROR}>"
 
 
 def errors_none() -> Column:
-    return F.array().cast(_NO_ERRORS)
+    return F.expr(f"CAST(array() AS {_NO_ERRORS})")
 
 
 def _error(source: Column | str, message: Column) -> Column:
@@ -192,7 +192,8 @@ def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
     columns, errors = [], []
     for f in atomic_fields():
         if f.name not in df.columns:
-            columns.append(F.lit(None).cast(f.dataType).alias(f.name))
+            # as one text: many columns are absent, and every call costs the driver time
+            columns.append(F.expr(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`"))
         elif isinstance(f.dataType, T.DecimalType):
             x = F.col(f.name).cast("double")
             columns.append(money(x).alias(f.name))
