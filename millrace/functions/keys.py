@@ -20,13 +20,12 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def schema_key(uri: Column) -> Column:
     """Struct (vendor, name, format, model, revision, addition) of ``scheme:vendor/name/format/M-R-A``; null if it is no key."""
-    number = lambda n: F.try_to_number(n, F.lit("999999999")).cast("int")
     made = lambda p, v: F.struct(
-        F.get(p, 1).alias("vendor"), F.get(p, 2).alias("name"), F.get(p, 3).alias("format"),
-        number(F.get(v, 0)).alias("model"), number(F.get(v, 1)).alias("revision"), number(F.get(v, 2)).alias("addition"),
+        F.substring_index(F.get(p, 0), ":", -1).alias("vendor"), F.get(p, 1).alias("name"), F.get(p, 2).alias("format"),
+        *[F.get(v, k).try_cast("int").alias(x) for k, x in enumerate(("model", "revision", "addition"))],
     )
-    # no part has a colon or a slash
-    return F.when(uri.rlike(_KEY), bound(F.split(uri, "[:/]"), lambda p: bound(F.split(F.get(p, 4), "-"), lambda v: made(p, v))))
+    # no part has a slash, and only the scheme ends in a colon
+    return F.when(uri.rlike(_KEY), bound(F.split(uri, "/"), lambda p: bound(F.split(F.get(p, 3), "-"), lambda v: made(p, v))))
 
 
 def version(key: Column) -> Column:

@@ -13,7 +13,8 @@ from ..operators import codec as codecs
 from ..operators import deadletters, entities, folds, metrics
 from .atomic import atomic_fields
 from .schemas import Family, Registry, resolve
-from .transform import strict, transform_events, with_schema_version
+from .strict import strict
+from .transform import transform_events, with_schema_version
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,7 +52,7 @@ SELECT name, addition, good, count(*) AS n, round(sum(value), 2) AS total FROM o
 """)
 def load_events(spark: SparkSession, d: str) -> DataFrame:
     df = _envelopes(spark, d).withColumn("k", schema_key(F.col("schema")))
-    _, errors = strict(F.try_variant_get(F.try_parse_json("data"), "$.k", "variant"), "long", False, "k")
+    _, errors = strict("try_variant_get(try_parse_json(data), '$.k', 'variant')", "long", False, "k")
     bad_money = F.when(money_ok(F.col("value")), F.lit(0)).otherwise(F.lit(1))
     good = (F.size(errors) + bad_money) == 0
     return df.groupBy(F.col("k.name").alias("name"), F.col("k.addition").alias("addition"), good.alias("good")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
@@ -173,7 +174,7 @@ WITH x AS (SELECT event_id, json_type(props, '$.k') AS kind, json_extract_string
 SELECT event_id, CASE WHEN kind IN ('BIGINT','UBIGINT') THEN v::BIGINT END AS as_long, coalesce(kind NOT IN ('BIGINT','UBIGINT'), true) AS long_fails, coalesce(kind <> 'VARCHAR', true) AS string_fails FROM x
 """)
 def json_leaf_type(spark: SparkSession, d: str) -> DataFrame:
-    v = F.try_variant_get(F.try_parse_json("props"), "$.k", "variant")
+    v = "try_variant_get(try_parse_json(props), '$.k', 'variant')"
     as_long, long_errors = strict(v, "long", False, "k")
     _, string_errors = strict(v, "string", False, "k")
     return _table(spark, d, "events").select("event_id", as_long.alias("as_long"), (F.size(long_errors) > 0).alias("long_fails"), (F.size(string_errors) > 0).alias("string_fails"))

@@ -16,115 +16,27 @@ from pyspark.sql import types as T
 from ..functions.keys import Criterion, bound, schema_key, skipped, version_text, without_skipped
 from ..functions.values import money, money_ok
 from .atomic import atomic_fields
-from .schemas import Array, Decimal, Failure, Family, Field, Resolved, Struct, spark_type
-
-ERROR = "struct<source string, message string>"
-_NO_ERRORS = f"array<{ERROR}>"
-
-
-def errors_none() -> Column:
-    return F.expr(f"CAST(array() AS {_NO_ERRORS})")
-
-
-def _error(source: Column | str, message: Column) -> Column:
-    return F.struct((F.lit(source) if isinstance(source, str) else source).alias("source"), message.alias("message"))
-
-
-#: Types of a variant that a leaf takes, as ``schema_of_variant`` names them. A fraction such as 1.0 is no integer.
-_TAKES = {"string": "STRING", "boolean": "BOOLEAN", "int": "BIGINT", "long": "BIGINT", "double": "(BIGINT|DOUBLE|FLOAT|DECIMAL.*)", "timestamp": "STRING", "date": "STRING"}
-
-
-def _name(t: object) -> str:
-    if isinstance(t, Struct):
-        return "Struct"
-    if isinstance(t, Array):
-        return "Array"
-    return f"Decimal({t.precision},{t.scale})" if isinstance(t, Decimal) else t.capitalize()
-
-
-def absent(v: Column) -> Column:
-    return v.isNull() | F.is_variant_null(v)
-
-
-def _wrong(source: Column | str, v: Column, t: object) -> Column:
-    return _error(source, F.concat(F.lit("WrongType("), F.coalesce(F.to_json(v), F.lit("null")), F.lit(f",{_name(t)})")))
-
-
-def strict(v: Column, t: object, nullable: bool, source: Column | str) -> tuple[Column, Column]:
-    """(value, errors) of a variant as a type, without conversions; missing and JSON null are null."""
-    if isinstance(t, Struct | Array):
-        both = _checked(v, t, nullable, source)
-        return both["value"], both["errors"]
-    return _leaf(v, F.schema_of_variant(v), t, nullable, source)
-
-
-def _checked(v: Column, t: object, nullable: bool, source: Column | str, known: dict[str, Column] | None = None, is_object: Column | None = None) -> Column:
-    """Struct (value, errors) of a variant, each part of which is looked up once.
-
-    ``known`` gives fields of a struct that are not taken from the variant, ``is_object`` whether it is an object, where that is known.
-    """
-    # arguments that later steps use are worked out before: an expression in a lambda is run wherever it is named
-    if not isinstance(t, Struct | Array):
-        both = lambda x: bound(F.schema_of_variant(x), lambda kind: _pair(*_leaf(x, kind, t, nullable, source)))
-        return bound(v, both)
-    return bound(v, lambda x: _nested(x, t, nullable, source, known, is_object))
-
-
-def _pair(value: Column, errors: Column) -> Column:
-    return F.struct(value.alias("value"), errors.alias("errors"))
-
-
-def _nested(v: Column, t: Struct | Array, nullable: bool, source: Column | str, known: dict[str, Column] | None, is_object: Column | None) -> Column:
-    target = spark_type(t)
-    if isinstance(t, Struct):
-        taken = [f for f in t.fields if not (known and f.name in known)]
-        # by the property's own name, or by the column's
-        paths = [[f.source or f.name, f.name] if f.source not in ("", f.name) else [f.name] for f in taken]
-        child = [F.coalesce(*[F.try_variant_get(v, f"$['{p}']", "variant") for p in own]) for own in paths]
-        parts = F.struct(F.lit(0).alias("_"), *[_checked(c, f.type, f.nullable, source).alias(f.name) for c, f in zip(child, taken)])
-        value = lambda x: F.struct(*[(known[f.name] if known and f.name in known else x[f.name]["value"]).alias(f.name) for f in t.fields])
-        errors = lambda x: F.concat(errors_none(), *[x[f.name]["errors"] for f in taken])
-        fits = F.coalesce(is_object if is_object is not None else F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
-    else:
-        parts = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _checked(x, t.element, t.element_nullable, source))
-        value, errors = lambda x: F.transform(x, lambda y: y["value"]), lambda x: F.flatten(F.transform(x, lambda y: y["errors"]))
-        fits = F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
-    none = F.lit(None).cast(target)
-    wrong = F.array(_wrong(source, v, t)).cast(_NO_ERRORS)
-    good = bound(parts, lambda x: _pair(value(x), errors(x)))
-    return F.when(absent(v), _pair(none, errors_none() if nullable else wrong)).when(fits, good).otherwise(_pair(none, wrong))
-
-
-def _leaf(v: Column, kind: Column, t: object, nullable: bool, source: Column | str) -> tuple[Column, Column]:
-    target = spark_type(t)
-    if t == "json":
-        value, fits = F.to_json(v), F.lit(True)
-    elif isinstance(t, Decimal):
-        number = F.try_variant_get(v, "$", "double")
-        value = money(number, t.precision, t.scale)
-        fits = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$") & money_ok(number, t.precision, t.scale)
-    else:
-        value = F.try_variant_get(v, "$", target.simpleString())
-        takes = _TAKES[t]
-        fits = (kind.rlike(f"^{takes}$") if "(" in takes else kind == takes) & value.isNotNull()
-    ok, gone = F.coalesce(fits, F.lit(False)), absent(v)
-    wrong = F.array(_wrong(source, v, t)).cast(_NO_ERRORS)
-    errors = F.when(gone, errors_none() if nullable else wrong).when(ok, errors_none()).otherwise(wrong)
-    return F.when(~gone & ok, value).otherwise(F.lit(None).cast(target)), errors
-
+from .schemas import Failure, Family, Field, Resolved
+from .strict import NO_ERRORS, absent, checked, each, errors_of, pair, quoted
 
 def with_schema_version(data: Column, key: Column) -> Column:
     """An entity's JSON text with ``_schema_version`` set, over one it may have; what is no object stays."""
-    return bound(F.try_parse_json(data), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), _versioned(v, version_text(key))).otherwise(data))
+    pieces = F.struct(F.try_parse_json(data).alias("variant"), version_text(key).alias("version"), data.alias("data"))
+    return bound(pieces, lambda e: F.when(F.schema_of_variant(e["variant"]).startswith("OBJECT"), _versioned(e["variant"], e["version"])).otherwise(e["data"]))
 
 
 def _versioned(v: Column, text: Column) -> Column:
-    """JSON text of an object with ``_schema_version``."""
     fields = F.coalesce(F.try_variant_get(v, "$", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
     own = F.map_filter(fields, lambda k, _: k != "_schema_version")
     return F.to_json(F.map_concat(own, F.create_map(F.lit("_schema_version"), F.try_parse_json(F.concat(F.lit('"'), text, F.lit('"'))))))
 
 
+def _versioned_text(v: str, version: str) -> str:
+    """The same as SQL."""
+    fields = f"coalesce(try_variant_get({v}, '$', 'map<string,variant>'), CAST(map() AS map<string,variant>))"
+    return f"to_json(map_concat(map_filter({fields}, (_k, _v) -> _k <> '_schema_version'), map('_schema_version', try_parse_json(concat('\"', {version}, '\"')))))"
+
+
 _ENVELOPES = "array<struct<schema:string,data:string>>"
 
 
@@ -170,21 +82,21 @@ def _parsed(dispatched: Column) -> Column:
     return F.transform(own, lambda e: F.struct(e["target"].alias("target"), e["version"].alias("version"), F.try_parse_json(e["data"]).alias("variant"), begins(e["data"]).alias("is_object")))
 
 
-def _values(parsed: Column, k: int, target: _Target) -> Column:
-    """Array of (value, errors) of the entities of a target."""
+def _values(parsed: str, k: int, target: _Target) -> Column:
+    """Array of (value, errors) of the entities of a target in a column of parsed ones."""
     if target.family.kind == "unstruct_event":
-        kind, nullable, known = target.field.type, False, None
+        kind, nullable, known = target.field.type, False, False
     else:
-        kind, nullable, known = target.field.type.element, target.field.type.element_nullable, "_schema_version"
+        kind, nullable, known = target.field.type.element, target.field.type.element_nullable, True
 
-    def one(e: Column) -> Column:
+    def one(e: str) -> str:
         if known and kind == "json":
-            text = F.when(e["is_object"] & ~absent(e["variant"]), _versioned(e["variant"], e["version"])).otherwise(F.to_json(e["variant"]))
-            return F.when(absent(e["variant"]), _checked(e["variant"], kind, nullable, target.source)).otherwise(_pair(text, errors_none()))
+            text = f"CASE WHEN {e}.is_object THEN {_versioned_text(f'{e}.variant', f'{e}.version')} ELSE to_json({e}.variant) END"
+            return f"CASE WHEN {absent(f'{e}.variant')} THEN {checked(f'{e}.variant', kind, nullable, target.source)} ELSE {pair(text, NO_ERRORS)} END"
         # the version is the key's, whatever the entity has under that name
-        return _checked(e["variant"], kind, nullable, target.source, {known: e["version"]} if known else None, e["is_object"])
+        return checked(f"{e}.variant", kind, nullable, target.source, {"_schema_version": f"{e}.version"} if known else None, f"{e}.is_object")
 
-    return F.transform(F.filter(parsed, lambda e: e["target"] == k), one)
+    return F.expr(each(f"filter({parsed}, _e -> _e.target = {k})", one))
 
 
 def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
@@ -197,11 +109,11 @@ def atomic_columns(df: DataFrame) -> tuple[list[Column], Column]:
         elif isinstance(f.dataType, T.DecimalType):
             x = F.col(f.name).cast("double")
             columns.append(money(x).alias(f.name))
-            message = F.concat(F.lit("WrongType("), x.cast("string"), F.lit(",Decimal(18,2))"))
-            errors.append(F.when(money_ok(x), errors_none()).otherwise(F.array(_error(f.name, message)).cast(_NO_ERRORS)))
+            wrong = F.expr(errors_of(quoted(f.name), f"concat('WrongType(', CAST(CAST(`{f.name}` AS double) AS string), ',Decimal(18,2))')"))
+            errors.append(F.when(money_ok(x), F.expr(NO_ERRORS)).otherwise(wrong))
         else:
             columns.append(F.col(f.name).cast(f.dataType).alias(f.name))
-    return columns, F.concat(*errors) if errors else errors_none()
+    return columns, F.concat(*errors) if errors else F.expr(NO_ERRORS)
 
 
 def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] | None = None, load_tstamp: Column | None = None) -> DataFrame:
@@ -234,7 +146,7 @@ def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] |
     # a criterion never hides an event of its own: its versions are not resolved
     out = df.select(*atomic, errors.alias("_errors"), *[_dispatched(envelopes[k], (skip or []) if k == "contexts" else [], targets[k], failures[k]).alias(f"_{k}") for k in kinds])
     out = out.withColumns({f"_{k}_parsed": _parsed(F.col(f"_{k}")) for k in kinds})
-    out = out.withColumns({f"_values_{k}_{n}": _values(F.col(f"_{k}_parsed"), n, t) for k in kinds for n, t in enumerate(targets[k])})
+    out = out.withColumns({f"_values_{k}_{n}": _values(f"_{k}_parsed", n, t) for k in kinds for n, t in enumerate(targets[k])})
     columns, all_errors = [], [F.col("_errors")]
     for kind, n in placed:
         own = F.col(f"_values_{kind}_{n}")
@@ -246,8 +158,8 @@ def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] |
     for kind in kinds:
         for n, f in enumerate(failures[kind]):
             held = F.exists(f"_{kind}", lambda e: F.coalesce(e["failure"] == n, F.lit(False)))
-            failed.append(F.when(held, F.array(_error(f.family.column, F.lit(f.message))).cast(_NO_ERRORS)).otherwise(errors_none()))
-    missing = F.concat(*failed) if failed else errors_none()
+            failed.append(F.when(held, F.expr(errors_of(quoted(f.family.column), quoted(f.message)))).otherwise(F.expr(NO_ERRORS)))
+    missing = F.concat(*failed) if failed else F.expr(NO_ERRORS)
     return out.select(*names, *columns, F.when(F.size(missing) > 0, missing).otherwise(F.concat(*all_errors)).alias("errors"))
 
 

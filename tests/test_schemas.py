@@ -5,7 +5,8 @@ import pytest
 from millrace.functions.keys import Criterion
 from millrace.plans import schemas as S
 from millrace.plans.atomic import atomic_fields, money_fields
-from millrace.plans.transform import strict, transform_events, transform_unstructured, with_schema_version
+from millrace.plans.strict import strict
+from millrace.plans.transform import transform_events, transform_unstructured, with_schema_version
 from pyspark.sql import functions as F
 
 OBJ = lambda required=(), **p: {"type": "object", "properties": {k: {"type": t} if isinstance(t, str) else t for k, t in p.items()}, "required": list(required)}
@@ -112,8 +113,8 @@ GOOD = {"sort": "Boskoop", "trees": 310, "drops": 9876543210987, "price": 41.125
 
 
 def cast(spark, data, t):
-    v, e = strict(F.try_parse_json(F.lit(data)), t, False, "s")
-    r = spark.range(1).select(v.alias("v"), e.alias("e")).first()
+    v, e = strict("try_parse_json(data)", t, False, "s")
+    r = spark.createDataFrame([(data,)], "data string").select(v.alias("v"), e.alias("e")).first()
     return r.v, [x.message for x in r.e]
 
 
@@ -175,3 +176,15 @@ def test_schema_version_is_set_on_objects_only(spark):
     df = spark.createDataFrame([(k,) for k in cases], "d string")
     for r in df.select("d", with_schema_version(F.col("d"), key).alias("o")).collect():
         assert json.loads(r.o) == cases[r.d]
+
+
+def test_keys_and_json_are_taken_apart_once(spark, tmp_path):
+    """However many families, versions and recoveries: one parse and one key for single events, and one for contexts."""
+    registry = S.Registry({("orchard", n, 1, 0, a): {"type": "object", "properties": {"k": {"type": "string" if a == 2 else "integer"}}} for n in ("tree", "picking", "press") for a in range(4)})
+    held = {S.Family(kind, "orchard", n, 1): [(0, a) for a in range(4)] for kind in ("unstruct_event", "contexts") for n in ("tree", "picking", "press")}
+    (tmp_path / "events.json").write_text('{"event_id":"e"}')
+    out = transform_events(spark.read.schema(EVENT).json(str(tmp_path)), S.resolve(held, registry), [Criterion.parse("schema:orchard/other/jsonschema/1-*-*")])
+    assert sum("recovered" in c for c in out.columns) == 6
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # a kind's key is matched once, and so is whether its text begins an object
+    assert plan.count("parseJson") == 2 and plan.count("RLIKE") == 4
