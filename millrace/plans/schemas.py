@@ -235,30 +235,38 @@ def _skips(c: Criterion, f: Family, v: Version) -> bool:
     return all(want is None or want == got for want, got in zip((c.vendor, c.name, c.model, c.revision, c.addition), own))
 
 
-def resolve(families: Mapping[Family, Iterable[Version]], registry: Registry, skip: Iterable[Criterion] = ()) -> Resolved:
-    """Types of a batch's families, or their failures.
+def resolve_family(family: Family, versions: Iterable[Version], registry: Registry, skip: Iterable[Criterion] = ()) -> tuple[EntityColumn | None, Failure | None]:
+    """A family's column or its failure; neither if no version is left or none can hold anything.
 
-    Skipped versions are left out before lookup and again from the merged versions; a family
-    without versions left has no column. Two families with one column name fail the whole batch.
+    Skipped versions are left out before lookup and again from the merged versions.
     """
     skip = list(skip)
-    columns, failures = [], []
-    for family, versions in sorted(families.items()):
-        kept = frozenset(v for v in versions if not any(_skips(c, family, v) for c in skip))
-        if not kept:
-            continue
-        try:
-            column = build(family, kept, registry.up_to(family, max(kept)))
-        except KeyError as e:
-            failures.append(Failure(family, kept, str(e.args[0])))
-        except InvalidSchema as e:
-            failures.append(Failure(family, kept, f"invalid schema: {e}"))
-        else:
-            if column is not None:
-                columns.append(replace(column, versions=frozenset(v for v in column.versions if not any(_skips(c, family, v) for c in skip))))
+    kept = frozenset(v for v in versions if not any(_skips(c, family, v) for c in skip))
+    if not kept:
+        return None, None
+    try:
+        column = build(family, kept, registry.up_to(family, max(kept)))
+    except KeyError as e:
+        return None, Failure(family, kept, str(e.args[0]))
+    except InvalidSchema as e:
+        return None, Failure(family, kept, f"invalid schema: {e}")
+    if column is None:
+        return None, None
+    return replace(column, versions=frozenset(v for v in column.versions if not any(_skips(c, family, v) for c in skip))), None
+
+
+def clashing(columns: Iterable[EntityColumn]) -> None:
+    """Two families with one column name are an error."""
     by_name: dict[str, list[Family]] = {}
     for c in columns:
         by_name.setdefault(c.field.name, []).append(c.family)
     if clashes := [f for f in by_name.values() if len(f) > 1]:
         raise ClashingColumnNames(clashes)
-    return Resolved(tuple(columns), tuple(failures))
+
+
+def resolve(families: Mapping[Family, Iterable[Version]], registry: Registry, skip: Iterable[Criterion] = ()) -> Resolved:
+    """Types of a batch's families, or their failures. Two families with one column name fail the whole batch."""
+    found = [resolve_family(family, versions, registry, skip) for family, versions in sorted(families.items())]
+    columns = [c for c, _ in found if c is not None]
+    clashing(columns)
+    return Resolved(tuple(columns), tuple(f for _, f in found if f is not None))

@@ -4,8 +4,9 @@ Spark owns the offsets: a batch is a range of sequence numbers of each shard, an
 committed is read again. Clients are made from a name, ``module:function``, as they are needed on the
 driver and on executors. No broker's library is used here; the tests run a broker in files.
 Options: ``maxRecordsPerShard``; ``parallelPullFactor``, by which the driver's cores are multiplied for the number of
-tasks a shard's batch is read by (without it one); ``deadlineSeconds``, within which a client's ``extend`` is called while a task reads;
-``commitDelaySeconds`` and ``commitAttempts`` of commits that the broker throttles.
+tasks a shard's batch is read by (without it one); ``deadlineSeconds``, within which a client's ``extend`` is called again and again from the moment that a
+batch is planned until it is committed; ``commitDebounceSeconds``, for which commits merge; ``commitDelaySeconds`` and ``commitAttempts`` of commits that
+the broker throttles.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ class ShardClient(Protocol):
         """All before these numbers was processed. May raise ``leases.Throttled`` or ``leases.LeaseLost``."""
 
     def extend(self, shard: str, start: int, end: int) -> None:
-        """Keep these records for us; called only if ``deadlineSeconds`` is set."""
+        """Keep these records for us; called on the driver, and only if ``deadlineSeconds`` is set."""
 
 
 def client_of(options: dict[str, str]) -> ShardClient:
@@ -58,11 +59,19 @@ class _Reader(DataSourceStreamReader):
         ms = options.get("timestamp")
         self.position = initial_position(options.get("initialposition", "TRIM_HORIZON"), int(ms) if ms else None)
         self.known: dict[str, int] = {}
+        deadline = options.get("deadlineseconds")
+        # this object lives on the driver as long as the query; tasks get copies, which keep nothing
+        self._keeper = leases.Keeper(lambda *own: client_of(options).extend(*own), float(deadline)) if deadline else None
+        self._commits = leases.Debounced(self._committed, float(options.get("commitdebounceseconds", 0)))
+
+    def __getstate__(self) -> dict:
+        return {"options": self.options, "limit": self.limit, "position": self.position, "known": self.known}
 
     def initialOffset(self) -> dict:
         client, (kind, ms) = client_of(self.options), self.position
         first = {"earliest": lambda s: client.bounds(s)[0], "latest": lambda s: client.bounds(s)[1], "timestamp": lambda s: client.at_timestamp(s, ms)}[kind]
         self.known = {s: first(s) for s in client.shards()}
+        self._commits.done = dict(self.known)
         return dict(self.known)
 
     def latestOffset(self) -> dict:
@@ -75,6 +84,9 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         self.known = {s: max(self.known.get(s, 0), n) for s, n in end.items()}
+        if start:
+            # Spark has committed all before, even if the process that was to say so ended before
+            self._commits.add(start)
         client = client_of(self.options)
         factor = self.options.get("parallelpullfactor")
         pulls = leases.parallel_pulls(float(factor)) if factor else 1
@@ -83,20 +95,29 @@ class _Reader(DataSourceStreamReader):
             at = start[s] if s in start else client.bounds(s)[0]
             step = max(1, -(-(n - at) // pulls))
             out += [_Range(s, k, min(k + step, n)) for k in range(at, n, step)]
+        if self._keeper:
+            self._keeper.hold((r.shard, r.start, r.end) for r in out)
         return out
 
     def read(self, partition: _Range) -> Iterator[tuple]:
-        client, deadline = client_of(self.options), self.options.get("deadlineseconds")
-        own = (partition.shard, partition.start, partition.end)
-        rows = client.read(*own)
-        if deadline:
-            rows = leases.kept_alive(rows, lambda: client.extend(*own), float(deadline))
-        for n, value, key, ms in rows:
+        for n, value, key, ms in client_of(self.options).read(partition.shard, partition.start, partition.end):
             yield value, key, partition.shard, n, None if ms is None else datetime.fromtimestamp(ms / 1000, timezone.utc)
 
     def commit(self, end: dict) -> None:
+        """Spark has committed a batch; the broker hears of it now, or with the next ones."""
+        self._commits.add(end)
+
+    def _committed(self, offsets: dict) -> None:
         # a lost lease is another consumer's business, as is its commit
-        leases.commit(lambda: client_of(self.options).committed(end), float(self.options.get("commitdelayseconds", 1)), int(self.options.get("commitattempts", 10)), time.sleep)
+        leases.commit(lambda: client_of(self.options).committed(offsets), float(self.options.get("commitdelayseconds", 1)), int(self.options.get("commitattempts", 10)), time.sleep)
+        if self._keeper:
+            self._keeper.release(offsets)
+
+    def stop(self) -> None:
+        """Called if Spark leaves the source's process the time; else the next start tells the broker what this would."""
+        self._commits.flush()
+        if self._keeper:
+            self._keeper.close()
 
 
 class ShardedSource(DataSource):

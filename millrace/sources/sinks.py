@@ -7,6 +7,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -111,22 +112,28 @@ def write(df: DataFrame, make_client: Callable[[], Client], limits: RequestLimit
 
 
 class HttpClient:
-    """Posts each record's bytes to an address; keys and headers are not sent."""
+    """Posts each record's bytes to an address, up to ``parallel`` at once; keys and headers are not sent."""
 
-    def __init__(self, address: str):
-        self.address = address
+    def __init__(self, address: str, parallel: int = 8):
+        self.address, self._pool = address, ThreadPoolExecutor(parallel)
 
     def put(self, records: list[Record]) -> list[str | None]:
-        out: list[str | None] = []
-        for r in records:
-            try:
-                urllib.request.urlopen(urllib.request.Request(self.address, r.value, {"Content-Type": "application/octet-stream"}, method="POST"), timeout=30).close()
-                out.append(None)
-            except urllib.error.HTTPError as e:
-                out.append(f"{e.code} {e.read().decode(errors='replace')}")
-            except OSError as e:
-                out.append(str(e))
-        return out
+        return list(self._pool.map(self._post, records))
+
+    def _post(self, record: Record) -> str | None:
+        request = urllib.request.Request(self.address, record.value, {"Content-Type": "application/octet-stream"}, method="POST")
+        try:
+            urllib.request.urlopen(request, timeout=30).close()
+            return None
+        except urllib.error.HTTPError as e:
+            return f"{e.code} {e.read().decode(errors='replace')}"
+        except OSError as e:
+            return str(e)
+
+
+def http_client(options: dict[str, str]) -> HttpClient:
+    """The client of ``format("records")`` that posts to option ``address``."""
+    return HttpClient(options["address"], int(options.get("parallel", 8)))
 
 
 def partitions_healthy(leaders: list[int | None]) -> bool:

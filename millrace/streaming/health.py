@@ -12,27 +12,34 @@ from dataclasses import dataclass, field
 class SourceState:
     """What the processor and the source are doing now; times are seconds of ``clock``.
 
-    ``received`` starts a batch with its earliest source timestamp, ``finished`` ends it,
-    ``heard`` notes that the source is alive without data.
+    ``received`` starts a batch and ``finished`` ends it, ``heard`` notes that the source is alive without data, and ``observed`` tells
+    how old a batch's earliest row was when the batch was received.
     """
 
     clock: Callable[[], float] = time.time
     connected: bool = True
     _since: float | None = None
     _busy: bool = False
-    _earliest: float | None = None
+    _received: float | None = None
+    _lag: float | None = None
     _lock: threading.Lock = field(default_factory=threading.Lock)
 
     def __post_init__(self):
         self._since = self.clock()
 
-    def received(self, earliest: float | None) -> None:
+    def received(self) -> None:
         with self._lock:
-            self._busy, self._since, self._earliest = True, self.clock(), earliest
+            self._busy, self._since = True, self.clock()
+            self._received = self._since
 
     def finished(self) -> None:
         with self._lock:
-            self._busy, self._since, self._earliest = False, self.clock(), None
+            self._busy, self._since = False, self.clock()
+
+    def observed(self, earliest: float) -> None:
+        """The earliest source timestamp of the last batch that was received, once its rows have been read."""
+        with self._lock:
+            self._lag = max(0.0, (self._received if self._received is not None else self.clock()) - earliest)
 
     def heard(self) -> None:
         with self._lock:
@@ -40,9 +47,9 @@ class SourceState:
                 self._since = self.clock()
 
     def latency(self) -> float | None:
-        """Seconds since the earliest timestamp of the batch that is out, if it has one."""
+        """Seconds that the batch which is out has been out, and its rows were old by what was observed last; None if no batch is out."""
         with self._lock:
-            return self.clock() - self._earliest if self._busy and self._earliest is not None else None
+            return self.clock() - self._since + (self._lag or 0.0) if self._busy else None
 
     def unhealthy(self, max_latency: float) -> str | None:
         """Why the stream is not healthy, or None. Exactly the limit is healthy."""

@@ -6,10 +6,11 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from ..runtime.reporting import Metrics
 from .health import SourceState
+from .runner import OBSERVED
 
 
 class ProgressListener(StreamingQueryListener):
-    """An idle trigger is a sign of life; progress counts rows; the end of a query is the end of its source.
+    """An idle trigger is a sign of life; progress counts rows and tells a batch's latency; the end of a query is the end of its source.
 
     Register with ``spark.streams.addListener``. ``name`` limits it to one query.
     """
@@ -19,7 +20,9 @@ class ProgressListener(StreamingQueryListener):
         metrics = metrics or Metrics()
         self.metrics = metrics
         self._rows = metrics.counter("rows")
-        self._duration = metrics.timer("batch_ms", lambda: None if (s := state.latency()) is None else s * 1000)
+        # of a batch that is out, if that is asked before its progress is known
+        self._latency = metrics.timer("latency_ms", lambda: None if (s := state.latency()) is None else s * 1000)
+        self._duration = metrics.gauge("batch_ms")
 
     def onQueryStarted(self, event) -> None:
         pass
@@ -29,6 +32,12 @@ class ProgressListener(StreamingQueryListener):
             self.state.heard()
             self._rows(event.progress.numInputRows)
             self._duration(event.progress.batchDuration)
+            # measured in the jobs that read the batch: no job of its own, and nothing is kept for it
+            seen = event.progress.observedMetrics.get(OBSERVED)
+            if seen is not None and seen["earliest"] is not None:
+                earliest = seen["earliest"] / 1e6
+                self.state.observed(earliest)
+                self._latency(max(0, int(1000 * (self.state.clock() - earliest))))
 
     def onQueryIdle(self, event) -> None:
         self.state.heard()

@@ -1,24 +1,27 @@
 """Running an event processor over a stream, at least once.
 
 A processor takes a micro-batch and its id. Its return is the acknowledgement: Spark commits the
-batch's offsets after it, and a batch that raised is delivered again after a restart.
+batch's offsets after it, and a batch that raised is delivered again after a restart. With a gate, what it
+returns is what the batch's last step needs, which runs later and in order.
 """
 
 from __future__ import annotations
 
 import threading
 from collections.abc import Callable
-from concurrent.futures import Future, ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.codec import Limits, decompress, with_batches
+from .gate import CommitGate
 from .health import SourceState
 
-Processor = Callable[[DataFrame, int], None]
+Processor = Callable[[DataFrame, int], dict | None]
+#: Name of the metrics that are observed as a batch is read.
+OBSERVED = "millrace_source"
 
 
 @dataclass
@@ -29,9 +32,10 @@ class Stream:
     state: SourceState
     _stopping: threading.Event
     _between: threading.Lock
+    gate: CommitGate | None = None
 
     def stop(self, timeout: float | None = None) -> None:
-        """Wait until no batch is being processed, then stop; no further batch is begun."""
+        """Wait until no batch is being processed, then stop; no further batch is begun, and pending last steps are run."""
         self._stopping.set()
         got = self._between.acquire(timeout=-1 if timeout is None else timeout)
         try:
@@ -39,6 +43,8 @@ class Stream:
         finally:
             if got:
                 self._between.release()
+            if self.gate:
+                self.gate.drain()
 
     def unhealthy(self, max_latency: float) -> str | None:
         if not self.query.isActive:
@@ -50,38 +56,39 @@ class Stopping(RuntimeError):
     """Raised for a batch that arrives while the stream is stopping; its offsets stay uncommitted."""
 
 
-def run(source: DataFrame, processor: Processor, checkpoint: str, source_ts: str | None = None, window: str | None = None, state: SourceState | None = None, available_now: bool = False) -> Stream:
+def run(source: DataFrame, processor: Processor, checkpoint: str, source_ts: str | None = None, window: str | None = None, state: SourceState | None = None, available_now: bool = False, gate: CommitGate | None = None) -> Stream:
     """Start a processor on a streaming DataFrame.
 
     ``window`` (``"60 seconds"``) makes windows of processing time; without it batches follow each
-    other. ``source_ts`` names the column whose minimum is the batch's earliest source timestamp;
-    the batch is then persisted while it is processed, so that the source is read once.
+    other. ``source_ts`` names the column whose minimum is the batch's earliest source timestamp: it is observed as the
+    batch is read, in the processor's own jobs, and comes with the query's progress (see ``listener``). ``gate`` runs the last steps
+    of batches: those left pending come first, and a batch that has a manifest is not processed again.
     """
     state = state or SourceState()
     stopping, between = threading.Event(), threading.Lock()
+    if source_ts:
+        source = source.observe(OBSERVED, F.min(F.unix_micros(F.col(source_ts).cast("timestamp"))).alias("earliest"))
+    if gate:
+        gate.recover()
 
     def one(batch: DataFrame, batch_id: int) -> None:
         with between:
             if stopping.is_set():
                 raise Stopping("the stream is stopping")
-            earliest = None
-            try:
-                if source_ts:
-                    batch = batch.persist()
-                    earliest = batch.agg(F.min(F.unix_micros(F.col(source_ts).cast("timestamp")))).first()[0]
-                state.received(earliest / 1e6 if earliest is not None else None)
-                processor(batch, batch_id)
-                state.finished()
-            finally:
-                if source_ts:
-                    batch.unpersist()
+            if gate and gate.seen(batch_id):
+                return
+            state.received()
+            content = processor(batch, batch_id)
+            if gate:
+                gate.submit(batch_id, content)
+            state.finished()
 
     writer = source.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif window:
         writer = writer.trigger(processingTime=window)
-    return Stream(writer.start(), state, stopping, between)
+    return Stream(writer.start(), state, stopping, between, gate)
 
 
 def decompressing(processor: Callable[[DataFrame, int], None], limits: Limits, payload: str = "value") -> Processor:
@@ -95,37 +102,3 @@ def decompressing(processor: Callable[[DataFrame, int], None], limits: Limits, p
             rows.unpersist()
 
     return one
-
-
-@dataclass
-class EagerFinish:
-    """Lets a batch's last step (a commit, say) run while the next batch is processed, in order.
-
-    ``submit`` returns at once while at most ``eager`` steps are pending, else it waits for the
-    oldest. A step begins only after the one before succeeded; once one has failed, the others
-    are abandoned and the next ``submit`` or ``drain`` raises. A batch whose step is pending has
-    already been committed by Spark, so use it only for steps that may be repeated from elsewhere.
-    """
-
-    eager: int
-    _pool: ThreadPoolExecutor = field(default_factory=lambda: ThreadPoolExecutor(1))
-    _pending: list[Future] = field(default_factory=list)
-    _failed: bool = False
-
-    def submit(self, step: Callable[[], None]) -> None:
-        def gated() -> None:
-            if self._failed:
-                raise RuntimeError("abandoned, as an earlier batch failed")
-            try:
-                step()
-            except BaseException:
-                self._failed = True
-                raise
-
-        self._pending.append(self._pool.submit(gated))
-        while len(self._pending) > self.eager:
-            self._pending.pop(0).result()
-
-    def drain(self) -> None:
-        while self._pending:
-            self._pending.pop(0).result()

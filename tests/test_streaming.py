@@ -32,7 +32,9 @@ def test_source_health():
     assert "source" in s.unhealthy(10)
     s.heard()
     assert s.unhealthy(10) is None
-    s.received(clock.now - 3)
+    s.received()
+    assert s.latency() == 0
+    s.observed(clock.now - 3)
     clock.now += 11
     s.heard()
     assert "processor" in s.unhealthy(10) and s.latency() == pytest.approx(14)
@@ -83,23 +85,6 @@ def test_decompressing_processor(spark):
     assert got == [(3, 2)]
 
 
-def test_eager_finish_keeps_order_and_gives_up_after_a_failure():
-    done = []
-    e = runner.EagerFinish(2)
-    for k in range(5):
-        e.submit(lambda k=k: (time.sleep(0.02 * (5 - k)), done.append(k)))
-    e.drain()
-    assert done == [0, 1, 2, 3, 4]
-    e = runner.EagerFinish(3)
-    e.submit(lambda: 1 / 0)
-    e.submit(lambda: done.append("late"))
-    with pytest.raises(ZeroDivisionError):
-        e.drain()
-    with pytest.raises(RuntimeError, match="abandoned"):
-        e.drain()
-    assert "late" not in done
-
-
 def test_sharded_source(spark, tmp_path, monkeypatch):
     folder, checkpoint = str(tmp_path / "broker"), str(tmp_path / "checkpoint")
     (tmp_path / "broker").mkdir()
@@ -230,15 +215,6 @@ def test_stateful_batches(spark, tmp_path):
 def test_deadlines_and_commits():
     from millrace.sources import leases
 
-    clock, extended = Clock(), []
-
-    def slow_rows():
-        for k in range(60):
-            clock.now += 1
-            yield k
-
-    assert list(leases.kept_alive(slow_rows(), lambda: extended.append(clock.now), 20.0, clock=clock)) == list(range(60))
-    assert extended == [1019.0, 1038.0, 1057.0]
     assert leases.parallel_pulls(0.5, 3) == 2 and leases.parallel_pulls(0.1, 1) == 1
     tries = []
 
@@ -275,3 +251,32 @@ def test_listener_reports_progress(spark, tmp_path):
     finally:
         spark.streams.removeListener(listener)
     assert ("rows", 7, "c") in listener.metrics.report() and not listener.state.connected
+
+
+def test_source_timestamps_are_observed_without_jobs_or_copies(spark, tmp_path):
+    from millrace.streaming.listener import ProgressListener
+
+    src = tmp_path / "in"
+    src.mkdir()
+    spark.range(7).selectExpr("id", "timestamp_seconds(1000 + id) AS ts").coalesce(1).write.mode("append").parquet(str(src))
+    listener, jobs = ProgressListener(SourceState(clock=lambda: 1500.0)), []
+    tracker = spark.sparkContext.statusTracker()
+    spark.streams.addListener(listener)
+
+    def processor(batch, batch_id):
+        group = str(tmp_path)
+        spark.sparkContext.setJobGroup(group, "one action")
+        assert not batch.is_cached and batch.count() == 7
+        jobs.extend(tracker.getJobIdsForGroup(group))
+
+    try:
+        stream = runner.run(spark.readStream.schema("id long, ts timestamp").parquet(str(src)), processor, str(tmp_path / "c"), "ts", available_now=True)
+        assert stream.query.awaitTermination(60)
+        for _ in range(100):
+            if not listener.state.connected:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert ("latency_ms", 500_000, "g") in listener.metrics.report()
+    assert len(jobs) <= 2  # a count is a shuffle, which adaptive execution makes two jobs of
