@@ -6,9 +6,9 @@ that no tile covers yet are marked, again and again, found by running Karp-Rabin
 that shrink to ``min_match``. Order plays no part, so passages that were reordered are covered
 piece by piece. A pair counts as contaminated if tiles cover enough of the item.
 
-Documents are read once, whatever the benchmark's size. A Bloom filter of the items' seeds, of fixed size, goes to
-every task; of a document only the stretches under seeds that pass it are kept, which is all that tiles can
-cover. Seeds are then joined. An item offers only its rarest seeds for that, just so many that the others
+Documents are read once for each block of items with some eight million seeds. A Bloom filter of a block's seeds, of 16 bits a seed and 16 MB at
+most, goes to every task; of a document only the stretches under seeds that pass it are kept, which is all that tiles can
+cover. Equal stretches and equal items are tiled once, and the rows that have them are joined to the result. Seeds are joined. An item offers only its rarest seeds for that, just so many that the others
 cover too little of it: a contaminated document has one of them. So a seed that very many documents and
 items share makes pairs only where nothing rarer can.
 """
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize, result, scratch, text_key, text_or_empty, tidied
 
 _BASE, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-#: Bits of the Bloom filter of seeds, as a power of two, and how many of them stand for a seed.
-_BLOOM_LOG2, _BLOOM_HASHES = 24, 3
+#: Bits of the Bloom filter of seeds at most, as a power of two, bits for each seed, also so, and how many of them are set for one.
+_BLOOM_LOG2, _BITS_LOG2, _BLOOM_HASHES = 27, 4, 3
 
 
 def tokens(text: Column | str) -> Column:
@@ -120,25 +120,25 @@ def covered(n: int, starts: np.ndarray, length: int) -> int:
     return int((np.cumsum(edge)[:n] > 0).sum())
 
 
-def _bloom_places(k: int) -> Callable[[np.ndarray], np.ndarray]:
-    """Which bits are the ``k``-th that stand for hashes."""
-    return lambda hashes: ((hashes * np.uint64(2 * k + 0x9E3779B1)) >> np.uint64(64 - _BLOOM_LOG2)).astype(np.int64)
+def _bloom_places(k: int, bits: int) -> Callable[[np.ndarray], np.ndarray]:
+    """Which of ``2**bits`` bits are the ``k``-th that stand for hashes."""
+    return lambda hashes: ((hashes * np.uint64(2 * k + 0x9E3779B1)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _bloom(seeds: DataFrame) -> np.ndarray:
-    """The filter's bits, put together from pieces of 4 KB in Spark."""
+def _bloom(seeds: DataFrame, bits: int) -> np.ndarray:
+    """The filter's bits as bytes, put together from pieces of 4 KB in Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch[0].to_numpy(zero_copy_only=False).view(np.uint64)
-            yield pa.record_batch([pa.array(np.unique(np.concatenate([_bloom_places(k)(hashes) for k in range(_BLOOM_HASHES)])))], names=["bit"])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([_bloom_places(k, bits)(hashes) for k in range(_BLOOM_HASHES)])))], names=["bit"])
 
-    bits = seeds.select("h").mapInArrow(run, "bit long")
+    places = seeds.select("h").mapInArrow(run, "bit long")
     # buckets begin at 1 and hold 32,768 numbers from 1 on
-    pieces = bits.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()
-    out = np.zeros((1 << _BLOOM_LOG2 - 15, 1 << 15), dtype=bool)
-    for r in pieces:  # at most 2**24 / 2**15 rows
-        out[r.piece - 1] = np.unpackbits(np.frombuffer(bytes(r.bits), dtype=np.uint8), bitorder="little")
+    pieces = places.groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits")).collect()
+    out = np.zeros((1 << bits - 15, 1 << 12), dtype=np.uint8)
+    for r in pieces:  # at most 2**(bits - 15) rows
+        out[r.piece - 1] = np.frombuffer(bytes(r.bits), dtype=np.uint8)
     return out.ravel()
 
 
@@ -154,20 +154,21 @@ def _item_seeds(items: DataFrame, min_match: int) -> DataFrame:
     return items.select("item", "t").mapInArrow(run, "h long, item long, at int")
 
 
-def _stretches(rows: DataFrame, bloom: np.ndarray, min_match: int) -> DataFrame:
+def _stretches(rows: DataFrame, bloom: np.ndarray, bits: int, min_match: int) -> DataFrame:
     """doc_id, the text's key t0, t1, words and ends: of each document its stretches under seeds that pass the filter, if any; ``ends`` cuts the words into these."""
-    shared = rows.sparkSession.sparkContext.broadcast(np.packbits(bloom))
+    shared = rows.sparkSession.sparkContext.broadcast(bloom)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(shared.value).view(bool)
+        held = shared.value
         for batch in batches:
             offsets = np.asarray(batch[3].offsets)
             values = batch[3].values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
             offsets = (offsets - offsets[0]).astype(np.int64)
             hashes = _seed_hashes(values, min_match)
             at = np.arange(len(hashes))
-            for places in map(_bloom_places, range(_BLOOM_HASHES)):
-                at = at[bits[places(hashes[at])]]
+            for k in range(_BLOOM_HASHES):
+                place = _bloom_places(k, bits)(hashes[at])
+                at = at[(held[place >> 3] >> (place & 7) & 1).astype(bool)]
             text = np.searchsorted(offsets, at, side="right") - 1
             inside = at + min_match <= offsets[text + 1]
             at, text = at[inside], text[inside]
@@ -214,19 +215,39 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage
     return _contaminated(docs, benchmark, min_match, coverage, id_col, text_col, item_id_col, item_text_col).drop("t0", "t1")
 
 
-def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverage: float, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", seeds_per_pass: int = 1 << 23) -> DataFrame:
     """The rows of ``overlaps`` with the key t0, t1 of the document's text."""
-    items = materialize(benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), tokens(item_text_col).alias("t")).withColumn("item", F.monotonically_increasing_id()), "benchmark")
-    seeds = materialize(_item_seeds(items, min_match), "benchmark-seeds")
+    asked = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), tokens(item_text_col).alias("t"))
+    asked = materialize(asked.withColumn("item", F.xxhash64("t")), "benchmark")
+    # equal items are one; a text's hash numbers it
+    items = materialize(asked.groupBy("item").agg(F.first("t").alias("t")), "distinct-items")
+    total = items.agg(F.sum(F.greatest(F.size("t") - min_match + 1, F.lit(0))).alias("n")).first().n or 0
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), tokens(text_col).alias("t"))
-    found = materialize(_stretches(rows, _bloom(seeds), min_match).withColumn("doc", F.monotonically_increasing_id()), "seeded-documents")
+    blocks = max(1, -(-total // seeds_per_pass))
+    out = None
+    for k in range(blocks):
+        own = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k)
+        found = _tiled(rows, own, min_match, coverage, max(16, min(_BLOOM_LOG2, ((total // blocks) << _BITS_LOG2).bit_length())))
+        out = found if out is None else out.unionByName(found)
+    # the rows that have an item's text
+    return out.join(asked.select("item", "item_id"), "item").drop("item")
+
+
+def _tiled(rows: DataFrame, items: DataFrame, min_match: int, coverage: float, bits: int, pairs_per_task: int = 2000) -> DataFrame:
+    """The contaminated pairs of rows and different items, those of a block."""
+    seeds = materialize(_item_seeds(items, min_match), "benchmark-seeds")
+    seeded = _stretches(rows, _bloom(seeds, bits), bits, min_match)
+    # 128 bits stand for what is left of a document
+    key = [F.xxhash64("words", "ends").alias("doc"), F.xxhash64("words", "ends", F.lit("s1")).alias("s1")]
+    holders = materialize(seeded.select("doc_id", "t0", "t1", "words", "ends", *key), "seeded-documents")
+    found = materialize(holders.groupBy("doc", "s1").agg(F.first("words").alias("words"), F.first("ends").alias("ends")), "distinct-stretches")
 
     def doc_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, w, e in zip(batch[0].to_pylist(), batch[1], batch[2]):
+            for doc, s1, w, e in zip(batch[0].to_pylist(), batch[1].to_pylist(), batch[2], batch[3]):
                 words, closed = _closed_words(_numbers(w), _numbers(e))
                 own = np.unique(_seed_hashes(words, min_match)[_free_runs(closed, min_match)])
-                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), doc))], names=["h", "doc"])
+                yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(np.full(len(own), doc)), pa.array(np.full(len(own), s1))], names=["h", "doc", "s1"])
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of an item's seeds that documents have, those without which less than ``coverage`` of it is left."""
@@ -248,7 +269,7 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverag
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, t0, t1, item_id, w, e, t in zip(*(c.to_pylist() for c in batch.columns[:4]), *batch.columns[4:]):
+            for doc, s1, item_id, w, e, t in zip(*(c.to_pylist() for c in batch.columns[:3]), *batch.columns[3:]):
                 item = _numbers(t).view(np.uint64)
                 words, closed = _closed_words(_numbers(w), _numbers(e))
                 # what the pair's own seeds do not cover, no tile does
@@ -259,17 +280,20 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int, coverag
                 tiles = greedy_tiles(words, item, min_match, closed)
                 matched = sum(n for _, _, n in tiles)
                 if matched >= coverage * len(item):
-                    out.append((doc_id, t0, t1, item_id, len(item), matched, len(tiles), matched / len(item)))
-            kinds = [pa.int64()] * 7 + [pa.float64()]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 8, kinds)], names=["doc_id", "t0", "t1", "item_id", "n_tokens", "n_matched", "n_tiles", "coverage"])
+                    out.append((doc, s1, item_id, len(item), matched, len(tiles), matched / len(item)))
+            kinds = [pa.int64()] * 6 + [pa.float64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(list(zip(*out)) or [[]] * 7, kinds)], names=["doc", "s1", "item", "n_tokens", "n_matched", "n_tiles", "coverage"])
 
-    hits = materialize(found.select("doc", "words", "ends").mapInArrow(doc_seeds, "h long, doc long"), "document-seeds")
+    hits = materialize(found.select("doc", "s1", "words", "ends").mapInArrow(doc_seeds, "h long, doc long, s1 long"), "document-seeds")
     often = hits.groupBy("h").agg(F.count("*").alias("n"))
     met = seeds.join(often, "h").groupBy("item").agg(F.collect_list(F.struct("h", "at", "n")).alias("own"))
     offered = materialize(met.join(items.select("item", F.size("t").alias("size")), "item").select("item", "size", "own").mapInArrow(rarest, "h long, item long"), "offered-seeds")
-    pairs = materialize(hits.join(offered, "h").select("doc", "item").distinct(), "seeded-pairs")
-    both = pairs.join(items, "item").join(found, "doc").select("doc_id", "t0", "t1", "item_id", "words", "ends", "t")
-    return both.mapInArrow(tile, "doc_id long, t0 long, t1 long, item_id long, n_tokens long, n_matched long, n_tiles long, coverage double")
+    pairs = materialize(hits.join(offered, "h").select("doc", "s1", "item").distinct(), "seeded-pairs")
+    both = pairs.join(items, "item").join(found, ["doc", "s1"]).select("doc", "s1", "item", "words", "ends", "t")
+    # by their number, as the work is one of pairs and not of bytes
+    dealt = both.repartition(max(1, -(-pairs.count() // pairs_per_task)))
+    tiled = materialize(dealt.mapInArrow(tile, "doc long, s1 long, item long, n_tokens long, n_matched long, n_tiles long, coverage double"), "tiled-pairs")
+    return holders.select("doc_id", "t0", "t1", "doc", "s1").join(tiled, ["doc", "s1"]).drop("doc", "s1")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.5) -> DataFrame:

@@ -270,6 +270,9 @@ def test_decontamination(spark, docs, rows, no_docs):
     assert {(x.doc_id, x.item_id) for x in got} == want and len(got) == 5
     tiles = {x.doc_id: x.n_tiles for x in got if x.item_id == 1}
     assert tiles[2001] == 2 and all(x.coverage == 1.0 for x in got)
+    # items in blocks, each with a filter and a reading of its own
+    parts = decontam._contaminated(both, bench, 5, 0.5, seeds_per_pass=30).drop("t0", "t1")
+    assert sorted(map(str, parts.select(*decontam.overlaps(both, bench).columns).collect())) == sorted(map(str, decontam.overlaps(both, bench).collect()))
     kept = decontam.keep_clean(both, bench)
     assert kept.columns == both.columns and kept.count() == both.count() - 4
     assert decontam.overlaps(no_docs, bench).count() == 0
