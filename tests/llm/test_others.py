@@ -143,6 +143,44 @@ def test_kd_tree_shards_are_even(spark):
     assert max(sizes) - min(sizes) <= 4 * 201
 
 
+def tree(points, leaves, dims, whole):
+    """Shards in order, by cutting lists of (coordinates, size) with different coordinates one by one."""
+    if leaves == 1:
+        return [points]
+    if not points:
+        return [[] for _ in range(leaves)]
+    span = lambda d: (max(p[0][d] for p in points) - min(p[0][d] for p in points)) / whole[d]
+    d = max(range(dims), key=span)
+    points = sorted(points, key=lambda p: p[0][d])
+    lower = leaves - leaves // 2
+    goal, total, k = sum(p[1] for p in points) * lower / leaves, 0, 0
+    while total + points[k][1] < goal:
+        total, k = total + points[k][1], k + 1
+    # the document at the place goes to the side that it leaves nearer to its share
+    k += total + points[k][1] - goal <= goal - total
+    return tree(points[:k], lower, dims, whole) + tree(points[k:], leaves // 2, dims, whole)
+
+
+def test_kd_tree_is_what_cutting_one_by_one_gives(spark):
+    import random
+
+    for seed, shards, target in ((1, 3, None), (2, 5, None), (3, 8, None), (4, 13, None), (5, None, 2000), (6, 1, None)):
+        r = random.Random(seed)
+        n = 150
+        ids, chars = r.sample(range(-5000, 5000), n), r.sample(range(100_000), n)
+        rows = [(i, "x" * r.choice([0, 3, 90, 700]), "en", "s", c) for i, c in zip(ids, chars)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        got = sharding.kd_tree_shards(df, shards, target, textual=()).collect()
+        sizes = {i: len(t) + 1 for i, t, *_ in rows}
+        leaves = shards or -(-sum(sizes.values()) // target)
+        whole = [max(x) - min(x) for x in (ids, chars)]
+        want = tree([((i, c), sizes[i]) for i, *_, c in rows], leaves, 2, whole)
+        by_shard = [sorted(x.doc_id for x in got if x.shard == k) for k in range(leaves)]
+        assert by_shard == [sorted(p[0][0] for p in leaf) for leaf in want]
+        assert all(sorted(x.slot for x in got if x.shard == k) == list(range(len(by_shard[k]))) for k in range(leaves))
+        assert len(rows) == len(got) and all(sizes[x.doc_id] == x["size"] for x in got)
+
+
 def test_kd_tree_splits_the_widest_dimension(spark):
     df = spark.createDataFrame([(k, "x" * 9, "en", "s", 50) for k in range(64)], "doc_id long, text string, lang string, source string, n_chars long")
     got = sharding.kd_tree_shards(df, 8).orderBy("doc_id").collect()
