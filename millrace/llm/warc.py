@@ -1,8 +1,8 @@
 """Content-addressed web archive.
 
 ``payloads`` keeps the bytes of each distinct payload once, under its SHA-256; ``headers`` keeps
-the exact header bytes of every record. Records are put together again by joining the two on the
-address, and both digests are checked on the way. Everything is DataFrame expressions.
+the exact header bytes of every record, those of its HTTP response included. Records are put together again by joining the two on the
+address, both digests are checked on the way, and what a record says is read from its bytes. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
@@ -50,13 +50,16 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
     # line ends in an address would end its header
     uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     ident = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("none")), F.lit(">"))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit("\r\n\r\n"))
+    block_bytes = F.octet_length(http) + F.col("payload_bytes")
     header = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(revisit, "revisit").otherwise("response"),
         F.lit("\r\nWARC-Record-ID: "), ident(F.col("page_id")),
         F.lit(f"\r\nWARC-Date: {date}\r\nWARC-Target-URI: "), uri,
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("digest"),
         F.when(revisit, F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), ident(F.col("response_id")))).otherwise(""),
-        F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("payload_bytes")).cast("string"), F.lit("\r\n\r\n"),
+        F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.when(revisit, F.lit(0)).otherwise(block_bytes).cast("string"), F.lit("\r\n\r\n"),
+        F.when(revisit, "").otherwise(http),
     )
     small = rows.withColumn("digest", base32_sha1(F.col("payload"))).select("page_id", "url", "address", "payload_bytes", "digest")
     small.join(shared, "address", "left").select("address", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
@@ -82,25 +85,43 @@ def _payloads(spark: SparkSession, path: str) -> DataFrame:
     return kept.withColumn("payload", F.when(F.sha2("payload", 256) == F.col("address"), F.col("payload")).otherwise(wrong.cast("binary")))
 
 
-def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, from the files.
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """The records themselves: page_id, record_type, refers_to, payload_digest as its header has them, header, record (exact bytes) and payload.
 
-    Length and digest are measured on the stored bytes, before the join, so that copies of a
-    payload do not carry its bytes; a record whose header tells another digest raises an error.
+    A revisit has no block; its payload is that of the record it refers to.
     """
-    measured = _payloads(spark, path).select("address", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("stored_digest"))
-    digest = F.when(F.col("payload_digest") == F.col("stored_digest"), F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header's digest is not its payload's")).cast("string"))
-    return _headers(spark, path).drop("header").join(measured, "address", "left").select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    whole = F.concat("header", block, F.lit(b"\r\n\r\n"))
+    return _headers(spark, path).join(_payloads(spark, path), "address", "left").select("page_id", "record_type", "refers_to", "payload_digest", "header", whole.alias("record"), "payload")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """The records themselves: page_id, record (exact bytes, a revisit without block) and payload."""
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return _headers(spark, path).join(_payloads(spark, path), "address", "left").select("page_id", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, from rebuilt records.
+
+    A response's payload is cut out of the record's own bytes, by the lengths that its headers tell; a revisit's is the stored one. Length
+    and digest are measured on that, and a record whose header tells another digest or whose bytes do not add up raises an error.
+    """
+    records = read_records(spark, path)
+    text = F.decode("header", "ISO-8859-1")  # a character a byte
+    # the record's own header ends at the first empty line, and its length is that of what follows
+    block_at = F.instr(text, "\r\n\r\n") + 4
+    told = F.regexp_extract(text, "\r\nContent-Length: ([0-9]+)\r\n\r\n", 1).cast("int")
+    http = F.octet_length("header") - block_at + 1
+    cut = F.substring("record", F.octet_length("header") + 1, told - http)
+    sizes = F.octet_length("record") - 4 - (block_at - 1)
+    own = F.when(F.col("record_type") == "revisit", F.col("payload")).when(told == sizes, cut).otherwise(F.raise_error(F.lit("a record's bytes do not add up")).cast("binary"))
+    measured = records.select("page_id", "record_type", "refers_to", F.col("payload_digest").alias("told"), own.alias("body")).select(
+        "page_id", F.octet_length("body").cast("long").alias("payload_bytes"), "told", base32_sha1(F.col("body")).alias("measured"), "record_type", "refers_to"
+    )
+    digest = F.when(F.col("told") == F.col("measured"), F.col("measured")).otherwise(F.raise_error(F.lit("a header's digest is not its payload's")).cast("string"))
+    return measured.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """Write pages to a new archive in the shared folder and return what is read back from it."""
+    """Write pages to a new archive in the shared folder, put its records together again and return what they say.
+
+    Nulls, repeated rows and empty tables are as in ``write_archive``: a null body is an empty payload, a null page_id is named none, each row is a record.
+    """
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"
     write_archive(pages, path, min_bytes)

@@ -224,7 +224,10 @@ def test_archive(spark, tmp_path):
         head, _, block = record.partition(b"\r\n\r\n")
         fields = dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
         assert record.startswith(b"WARC/1.1\r\n") and record.endswith(b"\r\n\r\n") and fields["WARC-Payload-Digest"] == f"sha1:{b32(payload)}"
-        assert block[:-4] == (b"" if fields["WARC-Type"] == "revisit" else payload) and int(fields["Content-Length"]) == len(block) - 4
+        # a response's block is the HTTP response, of which the body is the payload
+        http, _, body = block[:-4].partition(b"\r\n\r\n")
+        assert int(fields["Content-Length"]) == len(block) - 4
+        assert block[:-4] == b"" if fields["WARC-Type"] == "revisit" else (http.startswith(b"HTTP/1.1 200 OK\r\n") and http.endswith(b": %d" % len(payload)) and body == payload)
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
@@ -237,6 +240,12 @@ def test_archive_notices_changed_bytes(spark, tmp_path):
     spark.read.parquet(f"{path}/headers").write.parquet(f"{other}/headers")
     with pytest.raises(Exception, match="do not match their address"):
         warc.read_index(spark, other).collect()
+    # a header whose length is not that of the record put together
+    longer = str(tmp_path / "c")
+    spark.read.parquet(f"{path}/payloads").write.parquet(f"{longer}/payloads")
+    spark.read.parquet(f"{path}/headers").withColumn("header", F.encode(F.concat(F.decode("header", "UTF-8"), F.lit("x")), "UTF-8")).write.parquet(f"{longer}/headers")
+    with pytest.raises(Exception, match="do not add up"):
+        warc.read_index(spark, longer).collect()
 
 
 def test_factorization_machine_learns_pairs(spark):
