@@ -209,20 +209,21 @@ def judge(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
     """doc_id, the STATISTICS, base_failed and kept of every document, a row for each row.
 
     The rules are learned from at most ``bound`` documents that ``labels`` has; they are applied
-    to all documents where they are read, without a shuffle.
+    to all documents where they are read, without a shuffle. Null and empty texts have no words and fail the base rules, rows that
+    repeat each have a row, a null doc_id teaches nothing, without labels the base rules alone decide, and an empty table gives no rows.
     """
     rules = learn_rules(labelled_sample(docs, labels, bound))
     return docs.select("doc_id", judged(rules).alias("_s")).select("doc_id", "_s.*")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, bound: int = 20_000) -> DataFrame:
-    """The documents that base rules and learned rules keep, with all their columns."""
+    """The documents that base rules and learned rules keep, with all their columns; see ``judge`` for nulls, repeated rows and empty tables."""
     rules = learn_rules(labelled_sample(docs, labels, bound))
     return docs.filter(judged(rules)["kept"])
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the STATISTICS that SQL can follow, and base_failed of every document."""
+    """doc_id, the STATISTICS that SQL can follow, and base_failed of every row; null and empty texts have zeros, an empty table no rows."""
     names = [k for k in STATISTICS if k not in ("n_upper", "n_marks")]
     rows = docs.select("doc_id", _let(statistics(), lambda s: F.struct(*[s[k].alias(k) for k in names], base_failed(s).alias("base_failed"))).alias("_s"))
     return rows.select("doc_id", "_s.*")

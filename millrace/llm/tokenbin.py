@@ -131,7 +131,11 @@ def read_document(spark: SparkSession, path: str, doc_id: int) -> list[int] | No
 
 
 def token_archive(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = 0) -> DataFrame:
-    """Write the documents' ids to a new archive in the shared folder and return its index."""
+    """Write the documents' ids to a new archive in the shared folder and return its index.
+
+    Null and empty texts are the end id alone, rows that repeat each have their ids, a null doc_id comes first, and an empty table
+    gives an empty archive.
+    """
     path = f"{shared_dir(docs.sparkSession)}/token-blocks-{uuid.uuid4().hex}"
     write_token_blocks(docs, path, tokenizer, end_id)
     return read_token_index(docs.sparkSession, path)

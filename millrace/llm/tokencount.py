@@ -86,6 +86,8 @@ class CountTransducer:
             self.tokens[a + b] = len(self.parts)
             self.parts.append(pair)
             self.born.append(k)
+        if max(map(len, self.tokens)) > 126:
+            raise ValueError("a token has more symbols than the eight bits of a place can count")
         # tokens that the merges do not make of their own text never occur
         made = [True] * len(self.parts)
         for token in range(len(symbols) + 1, len(self.parts)):

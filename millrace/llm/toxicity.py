@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_or_empty
@@ -87,8 +87,8 @@ def _sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Terms and label of at most ``bound`` labelled rows of documents that are not held out.
+def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", terms: int = 20_000_000) -> DataFrame:
+    """Terms and label of at most ``bound`` labelled rows, with ``terms`` terms between them, of documents that are not held out.
 
     They are those of least hash of id and then of text, so that any run learns from the same ones
     and ids that repeat do not pass the bound. Ids with null or contradicting labels are left out.
@@ -99,7 +99,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_co
     once = once.withColumn("_order", F.xxhash64("_id", F.lit("train"))).orderBy("_order", "_id").limit(bound)
     found = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(once), "_id")
     found = found.select("_id", F.col("_label").cast("int").alias("label"), hashed_terms("_text"), "_order", F.xxhash64("_text").alias("_tie"))
-    return found.orderBy("_order", "_id", "_tie").limit(bound).select("_id", "label", "terms", "_tie")
+    chosen = found.orderBy("_order", "_id", "_tie").limit(bound)
+    # of bounded rows, in one task
+    so_far = F.sum(F.size("terms")).over(Window.orderBy("_order", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    return chosen.withColumn("_terms", so_far).filter(F.col("_terms") <= terms).select("_id", "label", "terms", "_tie")
 
 
 def fit(
@@ -203,5 +206,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, bound: int = 12_000) -> DataFrame:
-    """Fit on at most ``bound`` labelled documents that are not held out, and score all documents."""
+    """Fit on at most ``bound`` labelled documents that are not held out, and score all documents.
+
+    Null and empty texts get the score of the bias, rows that repeat each have a row, and an empty table gives none.
+    """
     return score(docs, fit(training_rows(docs, labels, bound)))

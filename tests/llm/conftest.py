@@ -4,7 +4,7 @@ import pytest
 
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that clash with names the operators use for themselves.
-CLASHING = ("key", "doc", "sub", "at", "rest", "terms", "label", "node", "size", "shard", "fp", "_id", "_label", "_s", "part", "tie", "d0", "c0", "words", "bins", "_drop", "_hit")
+CLASHING = ("key", "doc", "sub", "at", "rest", "terms", "label", "node", "size", "shard", "fp", "_id", "_label", "_s", "part", "tie", "d0", "c0", "words", "bins", "_drop", "_hit", "t0", "t1", "digest", "prefix", "sketch", "row", "item", "ends", "h", "n", "k", "length", "rank", "offset", "s1", "tfs", "number", "dim", "w")
 
 
 def corpus(seed: int = 3, n: int = 60) -> list[tuple]:

@@ -130,3 +130,44 @@ def test_query_equals_its_sql(spark, name):
     answer = c.execute(ORACLE_SQL[name])
     names = [d[0] for d in answer.description]
     assert Counter(map(tuple, QUERIES[name](spark, SF).select(*names).collect())) == Counter(answer.fetchall())
+
+
+def test_two_pipelines_at_once_keep_their_tables_apart(spark, tmp_path):
+    """Threads share a session but not the lists of tables to remove; what is left is each one's result."""
+    import threading
+
+    from millrace.llm import common
+
+    before = set(os.listdir(common.shared_dir(spark)))
+    want = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=str)
+    found, errors = {}, []
+
+    def one(k):
+        try:
+            found[k] = corpus_pipeline.run(spark, SF).select("doc_id", "piece", "length", "ids_crc32").collect()
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=one, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(600)
+    assert not errors and all(Counter(map(tuple, found[k])) == Counter((r[0], r[1], r[3], r[4]) for r in want) for k in range(2))
+    left = {x.rsplit("-", 1)[0] for x in set(os.listdir(common.shared_dir(spark))) - before}
+    assert left == {"best_fit_packing"}
+
+
+def test_run_reads_documents_a_few_times(spark, tmp_path):
+    """Stages read what their predecessor wrote; the table itself is read by the first one alone."""
+    source = tmp_path / "sf"
+    source.mkdir()
+    for name in ("documents", "labels", "benchmark"):
+        os.symlink(f"{SF}/{name}.parquet", source / f"{name}.parquet")
+    listener_bus = spark.sparkContext._jsc.sc().listenerBus()
+    store = spark._jsparkSession.sharedState().statusStore()
+    first = store.executionsCount()
+    corpus_pipeline.run(spark, str(source))
+    listener_bus.waitUntilEmpty(10_000)
+    plans = [store.executionsList().apply(int(k)).physicalPlanDescription() for k in range(first, store.executionsCount())]
+    assert len(plans) > 20 and sum(f"{source}/documents.parquet" in p for p in plans) <= 3
