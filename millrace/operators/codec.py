@@ -175,6 +175,7 @@ class Packer:
             self._zstd = zstandard.ZstdCompressor(level=self._level, write_checksum=False, write_content_size=False).compressobj()
             self._flush = zstandard.COMPRESSOBJ_FLUSH_BLOCK
             self._written: list[bytes] = []
+            self._refused = False
         self._raw(head)
 
     def _write(self, data: bytes) -> None:
@@ -200,18 +201,23 @@ class Packer:
             self._crc, self._length = zlib.crc32(framed, self._crc), self._length + len(framed)
             self._write(out)
             return True
+        if self._refused:
+            self._again()
         out = self._zstd.compress(framed) + self._zstd.flush(self._flush)
         if self.size + len(out) + self.FOOTER["zstd"] > self.target:
-            # the stream cannot go back: what was accepted is written again
-            self._again()
+            # the stream cannot go back; what was given out so far ends with a record, and is kept as it is
+            self._refused = True
             return False
         self._written.append(framed)
         self._write(out)
         return True
 
     def _again(self) -> None:
+        """Write what was accepted once more, for the record after one that was refused."""
         import zstandard
 
+        self._refused = False
+
         self._zstd = zstandard.ZstdCompressor(level=self._level, write_checksum=False, write_content_size=False).compressobj()
         self.parts, self.size = [], 0
         for k, data in enumerate(self._written):
@@ -221,7 +227,8 @@ class Packer:
         if self.kind == "gzip":
             self._write(self._deflate.flush() + struct.pack("<II", self._crc, self._length & 0xFFFFFFFF))
         else:
-            self._write(self._zstd.flush())
+            # after a refusal: an empty last block (fixed value of the format)
+            self._write(b"\x01\x00\x00" if self._refused else self._zstd.flush())
         return b"".join(self.parts)
 
 

@@ -105,18 +105,20 @@ def version_max(spark: SparkSession, d: str) -> DataFrame:
 
 
 _REGISTRY = [("com.acme", t, 1, 0, a) for t in ("click", "view", "purchase", "login") for a in range(3)]
-_WANTED = [("com.acme", "click", 1, 0, 1), ("com.acme", "purchase", 1, 0, 0), ("com.acme", "view", 1, 0, 9)]
 _VALUES = lambda rows: ", ".join(f"('{v}', '{n}', {m}, {r}, {a})" for v, n, m, r, a in rows)
 _FIVE = "vendor string, name string, model int, revision int, addition int"
 
 
 @query(f"""
-WITH registry(vendor, name, model, revision, addition) AS (VALUES {_VALUES(_REGISTRY)}), wanted(vendor, name, model, r, a) AS (VALUES {_VALUES(_WANTED)})
-SELECT x.vendor, x.name, x.model::INT AS model, revision::INT AS revision, addition::INT AS addition, x.model || '-' || r || '-' || a AS requested
-FROM registry x JOIN wanted w ON x.vendor = w.vendor AND x.name = w.name AND x.model = w.model AND (revision < r OR (revision = r AND addition <= a))
+WITH {_ENV}, registry(vendor, name, model, revision, addition) AS (VALUES {_VALUES(_REGISTRY)}),
+wanted AS (SELECT event_type AS name, max(addition) AS a FROM env GROUP BY event_type)
+SELECT x.vendor, x.name, x.model::INT AS model, revision::INT AS revision, addition::INT AS addition, '1-0-' || a AS requested
+FROM registry x JOIN wanted w ON x.name = w.name AND (revision = 0 AND addition <= a)
 """)
 def registry_upto(spark: SparkSession, d: str) -> DataFrame:
-    return entities.versions_up_to(spark.createDataFrame(_REGISTRY, _FIVE), spark.createDataFrame(_WANTED, _FIVE))
+    """Versions that the registry has up to the latest one that the events hold of a family."""
+    wanted = entities.families(_envelopes(spark, d)).select("vendor", "name", "model", "latest.revision", "latest.addition")
+    return entities.versions_up_to(spark.createDataFrame(_REGISTRY, _FIVE), wanted)
 
 
 @query(f"""
@@ -465,7 +467,9 @@ def compress_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     each = docs.filter("body IS NULL").select("source", F.col("body").alias("payload"))
     for kind, rest in (("gzip", 0), ("zstd", 1)):
         own = docs.filter(F.col("body").isNotNull() & (F.coalesce(F.pmod("doc_id", F.lit(2)), F.lit(0)) == rest))
-        packed = codecs.compress(own, ["source"], ["doc_id"], "body", kind, 400_000).withColumn("ordinal", F.xxhash64("source", "message_no"))
+        # a source that has most rows is packed by as many tasks as others
+        own = own.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(32)))
+        packed = codecs.compress(own, ["source", "part"], ["doc_id"], "body", kind, 400_000).withColumn("ordinal", F.xxhash64("source", "part", "message_no"))
         # a record's length has 31 bits; an error is a row without a payload, and so is seen
         read = codecs.decompress(packed.filter("rejected IS NULL"), codecs.Limits(10**6, (1 << 31) - 1), "message", "ordinal")
         each = each.unionByName(read.join(packed.select("ordinal", "source"), "ordinal").select("source", "payload"))
