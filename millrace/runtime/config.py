@@ -32,21 +32,52 @@ def uri(value: str) -> str:
     return value
 
 
-def substitute(value: Any, env: Mapping[str, str]) -> Any:
-    """``${NAME}`` by the environment's value, required, and ``${?NAME}`` by it or nothing."""
+#: Milliseconds of the units of time (fixed values).
+_UNITS = {"ms": 1, "milli": 1, "millis": 1, "millisecond": 1, "s": 1000, "sec": 1000, "second": 1000, "m": 60_000, "min": 60_000, "minute": 60_000, "h": 3_600_000, "hour": 3_600_000, "d": 86_400_000, "day": 86_400_000}
+
+
+def duration_ms(value: Any) -> int:
+    """Milliseconds of a number of them, or of text as ``10 seconds``, ``1.5 minutes`` or ``250ms``; not negative."""
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        found = float(value)
+    else:
+        m = re.fullmatch(r"\s*([0-9]+(?:\.[0-9]+)?)\s*([a-z]*)\s*", str(value).lower())
+        unit = m and (_UNITS.get(m[2] or "ms") or _UNITS.get(m[2].removesuffix("s")))
+        if not unit:
+            raise ValueError(f"not a duration: {value}")
+        found = float(m[1]) * unit
+    if found < 0:
+        raise ValueError(f"not a duration: {value}")
+    return round(found)
+
+
+def substitute(value: Any, env: Mapping[str, str], settings: Mapping | None = None, within: tuple[str, ...] = ()) -> Any:
+    """``${a.b}`` by the setting of that path, or ``${NAME}`` by the environment's value, required, and ``${?NAME}`` by either or nothing.
+
+    Text that is a single reference takes the setting's own value, of whatever type.
+    """
     if isinstance(value, dict):
-        return {k: substitute(v, env) for k, v in value.items()}
+        return {k: substitute(v, env, settings, within) for k, v in value.items()}
     if isinstance(value, list):
-        return [substitute(v, env) for v in value]
+        return [substitute(v, env, settings, within) for v in value]
     if not isinstance(value, str):
         return value
-
-    def one(m: re.Match) -> str:
+    reference = r"\$\{(\?)?([A-Za-z_][A-Za-z0-9_.-]*)\}"
+
+    def one(m: re.Match) -> Any:
+        if m[2] in within:
+            raise ValueError(f"{m[2]} refers to itself")
+        found: Any = settings
+        for part in m[2].split("."):
+            found = found.get(part) if isinstance(found, Mapping) else None
+        if found is not None:
+            return substitute(found, env, settings, (*within, m[2]))
         if m[2] not in env and not m[1]:
             raise ValueError(f"{m[2]} is not set")
         return env.get(m[2], "")
 
-    return re.sub(r"\$\{(\?)?([A-Za-z_][A-Za-z0-9_]*)\}", one, value)
+    whole = re.fullmatch(reference, value)
+    return one(whole) if whole else re.sub(reference, lambda m: str(one(m)), value)
 
 
 def merged(base: Mapping, over: Mapping) -> dict:
@@ -62,7 +93,8 @@ def load(path: str, defaults: Mapping = {}, namespace: str | None = None, env: M
     with open(path, "rb") as f:
         data = tomllib.load(f) if path.endswith(".toml") else json.load(f)
     own = data.pop(namespace, {}) if namespace else {}
-    return substitute(merged(merged(defaults, data), own), os.environ if env is None else env)
+    settings = merged(merged(defaults, data), own)
+    return substitute(settings, os.environ if env is None else env, settings)
 
 
 def build(kind: type[C], data: Mapping) -> C:

@@ -70,6 +70,17 @@ def exposition(report: list[tuple[str, float, str]]) -> str:
     return "".join(f"# TYPE {n} {kind[k]}\n{n} {v:g}\n" for n, v, k in ((name.replace(".", "_"), v, k) for name, v, k in report))
 
 
+def jvm_report(spark) -> list[tuple[str, float, str]]:
+    """Memory, threads and garbage collection of the driver's JVM, as a report to expose beside the metrics."""
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory
+    memory, threads = beans.getMemoryMXBean(), beans.getThreadMXBean()
+    out = [("jvm.threads", threads.getThreadCount(), "g"), ("jvm.uptime_ms", beans.getRuntimeMXBean().getUptime(), "c")]
+    for name, use in (("heap", memory.getHeapMemoryUsage()), ("nonheap", memory.getNonHeapMemoryUsage())):
+        out += [(f"jvm.{name}.used_bytes", use.getUsed(), "g"), (f"jvm.{name}.committed_bytes", use.getCommitted(), "g")]
+    collectors = list(beans.getGarbageCollectorMXBeans())
+    return [*out, ("jvm.gc.count", sum(c.getCollectionCount() for c in collectors), "c"), ("jvm.gc.time_ms", sum(c.getCollectionTime() for c in collectors), "c")]
+
+
 def webhook_body(event: str, app: str, version: str, message: str | None = None, tags: dict[str, str] | None = None, limit: int = 4096) -> bytes:
     """Heartbeat or alert as JSON; a message is cut to ``limit`` characters."""
     data = {"event": event, "application": f"{app}-{version}", "tags": tags or {}}

@@ -162,3 +162,26 @@ def test_coldswap():
     c.close()
     c.close()
     assert log == ["open", "close", "open", "close"]
+
+
+def test_durations_and_references(tmp_path):
+    from millrace.runtime import config
+
+    cases = {"10 seconds": 10_000, "250ms": 250, "1.5 minutes": 90_000, "2 h": 7_200_000, "1 day": 86_400_000, 30: 30, "30": 30, "0s": 0, "5 Min": 300_000}
+    assert {k: config.duration_ms(k) for k in cases} == cases
+    for bad in ("ten", "", "5 parsecs", -1, None, "s", True):
+        with pytest.raises(ValueError):
+            config.duration_ms(bad)
+    (tmp_path / "c.json").write_text('{"kafka": {"servers": "${HOST}:9092", "retries": 3}, "out": {"servers": "${kafka.servers}", "n": "${kafka.retries}", "name": "x-${kafka.retries}", "none": "${?nowhere.at}"}}')
+    assert config.load(str(tmp_path / "c.json"), env={"HOST": "h"})["out"] == {"servers": "h:9092", "n": 3, "name": "x-3", "none": ""}
+    (tmp_path / "d.json").write_text('{"a": "${b}", "b": "${a}"}')
+    with pytest.raises(ValueError, match="itself"):
+        config.load(str(tmp_path / "d.json"), env={})
+
+
+def test_jvm_metrics(spark):
+    from millrace.runtime.reporting import jvm_report
+
+    report = {n: v for n, v, _ in jvm_report(spark)}
+    assert report["jvm.heap.used_bytes"] > 0 and report["jvm.threads"] > 1 and report["jvm.gc.count"] >= 0
+    assert "jvm_heap_used_bytes" in exposition(jvm_report(spark))
