@@ -101,7 +101,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, bound: int = 12_000, id_co
     found = found.select("_id", F.col("_label").cast("int").alias("label"), hashed_terms("_text"), "_order", F.xxhash64("_text").alias("_tie"))
     chosen = found.orderBy("_order", "_id", "_tie").limit(bound)
     # of bounded rows, in one task
-    so_far = F.sum(F.size("terms")).over(Window.orderBy("_order", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum(F.size("terms.words") + F.size("terms.stems")).over(Window.orderBy("_order", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0))
     return chosen.withColumn("_terms", so_far).filter(F.col("_terms") <= terms).select("_id", "label", "terms", "_tie")
 
 
