@@ -53,7 +53,7 @@ def _write(df: DataFrame, label: str, compression: str, listed: list[str] | None
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     if listed is not None:
         listed.append(path)
-    with _shuffles_removed(spark):
+    with shuffles_removed(spark):
         df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -62,7 +62,7 @@ _removing: dict = {"lock": Lock(), "open": 0, "before": None}
 
 
 @contextmanager
-def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """The shuffle files of a write go when it ends; else they stay until the driver's heap happens to be collected."""
     name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     with _removing["lock"]:  # writes of several threads share the session's setting

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, text_or_empty
+from .common import materialize, shared_dir, shuffles_removed, text_or_empty
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -62,9 +62,13 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "
         F.when(revisit, "").otherwise(http),
     )
     small = rows.withColumn("digest", base32_sha1(F.col("payload"))).select("page_id", "url", "address", "payload_bytes", "digest")
-    small.join(shared, "address", "left").select("address", F.encode(header, "UTF-8").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
+    headers = small.join(shared, "address", "left").select("address", F.encode(header, "UTF-8").alias("header"))
     kept = rows.select("page_id", "address", "payload").join(shared, "address", "left").filter(first)
-    kept.select("address", "payload").dropDuplicates(["address"]).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    payloads = kept.select("address", "payload").dropDuplicates(["address"])
+    # what was dealt to write the bytes goes before they are dealt to be read
+    with shuffles_removed(pages.sparkSession):
+        headers.write.option("compression", "zstd").parquet(f"{path}/headers")
+        payloads.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def _field(name: str, value: str) -> Column:
