@@ -154,13 +154,18 @@ def transform_events(df: DataFrame, resolved: Resolved, skip: list[Criterion] |
         value = F.get(own, 0)["value"] if kind == "unstruct_event" else F.when(F.size(own) > 0, F.transform(own, lambda x: x["value"]))
         columns.append(value.alias(targets[kind][n].field.name))
         all_errors.append(F.flatten(F.transform(own, lambda x: x["errors"])))
-    failed = []
-    for kind in kinds:
-        for n, f in enumerate(failures[kind]):
-            held = F.exists(f"_{kind}", lambda e: F.coalesce(e["failure"] == n, F.lit(False)))
-            failed.append(F.when(held, F.expr(errors_of(quoted(f.family.column), quoted(f.message)))).otherwise(F.expr(NO_ERRORS)))
-    missing = F.concat(*failed) if failed else F.expr(NO_ERRORS)
-    return out.select(*names, *columns, F.when(F.size(missing) > 0, missing).otherwise(F.concat(*all_errors)).alias("errors"))
+    # a filter on the errors brings all of this below itself, so keys are named once a kind here, whatever the number of failures
+    missing = F.concat(*[_failed(F.col(f"_{kind}"), failures[kind]) for kind in kinds if failures[kind]]) if resolved.failures else None
+    all_ = F.concat(*all_errors)
+    errors = all_ if missing is None else F.coalesce(bound(missing, lambda m: F.when(F.size(m) > 0, m).otherwise(all_)), F.expr(NO_ERRORS))
+    return out.select(*names, *columns, errors.alias("errors"))
+
+
+def _failed(dispatched: Column, failures: list[Failure]) -> Column:
+    """The errors of the failures that any of the entities has, one each, in order of the failures."""
+    messages = F.array(*[F.expr(errors_of(quoted(f.family.column), quoted(f.message))) for f in failures])
+    held = F.filter(F.transform(dispatched, lambda e: e["failure"]), lambda n: n.isNotNull())
+    return F.flatten(F.transform(F.array_sort(F.array_distinct(held)), lambda n: F.get(messages, n)))
 
 
 def transform_unstructured(df: DataFrame, skip: list[Criterion] | None = None) -> DataFrame:

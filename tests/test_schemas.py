@@ -188,3 +188,11 @@ def test_keys_and_json_are_taken_apart_once(spark, tmp_path):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     # a kind's key is matched once, and so is whether its text begins an object
     assert plan.count("parseJson") == 2 and plan.count("RLIKE") == 4
+
+
+def test_a_filter_on_errors_takes_keys_apart_once(spark):
+    """However many families fail, a filter on the errors repeats no work on an event's key."""
+    from millrace.plans import catalogue
+
+    plan = catalogue.QUERIES["missing_schema_fail"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("RLIKE") <= 2
