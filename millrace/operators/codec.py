@@ -36,6 +36,14 @@ class Limits:
             raise ValueError("decompression limits must be positive")
 
 
+def _rows(batch: pa.RecordBatch, at_once: int = 16) -> Iterator[tuple]:
+    """A batch's rows, a few at a time: a batch has thousands of messages, and copies of all would stay beside it."""
+    for k in range(0, batch.num_rows, at_once):
+        yield from zip(*(c.to_pylist() for c in batch.slice(k, at_once).columns))
+    # what was freed goes back, as workers live on
+    pa.default_memory_pool().release_unused()
+
+
 def _reader(kind: str, message: bytes) -> io.RawIOBase:
     if kind == "gzip":
         return gzip.GzipFile(fileobj=io.BytesIO(message))
@@ -110,11 +118,11 @@ def decompress(df: DataFrame, limits: Limits, payload: str = "payload", ordinal:
         names = [x.split()[0] for x in schema.split(", ")]
         for batch in batches:
             rows, held = [], 0
-            for number, kind, message in zip(*(c.to_pylist() for c in batch.columns)):
+            for number, kind, message in _rows(batch):
                 for k, (data, v, error) in enumerate(records(kind, message, limits.max_bytes_single_payload)):
                     rows.append((number, kind, k, data, v, error, message if error else None))
                     held += len(data or b"") + (len(message) if error else 0)
-                    if held > 1 << 24:  # a message may expand without bound
+                    if held > 1 << 21:  # a message may expand without bound
                         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
                         rows, held = [], 0
             if rows:
@@ -251,7 +259,7 @@ def compress(df: DataFrame, group: list[str], order: list[str], payload: str, ki
 
         for batch in batches:
             types = types or [*(batch.column(k).type for k in range(len(group))), *arrow[len(group) :]]
-            for *own, data in zip(*(c.to_pylist() for c in batch.columns)):
+            for *own, data in _rows(batch):
                 if own != current:
                     if n:
                         yield row(current, n, packer.result())

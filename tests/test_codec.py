@@ -100,3 +100,18 @@ def test_bad_rows(spark):
     made = deadletters.bad_rows(codec.decompress(df, LIMITS), lambda message, at, payload: F.struct(message.alias("m"), at.alias("t"), payload.alias("p")))
     (row,) = made.collect()
     assert row.bad_row.m == "corrupt gzip-compressed payload" and row.bad_row.p == "H4tqdW5r" and row.bad_row.t is not None
+
+
+def test_rows_of_a_batch_are_not_copied_all_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(range(1000)), pa.array([bytes([k % 256]) * 10_000 for k in range(1000)])], names=["n", "message"])
+    tracemalloc.start()
+    for k, (n, data) in enumerate(codec._rows(batch)):
+        assert n == k and data == bytes([k % 256]) * 10_000
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert k == 999 and peak < 10_000_000 / 10
+    assert list(codec._rows(batch.slice(0, 0))) == []
