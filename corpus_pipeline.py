@@ -25,7 +25,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 and more) the document of least doc_id stays."""
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 and more) the document of least doc_id stays.
+
+    SimHash fingerprints link them first, checked by Jaccard; the pairs whose fingerprints are too far apart go by an exact prefix filter.
+    """
     return keep_one_near(docs).select(*COLUMNS)
 
 

@@ -1,7 +1,9 @@
-"""Near-duplicates by exact Jaccard similarity of five-word shingles.
+"""Near-duplicates by SimHash, with an exact check: Jaccard similarity of five-word shingles.
 
-SimHash fingerprints of texts this similar differ in about ten of 64 bits, too many to search, so
-candidates come from a prefix filter, which loses no pair: with all shingles in one order, two sets of
+Fingerprints are searched first, by the partitions and thresholds of ``simhash``; what they link is verified on the whole
+sets, and its components are settled. Fingerprints of texts of similarity 0.8 differ in about ten of 64 bits, more than can be searched in work
+that grows as the texts do, so the pairs between components that are left go by an exact way, a
+prefix filter, which loses no pair: with all shingles in one order, two sets of
 similarity 0.8 share one of their first n - ceil(0.8 n) + 1, and the first that they share has so few
 before it on both sides that the rest can still make the overlap. The order is rarest first, by
 counts in a bounded sample of documents. Only a third of all shingles, told by their hashes, are counted and come
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, one_of_each, result, scratch, shuffle_partitions, text_key, text_or_empty
-from .simhash import components
+from .simhash import components, links, majority, shingle_hashes
 
 #: Words of a shingle, the hashes' seed, and one in how many shingles is counted.
 SHINGLE, SEED, COUNTED = 5, 42, 3
@@ -37,13 +39,8 @@ NEAR = (9, 4)
 
 
 def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted XXH64 of a text's different shingles; words are lower-cased in A to Z. Fewer words than a shingle: the whole sequence."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
-    return np.unique(np.array([xxh64_intdigest(b" ".join(words[k : k + SHINGLE]), SEED) for k in range(max(1, len(words) - SHINGLE + 1))], dtype=np.uint64))
+    """Sorted XXH64 of a text's different shingles."""
+    return np.unique(shingle_hashes(text, SHINGLE, SEED))
 
 
 def common_shingles(docs: DataFrame, text_col: str, sample_rows: int, least: int = 4, most: int = 400_000) -> tuple[np.ndarray, np.ndarray]:
@@ -83,17 +80,18 @@ def differences(x: bytes, y: bytes) -> int:
 
 
 def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the text's key t0, t1, its set's digest and size n, its prefix and its sketch, of each row."""
+    """doc_id, the text's key t0, t1, its set's digest and size n, its prefix, its sketch and the text's fingerprint fp, of each row."""
     import hashlib
 
     known, counts = common
-    names = ["doc_id", "t0", "t1", "digest", "n", "prefix", "sketch"]
+    names = ["doc_id", "t0", "t1", "digest", "n", "prefix", "sketch", "fp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch[3].cast(pa.binary()).to_pylist():
-                own = shingle_set(text)
+                all_ = shingle_hashes(text, SHINGLE, SEED)
+                own = np.unique(all_)
                 n = len(own)
                 at = np.searchsorted(known, own)
                 at[at == len(known)] = 0
@@ -101,11 +99,11 @@ def prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], id_col: str
                 # those not counted come after the counted ones that are rare
                 often[own % np.uint64(COUNTED) != 0] = 1
                 front = np.argsort(often, kind="stable")[: n - -(-4 * n // 5) + 1]
-                rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, own[front].view(np.int64) if n else [], sketch(own)))
-            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 4, (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary()))]
+                rows.append((hashlib.blake2b(own.tobytes(), digest_size=16).digest(), n, own[front].view(np.int64) if n else [], sketch(own), int(np.uint64(majority(all_)).astype(np.int64))))
+            columns = [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, (pa.binary(), pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.int64()))]
             yield pa.record_batch([*batch.columns[:3], *columns], names=names)
 
-    schema = "doc_id long, t0 long, t1 long, digest binary, n int, prefix array<long>, sketch binary"
+    schema = "doc_id long, t0 long, t1 long, digest binary, n int, prefix array<long>, sketch binary, fp long"
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), *text_key(text_col), text_or_empty(text_col).alias("text")).mapInArrow(run, schema)
 
 
@@ -142,7 +140,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def doubtful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of nodes that can be near by their sketches."""
+    """The pairs (a, b) of nodes of different labels that can be near by their sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,8 +148,8 @@ def doubtful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [_possible(n + m - differences(x, y), 2 * n, 2 * m) for n, m, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    sketches = nodes.select("node", "n", "sketch")
-    both = pairs.alias("p").join(sketches.alias("a"), F.col("p.a") == F.col("a.node")).join(sketches.alias("b"), F.col("p.b") == F.col("b.node"))
+    sketches = nodes.select("node", "n", "sketch", "label")
+    both = pairs.alias("p").join(sketches.alias("a"), F.col("p.a") == F.col("a.node")).join(sketches.alias("b"), F.col("p.b") == F.col("b.node")).filter("a.label <> b.label")
     return both.select("p.a", "p.b", F.col("a.n").alias("n"), F.col("b.n").alias("m"), F.col("a.sketch").alias("x"), F.col("b.sketch").alias("y")).mapInArrow(run, "a long, b long")
 
 
@@ -242,10 +240,31 @@ def verified(doubt: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str)
     return materialize(rows.mapInArrow(run, "a long, b long"), "near-pairs")
 
 
-def near_links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", dense: int = 64, block: int = 2048) -> DataFrame:
-    """Edges a, b (a < b) of near sets that connect exactly what all near pairs connect.
+def _labelled(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``nodes`` with ``label``, the least node that they reach over edges."""
+    if edges.isEmpty():
+        return nodes.withColumn("label", F.col("node"))
+    return nodes.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def fingerprint_links(nodes: DataFrame, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Edges a, b (a < b) of near sets whose texts' fingerprints are equal or linked.
+
+    A fingerprint is told by its least node. Its others are compared with that one, and that one with those of the linked fingerprints,
+    so that one which very many texts share makes no pairs of all.
+    """
+    told = materialize(nodes.groupBy("fp").agg(F.min("node").alias("least")), "told-fingerprints")
+    apart = materialize(links(told.select("fp")), "linked-fingerprints")
+    between = apart.join(told.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(told.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    pairs = between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs = pairs.unionByName(nodes.select("fp", "node").join(told, "fp").filter("least < node").select(F.col("least").alias("a"), F.col("node").alias("b")))
+    return verified(doubtful(pairs, nodes.withColumn("label", F.col("node"))), nodes, docs, text_col)
+
+
+def near_links(nodes: DataFrame, docs: DataFrame, known: DataFrame, text_col: str = "text", dense: int = 64, block: int = 2048) -> DataFrame:
+    """Edges a, b (a < b) of near sets that connect exactly what all near pairs connect, those ``known`` among them.
 
-    ``nodes`` are different sets with the columns of ``prefixes``. Keys that over ``dense`` of them
+    ``nodes`` are different sets with the columns of ``prefixes``. Pairs that known edges connect are not compared again. Keys that over ``dense`` of them
     have in their prefixes go by three of their sets first.
     """
     index = materialize(nodes.select(F.posexplode("prefix").alias("place", "key"), "node", "n").select("key", "place", "node", "n"), "prefix-index")
@@ -260,12 +279,11 @@ def near_links(nodes: DataFrame, docs: DataFrame, text_col: str = "text", dense:
     shared = F.least(F.col("n") - F.col("place"), F.col("hub.n") - F.col("hub.place"))
     near_hub = near_hub.filter((F.col("node") != F.col("hub.node")) & _possible(shared, F.col("n"), F.col("hub.n")))
     pairs = dealt.mapInArrow(_groups, "a long, b long").unionByName(near_hub.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))).distinct()
-    edges = verified(doubtful(pairs, nodes), nodes, docs, text_col)
+    edges = known.unionByName(verified(doubtful(pairs, _labelled(nodes, known)), nodes, docs, text_col))
     many = many.select("key", "node", "place", "n")
     if many.isEmpty():
         return edges
-    labels = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    many = materialize(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "crowded-prefixes")
+    many = materialize(_labelled(many, edges), "crowded-prefixes")
     main = many.groupBy("key").agg(F.min_by("label", F.struct("place", "node")).alias("main"))
     strays = materialize(many.join(main, "key").filter("label <> main").drop("main"), "strays")
     if strays.isEmpty():
@@ -286,9 +304,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t0", "t1")
     distinct = materialize(rows.groupBy("digest").agg(F.min("row").alias("node"), F.min(rank).alias("first")), "distinct-sets")
     nodes = rows.join(distinct.select(F.col("node").alias("row")), "row").drop("digest", "doc_id").withColumnRenamed("row", "node")
-    edges = materialize(near_links(nodes, docs, text_col, dense, block), "links")
-    labels = components(edges) if not edges.isEmpty() else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    labelled = materialize(distinct.join(labels, "node", "left").select("digest", "first", F.coalesce("label", "node").alias("label")), "labelled")
+    edges = materialize(near_links(nodes, docs, fingerprint_links(nodes, docs, text_col), text_col, dense, block), "links")
+    labelled = materialize(_labelled(distinct, edges).select("digest", "first", "label"), "labelled")
     names = labelled.groupBy("label").agg(F.min("first").alias("best"))
     named = materialize(labelled.join(names, "label").select("digest", "best"), "components")
     both = rows.select("doc_id", "t0", "t1", "digest").join(named, "digest")

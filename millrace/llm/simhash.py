@@ -31,28 +31,32 @@ from .common import materialize, one_of_each, result, scratch, text_key, text_or
 BITS = 64
 
 
-def _fingerprint(text: bytes, shingle: int, seed: int) -> int:
-    """Bit set where over half of the shingles' XXH64 have it; words are lower-cased in A to Z."""
+def shingle_hashes(text: bytes, shingle: int, seed: int) -> np.ndarray:
+    """XXH64 of a text's shingles in order, repeats included; words are lower-cased in A to Z. Fewer words than a shingle: the whole sequence."""
     from xxhash import xxh64_intdigest
 
     # bytes.lower() and bytes.split() know just the ASCII letters and the six ASCII blanks
     words = text.lower().split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(b" ".join(words), seed)]
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        hashes = [xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())]
+        return np.array([xxh64_intdigest(b" ".join(words), seed)] if words else [], dtype="<u8")
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    return np.array([xxh64_intdigest(joined[s:e], seed) for s, e in zip(starts[: len(words) - shingle + 1].tolist(), ends[shingle - 1 :].tolist())], dtype="<u8")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit set where over half of the hashes have it."""
     counts = np.zeros(BITS, dtype=np.int64)
     for k in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[k : k + (1 << 16)], dtype="<u8")
-        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        counts += np.unpackbits(hashes[k : k + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return sum(1 << j for j in np.flatnonzero(2 * counts > len(hashes)).tolist())
 
 
+def _fingerprint(text: bytes, shingle: int, seed: int) -> int:
+    return majority(shingle_hashes(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the text's key t0, t1, and fp (64 bits as a signed long) of whole texts. Null or wordless: 0; fewer words than a shingle: the whole sequence."""
 

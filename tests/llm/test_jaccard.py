@@ -157,3 +157,29 @@ def test_a_crowd_of_strays_that_share_one_rare_shingle(spark):
     for block in (7, 2048):
         got = {x.doc_id: x.component_id for x in jaccard.near_copies(df, dense=8, block=block).collect()}
         assert got == {doc_id: smallest[g] for doc_id, g in zip(ids, groups)} and len(set(got.values())) < len(rows)
+
+
+def test_fingerprints_link_near_copies(spark):
+    """Texts that are equal but for one word, by SimHash alone, as brute force over fingerprints and Jaccard has them."""
+    from millrace.llm import simhash
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    texts = []
+    for k in range(40):
+        base = [f"w{r.randint(0, 10**6)}" for _ in range(r.choice([300, 600, 1200]))]
+        texts += [" ".join(base), " ".join([*base, "more"]), " ".join([*base[:40], "x", *base[41:]])]
+    texts += ["", "a b c", "A b C d e f"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = jaccard.prefixes(df, jaccard.common_shingles(df, "text", 100)).withColumn("node", F.col("doc_id"))
+    fps = {x.doc_id: x.fp for x in rows.select("doc_id", "fp").collect()}
+    assert all(fps[k] % 2**64 == simhash._fingerprint(t.encode(), jaccard.SHINGLE, jaccard.SEED) for k, t in enumerate(texts))
+    sets = [shingles(t) for t in texts]
+    near = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    close = {(a, b) for b in range(len(texts)) for a in range(b) if ((fps[a] ^ fps[b]) % 2**64).bit_count() <= 2}
+    got = {(x.a, x.b) for x in jaccard.fingerprint_links(rows, df).collect()}
+    assert got <= {(a, b) for a, b in close if near(a, b)} and len(got) > 20
+    label = list(range(len(texts)))
+    for a, b in sorted(got) * 3:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    assert all(label[a] == label[b] for a, b in close if near(a, b))
